@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vantage.llm.exact_dedup import exact_duplicates
+from vantage.llm.secrets import find_secrets, listed
 from vantage.llm.shared import table
 
 
@@ -14,8 +16,51 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("assign").cast("long").alias("n_assign"),
+        F.size("access").cast("long").alias("n_access"),
+        F.size("hex").cast("long").alias("n_hex"),
+        F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"),
+        listed(F.array_sort(F.concat("base_spans", "weak_spans"))).alias("spans"),
+    )
+
+
+def _span_sql(kind: str, order: int, pattern: str, keep: str = "true") -> str:
+    """A list of spans, the way the operator takes them: gaps and matches in turn, lengths added up."""
+    quoted = pattern.replace("'", "''")
+    pairs = f"list_zip(regexp_extract_all(body, '(?s)(.*?)({quoted})', 1), regexp_extract_all(body, '(?s)(.*?)({quoted})', 2))"
+    return f"""
+      list_transform(list_filter(list_transform({pairs},
+        lambda p, i: {{'m': p[2], 'e': list_sum(list_transform({pairs}[1:i], lambda q: length(q[1]) + length(q[2])))}}),
+        lambda x: {keep}),
+        lambda x: {{'start': (x.e - length(x.m))::BIGINT, 'kind': {order}, 'stop': x.e::BIGINT, 'name': '{kind}'}})"""
+
+
+def _op10_sql() -> str:
+    from vantage.llm import secrets as s
+
+    assign = s.ASSIGN.replace("'", "''")
+    near = lambda parts, x: f"len(list_filter({parts}, lambda y: y.start <= {x}.stop + {s.REACH} AND y.stop >= {x}.start - {s.REACH})) > 0"
+    text = lambda spans: f"coalesce(array_to_string(list_transform({spans}, lambda x: concat(x.name, ':', x.start, ':', x.stop)), ','), '')"
+    return f"""
+      WITH docs AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+      parts AS (SELECT doc_id,
+        {_span_sql("assign", 0, s.ASSIGN, f"length(regexp_extract(x.m, '^{assign}$', 2)) >= {s.ASSIGN_LEAST}")} AS a,
+        {_span_sql("access", 1, s.ACCESS)} AS c, {_span_sql("hex", 2, s.HEX)} AS h, {_span_sql("key_id", 3, s.WEAK_ID)} AS i,
+        {_span_sql("key", 4, s.WEAK_KEY, f"length(x.m) = {s.WEAK_KEY_LENGTH}")} AS k, {_span_sql("endpoint", 5, s.ENDPOINT)} AS e FROM docs),
+      sets AS (SELECT *, list_concat(c, i) AS ids, list_concat(a, k) AS keys, list_sort(list_concat(list_concat(a, c), h)) AS base FROM parts),
+      linked AS (SELECT *, list_concat(list_concat(list_filter(i, lambda x: {near("keys", "x")}), list_filter(k, lambda x: {near("ids", "x")})),
+        list_filter(e, lambda x: {near("ids", "x")} AND {near("keys", "x")})) AS weak FROM sets)
+      SELECT doc_id, len(a)::BIGINT AS n_assign, len(c)::BIGINT AS n_access, len(h)::BIGINT AS n_hex,
+        sha256({text("base")}) AS base_sha256, {text("list_sort(list_concat(base, weak))")} AS spans FROM linked"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL: dict[str, str] = {
@@ -23,4 +68,5 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op10_secret_scan": _op10_sql(),
 }
