@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantage.llm.bpe import encode_documents
 from vantage.llm.exact_dedup import exact_duplicates
 from vantage.llm.secrets import find_secrets, listed
 from vantage.llm.shared import table
+from vantage.llm.warc import archive, read_records
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +60,31 @@ def _op10_sql() -> str:
         sha256({text("base")}) AS base_sha256, {text("list_sort(list_concat(base, weak))")} AS spans FROM linked"""
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = archive(table(spark, sf_dir, "pages"))
+    return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Where the tokenizers' files are; their package gives both by default.
+TOKENIZER_FILE: str | None = None
+TOKENIZER_PATTERN: str | None = None
+
+
+def tokenizer() -> tuple[str, str]:
+    import public_tokenizers
+
+    return TOKENIZER_FILE or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), TOKENIZER_PATTERN or public_tokenizers.PATTERN
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), *tokenizer(), keep_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op3_warc": op3_warc,
+    "op8_bpe": op8_bpe,
 }
 
 SQL: dict[str, str] = {
@@ -69,4 +93,11 @@ SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op10_secret_scan": _op10_sql(),
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+                     min(page_id) OVER (PARTITION BY body) AS first_id FROM p),
+        r AS (SELECT *, payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first_id END AS refers_to FROM r""",
 }

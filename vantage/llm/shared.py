@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,7 +170,7 @@ def words(data: np.ndarray, bounds: np.ndarray, separates: np.ndarray = _BLANK)
 def batches(table_of: pa.RecordBatch, column: str, limit: int = 4_000_000):
     """Parts of a batch whose texts together have at most limit bytes (one text at least)."""
     column_of = table_of.column(column)
-    sizes = pa.compute.binary_length(column_of).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column_of), 0).to_numpy(zero_copy_only=False)
     first, total = 0, 0
     for i, n in enumerate(sizes):
         if total + n > limit and i > first:
