@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantage.llm import language
 from vantage.llm.bpe import encode_documents
 from vantage.llm.exact_dedup import exact_duplicates
 from vantage.llm.secrets import find_secrets, listed
@@ -80,11 +81,23 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), *tokenizer(), keep_ids=False)
 
 
+def held_out() -> Column:
+    """Rows that no model learns from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out()))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op3_warc": op3_warc,
     "op8_bpe": op8_bpe,
+    "op4_language_id": op4_language_id,
 }
 
 SQL: dict[str, str] = {
