@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.llm import language
+from vantage.llm import quality
 from vantage.llm.bpe import encode_documents
 from vantage.llm.exact_dedup import exact_duplicates
 from vantage.llm.secrets import find_secrets, listed
@@ -92,12 +93,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op3_warc": op3_warc,
     "op8_bpe": op8_bpe,
     "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
 }
 
 SQL: dict[str, str] = {
