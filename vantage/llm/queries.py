@@ -11,6 +11,7 @@ from vantage.llm import language
 from vantage.llm import quality
 from vantage.llm.bpe import encode_documents
 from vantage.llm.exact_dedup import exact_duplicates
+from vantage.llm.ngram_join import near_duplicates
 from vantage.llm.secrets import find_secrets, listed
 from vantage.llm.shared import table
 from vantage.llm.warc import archive, read_records
@@ -99,6 +100,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
+    "op7_ngram_join": op7_ngram_join,
 }
 
 SQL: dict[str, str] = {
