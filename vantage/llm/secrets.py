@@ -64,8 +64,11 @@ def _running(lengths: Column) -> Column:
     return F.flatten(F.transform(F.arrays_zip(stretches.alias("xs"), based.alias("base")), lambda p: walk(p["xs"], p["base"])))
 
 
-def _spans(text: Column, kind: str, pattern: str, hint: Column, ok=None) -> Column:
-    """Leftmost non-overlapping matches, as code points with an exclusive end; ok tests a match's own text."""
+def _matches(text: Column, pattern: str, hint: Column, ok=None) -> Column:
+    """Leftmost non-overlapping matches as (gap before, size, ok), in code points; ok tests a match's own text.
+
+    The hint, a cheap test that holds wherever there is a match, spares most texts the search.
+    """
     whole = F.lit(f"(?s)(.*?)({pattern})")
     gaps = F.regexp_extract_all(text, whole, F.lit(1))
     found = F.regexp_extract_all(text, whole, F.lit(2))
@@ -74,9 +77,14 @@ def _spans(text: Column, kind: str, pattern: str, hint: Column, ok=None) -> Colu
         found,
         lambda g, m: F.struct(F.length(g).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size"), (ok(m) if ok else F.lit(True)).alias("ok")),
     )
-    kept = F.filter(_running(lengths), lambda x: x["ok"])
+    return F.when(hint, lengths).otherwise(F.array().cast("array<struct<gap:bigint,size:bigint,ok:boolean>>"))
+
+
+def _spans(kind: str) -> Column:
+    """Spans from the column of matches of that name, ends exclusive."""
+    kept = F.filter(_running(F.col(kind)), lambda x: x["ok"])
     out = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["stop"].alias("stop")))
-    return F.when(hint, out).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(kind) > 0, out).otherwise(F.array().cast(_SPAN)).alias(kind)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
@@ -91,15 +99,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     linked = F.col("linked")
     rows = rows.withColumn("linked", F.regexp_like(text, F.lit(ANY_ID)))
-    found = rows.select(
+    assigned = F.regexp_like(text, F.lit(ASSIGN_HINT))
+    matches = rows.select(
         "doc_id",
-        _spans(text, "assign", ASSIGN, F.regexp_like(text, F.lit(ASSIGN_HINT)), lambda m: F.length(F.regexp_extract(m, f"^{ASSIGN}$", 2)) >= ASSIGN_LEAST).alias("assign"),
-        _spans(text, "access", ACCESS, linked & F.contains(text, F.lit("AKIA"))).alias("access"),
-        _spans(text, "hex", HEX, F.regexp_like(text, F.lit(HEX))).alias("hex"),
-        _spans(text, "key_id", WEAK_ID, linked).alias("key_id"),
-        _spans(text, "key", WEAK_KEY, linked, lambda m: F.length(m) == WEAK_KEY_LENGTH).alias("key"),
-        _spans(text, "endpoint", ENDPOINT, linked).alias("endpoint"),
+        _matches(text, ASSIGN, assigned, lambda m: F.length(F.regexp_extract(m, f"^{ASSIGN}$", 2)) >= ASSIGN_LEAST).alias("assign"),
+        _matches(text, ACCESS, linked & F.contains(text, F.lit("AKIA"))).alias("access"),
+        _matches(text, HEX, F.regexp_like(text, F.lit(HEX))).alias("hex"),
+        _matches(text, WEAK_ID, linked).alias("key_id"),
+        _matches(text, WEAK_KEY, linked, lambda m: F.length(m) == WEAK_KEY_LENGTH).alias("key"),
+        _matches(text, ENDPOINT, linked).alias("endpoint"),
     )
+    found = matches.select("doc_id", *map(_spans, KINDS))
 
     def near(parts: Column, x: Column) -> Column:
         return F.exists(parts, lambda y: (y["start"] <= x["stop"] + reach) & (y["stop"] >= x["start"] - reach))
