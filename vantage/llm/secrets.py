@@ -69,7 +69,8 @@ def _matches(text: Column, pattern: str, hint: Column, ok=None) -> Column:
 
     The hint, a cheap test that holds wherever there is a match, spares most texts the search.
     """
-    whole = F.lit(f"(?s)(.*?)({pattern})")
+    # \G: a search that finds no further match ends at once, not again from every later position
+    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
     gaps = F.regexp_extract_all(text, whole, F.lit(1))
     found = F.regexp_extract_all(text, whole, F.lit(2))
     lengths = F.zip_with(
