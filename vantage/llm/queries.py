@@ -11,6 +11,7 @@ from vantage.llm import language
 from vantage.llm import quality
 from vantage.llm.bpe import encode_documents
 from vantage.llm.exact_dedup import exact_duplicates
+from vantage.llm.line_dedup import dedup_lines
 from vantage.llm.ngram_join import near_duplicates
 from vantage.llm.secrets import find_secrets, listed
 from vantage.llm.shared import table
@@ -104,6 +105,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
     "op7_ngram_join": op7_ngram_join,
+    "op2_line_dedup": op2_line_dedup,
 }
 
 SQL: dict[str, str] = {
