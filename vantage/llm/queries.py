@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vantage.llm import language
 from vantage.llm import quality
 from vantage.llm.bpe import encode_documents
+from vantage.llm.decontaminate import leaks
 from vantage.llm.exact_dedup import exact_duplicates
 from vantage.llm.line_dedup import dedup_lines
 from vantage.llm.ngram_join import near_duplicates
@@ -110,6 +111,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped", "text")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_ngram_join": op7_ngram_join,
     "op2_line_dedup": op2_line_dedup,
+    "op6_decontamination": op6_decontamination,
 }
 
 SQL: dict[str, str] = {
