@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm import language
 from vantage.llm import quality
+from vantage.llm import url_filter
 from vantage.llm.bpe import encode_documents
 from vantage.llm.decontaminate import leaks
 from vantage.llm.exact_dedup import exact_duplicates
@@ -115,6 +116,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.mine(pages, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_join": op7_ngram_join,
     "op2_line_dedup": op2_line_dedup,
     "op6_decontamination": op6_decontamination,
+    "op1_url_filter": op1_url_filter,
 }
 
 SQL: dict[str, str] = {
