@@ -82,5 +82,5 @@ class BoxLimits:
         return out
 
     def as_rows(self) -> list[tuple]:
-        """(name, kind, lower, upper, categories) for each feature."""
-        return [(n, r.kind, None, None, sorted(r.values)) if isinstance(r, Categories) else (n, r.kind, float(r.lower), float(r.upper), None) for n, r in self.items]
+        """(name, kind, lower, upper, categories) for each feature; a zero has no sign."""
+        return [(n, r.kind, None, None, sorted(r.values)) if isinstance(r, Categories) else (n, r.kind, float(r.lower) + 0.0, float(r.upper) + 0.0, None) for n, r in self.items]

@@ -108,7 +108,7 @@ class ScenarioFrame:
             self.validate()
 
     def validate(self) -> None:
-        at = F.col("row_id") if self.row_id else F.lit(None).cast("bigint")
+        at = F.col("row_id") if self.row_id else F.monotonically_increasing_id()
         bad = []
         for f in self.features:
             x = F.col(f"`{f.name}`")
@@ -119,7 +119,7 @@ class ScenarioFrame:
             else:
                 wrong = x.isNull()
             bad.append(F.count_if(wrong).alias(f"n:{f.name}"))
-            bad.append(F.min_by(F.struct(at.alias("row"), x.cast("string").alias("value")), F.when(wrong, F.coalesce(at, F.lit(0)))).alias(f"v:{f.name}"))
+            bad.append(F.min_by(F.struct(at.alias("row"), x.cast("string").alias("value")), F.when(wrong, at)).alias(f"v:{f.name}"))
         found = self.df.agg(*bad).first()
         for f in self.features:
             if found[f"n:{f.name}"]:

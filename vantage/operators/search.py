@@ -184,6 +184,16 @@ class Prim:
         self.found: list[BoxLimits] = []
         self.order: list[Feature] = [f for kind in (CONTINUOUS, INTEGER, CATEGORICAL) for f in frame.features if f.kind == kind]
 
+    @classmethod
+    def over_columns(cls, counts: LocalCounts, features: list[Feature], initial: BoxLimits, config: PrimConfig) -> Prim:
+        """A search over columns in memory, as inside a task: no frame and no session."""
+        self = cls.__new__(cls)
+        self.frame, self.config, self.counts, self.initial = None, config, counts, initial
+        self.rows, self.cases = len(counts.cases), int(counts.cases.sum())
+        self.left, self.found = (self.rows, self.cases), []
+        self.order = [f for kind in (CONTINUOUS, INTEGER, CATEGORICAL) for f in features if f.kind == kind]
+        return self
+
     def remaining_rows(self) -> DataFrame:
         """Rows that no found box holds, by predicate."""
         df = self.frame.df
