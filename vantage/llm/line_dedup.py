@@ -106,6 +106,29 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x or y else float(a == b)
 
 
+def _set_keys(texts: pa.Array) -> np.ndarray:
+    """Ascending distinct keys of all texts' shingles: the text's number above 44 bits of the shingle's hash."""
+    texts = texts.cast(pa.large_binary())
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    begin = offsets[:-1] - offsets[0]
+    size = np.maximum(np.diff(offsets) - SHINGLE + 1, 0)
+    own = np.repeat(np.arange(n), size)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    keys = np.sort((own.astype(np.uint64) << np.uint64(44)) | (_shingle_hashes(data)[at] >> np.uint64(20)))
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersection and the union of the shingle sets of two columns of lines, row by row."""
+    n = len(a)
+    keys = np.sort(np.concatenate((_set_keys(a), _set_keys(b))))
+    own = (keys >> np.uint64(44)).astype(np.int64)
+    shared = np.bincount(own[1:][keys[1:] == keys[:-1]], minlength=n)
+    return shared, np.bincount(own, minlength=n) - shared
+
+
 def _banded(docs: DataFrame) -> DataFrame:
     """bucket, line: of every line long enough, each distinct line of a task once."""
 
@@ -185,33 +208,11 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = docs.select("text").mapInArrow(fetch, "line long, body binary").groupBy("line").agg(F.first("body").alias("body"))
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            a, b = part.column("x"), part.column("y")
-            n = len(part)
-            sets = []
-            for column in (a, b):
-                column = column.cast(pa.large_binary())
-                offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-                data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-                begin, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
-                hashed = _shingle_hashes(data)
-                size = np.maximum(end - begin - SHINGLE + 1, 0)
-                own = np.repeat(np.arange(n), size)
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-                order = np.lexsort((hashed[at], own))
-                h, own = hashed[at][order], own[order]
-                fresh = np.ones(len(h), bool)
-                fresh[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-                sets.append((own[fresh], h[fresh]))
-            own = np.concatenate([s[0] for s in sets])
-            h = np.concatenate([s[1] for s in sets])
-            order = np.lexsort((h, own))
-            own, h = own[order], h[order]
-            both = (own[1:] == own[:-1]) & (h[1:] == h[:-1])
-            shared = np.bincount(own[1:][both], minlength=n)
-            union = np.bincount(own, minlength=n) - shared
-            good = pa.array(shared >= similarity * union)
-            yield pa.record_batch({"a": part.column("a").filter(good), "b": part.column("b").filter(good)})
+        for whole in parts:
+            for part in batches(whole, "x", 1_000_000):
+                shared, union = overlaps(part.column("x"), part.column("y"))
+                good = pa.array(shared >= similarity * union)
+                yield pa.record_batch({"a": part.column("a").filter(good), "b": part.column("b").filter(good)})
 
     body = F.col("body")
     texts = stored(texts, "line-texts")
