@@ -263,19 +263,12 @@ def repeated_lines(texts: DataFrame, near: DataFrame) -> DataFrame:
                 yield pa.record_batch({"line": pa.array(as_long(ids)), "place": part.column("place").take(at), "version": part.column("version").take(at), "number": pa.array(number.astype(np.int32))})
 
     schema = "line long, place long, version long, number int"
-    found = texts.mapInArrow(occurrences, schema).select("line", F.struct("place", "version", "number").alias("at"))
+    found = stored(texts.mapInArrow(occurrences, schema), "line-places").select("line", F.struct("place", "version", "number").alias("at"))
     first = found.groupBy("line").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.join(near.select(F.col("node").alias("line"), "component"), "line", "left").where("n > 1 or component is not null")
     first = stored(first.select("line", "first", F.coalesce("component", "line").alias("component")), "line-firsts")
     keep = first.groupBy("component").agg(F.min("first").alias("keep"))
     marks = stored(first.join(keep, "component").select("line", "keep"), "line-marks")
-    wanted = texts.sparkSession.sparkContext.broadcast(bloom(marks, "line"))
-
-    def candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in occurrences(parts):
-            yield part.filter(pa.array(bloom_has(wanted.value, part.column("line").to_numpy())))
-
-    there = texts.mapInArrow(candidates, schema).select("line", F.struct("place", "version", "number").alias("at"))
-    gone = there.join(F.broadcast(marks) if small(marks) else marks, "line").where("at <> keep")
+    gone = found.join(F.broadcast(marks) if small(marks) else marks, "line").where("at <> keep")
     drops = gone.groupBy(F.col("at.place").alias("place"), F.col("at.version").alias("version")).agg(F.array_sort(F.collect_set("at.number")).alias("dropped"))
     return stored(drops, "line-drops")
