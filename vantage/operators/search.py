@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,11 +89,18 @@ class Candidate:
 
 
 class SparkCounts:
-    """Answers from batched aggregations. Membership is a predicate; no row ids are kept."""
+    """Answers from batched aggregations. Membership is a predicate; no row ids are kept.
+
+    Every round scans the frame a few times, so its narrow rows are cached, on disk where memory is short; partitions of a
+    lost executor are computed again.
+    """
 
     def __init__(self, frame: ScenarioFrame):
         self.frame, self.removed = frame, []
-        self.df = frame.df
+        self.df = frame.df.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def close(self) -> None:
+        self.df.unpersist()
 
     def _alive(self, df: DataFrame) -> DataFrame:
         for limits in self.removed:
@@ -142,6 +150,9 @@ class LocalCounts:
                 columns[f.name] = columns[f.name].astype(str)
         return cls(columns, got.column(CASE).to_numpy())
 
+    def close(self) -> None:
+        pass
+
     def _mask(self, box: BoxLimits) -> np.ndarray:
         return box.mask(self.columns, len(self.cases))
 
@@ -219,6 +230,10 @@ class Prim:
         self.left = (self.left[0] - s.points, self.left[1] - s.cases_of_interest)
         return PrimBox(tuple(steps), self.initial, self.frame, tuple(self.found[:-1]), population)
 
+    def close(self) -> None:
+        """Lets go of what the search keeps cached."""
+        self.counts.close()
+
     def boxes(self) -> Iterator[PrimBox]:
         """Boxes until every row is covered."""
         while (box := self.find_box()) is not None:

@@ -62,7 +62,7 @@ def d(x: float) -> str:
 
 
 #: A box that several queries use.
-BOX = {"l_quantity": (20.0, 50.0), "l_extendedprice": (50000.0, 95000.0), "l_linenumber": (1, 6), "l_returnflag": ("A", "R")}
+BOX = {"l_quantity": (20.0, 50.0), "l_extendedprice": (50000.0, 95000.0), "l_linenumber": (2, 5), "l_returnflag": ("A", "R")}
 
 
 def fixed_box(initial: BoxLimits) -> BoxLimits:
@@ -185,6 +185,7 @@ def _candidates(spark, sf, names: list[str], paste: bool = False) -> DataFrame:
     points, cases = prim.counts.tally([limits])[0] if paste else (prim.rows, prim.cases)
     current = BoxStep(limits, BoxStatistics.of(points, cases, prim.rows, prim.cases, 0), (), "initial")
     found = prim.pastes(current) if paste else prim.peels(current)
+    prim.close()
     rows = []
     for c in found:
         for n in names:
@@ -402,7 +403,7 @@ def search_local(counts, features: list[Feature], config: PrimConfig | None = No
     return prim.find_box().trajectory
 
 
-RELAXED = [("l_quantity", "lower"), ("l_extendedprice", "lower"), ("l_extendedprice", "upper"), ("l_linenumber", "upper"), ("l_returnflag", "lower")]
+RELAXED = [("l_quantity", "lower"), ("l_extendedprice", "lower"), ("l_extendedprice", "upper"), ("l_linenumber", "lower"), ("l_linenumber", "upper"), ("l_returnflag", "lower")]
 
 
 def _relaxed_sql(name: str, side: str) -> str:
@@ -459,7 +460,7 @@ def q_effects(spark, sf):
 
 @query(
     "restricted_limits",
-    "SELECT * FROM (VALUES ('l_extendedprice', 50000.0::DOUBLE, 95000.0::DOUBLE, NULL), ('l_linenumber', 1.0::DOUBLE, 6.0::DOUBLE, NULL), ('l_quantity', 20.0::DOUBLE, 50.0::DOUBLE, NULL), ('l_returnflag', NULL, NULL, 'A,R')) AS v(feature, lower, upper, categories)",
+    "SELECT * FROM (VALUES ('l_extendedprice', 50000.0::DOUBLE, 95000.0::DOUBLE, NULL), ('l_linenumber', 2.0::DOUBLE, 5.0::DOUBLE, NULL), ('l_quantity', 20.0::DOUBLE, 50.0::DOUBLE, NULL), ('l_returnflag', NULL, NULL, 'A,R')) AS v(feature, lower, upper, categories)",
 )
 def q_restricted(spark, sf):
     f = experiments(spark, sf)
