@@ -121,10 +121,15 @@ def category_decode(spark, sf):
     return decoded(part.select("p_partkey", "p_size"), "p_size", category_dictionary(part, "p_type"))
 
 
-@query("nonfinite_rows", "SELECT event_id, value FROM events WHERE value IS NULL OR isnan(value) OR isinf(value)")
+_ODD = "CASE WHEN value < 10 THEN CAST('NaN' AS DOUBLE) WHEN value > 100 THEN CAST('Infinity' AS DOUBLE) ELSE value END"
+
+
+@query("nonfinite_rows", f"SELECT event_id, isnan(x) AS is_nan FROM (SELECT event_id, {_ODD} AS x FROM events) AS e WHERE x IS NULL OR isnan(x) OR isinf(x)")
 def nonfinite_rows(spark, sf):
-    x = F.col("value")
-    return table(spark, sf, "events").where(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).select("event_id", "value")
+    """Rows that a continuous feature refuses, in a column that has some."""
+    x = F.col("x")
+    odd = table(spark, sf, "events").select("event_id", F.expr(_ODD).alias("x"))
+    return odd.where(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).select("event_id", F.isnan(x).alias("is_nan"))
 
 
 @query("blank_categories", "SELECT count(*)::BIGINT AS blank FROM orders WHERE trim(o_orderstatus) = '' OR o_orderstatus IS NULL")
@@ -571,7 +576,7 @@ _RULES: dict[str, tuple[int, CaseRule, str]] = {
 for _cmp, _op in ((BELOW, "<"), (AT_MOST, "<="), (AT_LEAST, ">="), (ABOVE, ">")):
     _RULES[f"quantity_{_cmp}"] = (0, CaseRule.quantity(_cmp, 100.0), f"value * 2 {_op} 100")
     _RULES[f"integer_{_cmp}"] = (2, CaseRule.integer(_cmp, 50), f"user_id % 100 {_op} 50")
-    _RULES[f"datetime_{_cmp}"] = (4, CaseRule.datetime(_cmp, 7.6e8), f"{_J2000} {_op} 7.6e8")
+    _RULES[f"datetime_{_cmp}"] = (4, CaseRule.datetime(_cmp, 758600000.0), f"{_J2000} {_op} 758600000")
 for _name, (_slot, _rule, _test) in _RULES.items():
     query(f"case_rule_{_name}", f"SELECT event_id FROM events WHERE {_test}")(lambda spark, sf, s=_slot, r=_rule: _Events(spark, sf).cases_where(s, r).where(CASE).select("event_id"))
 
