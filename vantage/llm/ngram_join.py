@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vantage.llm.shared import as_long, batches, bloom, bloom_has, components, forget, joined, mix, small, stored, words
 
@@ -29,8 +30,9 @@ LINK = (75, 100)
 #: Cells of the frequency sketch, and of one of its parts.
 SKETCH_BITS = 20
 _PART_BITS = 14
-#: Members that meet one probe in one tree; larger groups are dealt over several.
+#: Members of one tree, and probes that walk it together; larger groups are dealt over several blocks.
 TREE_SETS = 256
+PROBES = 64
 BLOOM_BITS = 24
 
 
@@ -108,21 +110,36 @@ def _taken(ends: np.ndarray, rows: np.ndarray, limit: np.ndarray | None = None)
     return at, own
 
 
-def frequency_classes(docs: DataFrame, n: int = N) -> np.ndarray:
-    """For each cell of the sketch 0, or the power of two of its count if that stands well above the mean.
+#: Cells that remember, within a task, what it has met before.
+_SEEN_BITS = 25
 
-    Tasks send their counts by part of the sketch and these add up in a grouped step; the result has 2**SKETCH_BITS
-    bytes whatever the corpus. A larger corpus raises the mean: a token then counts as frequent at a higher count.
+
+def members_and_sketch(docs: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, sid, n_shingles of every row (stored), and a class for each cell of a frequency sketch, from one pass.
+
+    A task counts a token from its second occurrence there, so that the many tokens that occur once stay out; tasks send
+    their counts by part of the sketch and these add up in a grouped step. The result has 2**SKETCH_BITS bytes whatever the
+    corpus: 0, or the power of two of a count well above the mean. Any classes give right results; good ones put passages
+    that many documents share at the end of the order.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        seen = np.zeros(1 << _SEEN_BITS, bool)
         for batch in parts:
             for part in batches(batch, "text"):
-                grams, _ = shingle_sets(part.column("text"), n)
-                total += np.bincount((grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        sliced = total.reshape(-1, 1 << _PART_BITS)
-        yield pa.record_batch({"part": pa.array(range(len(sliced)), pa.int32()), "counts": pa.array([zlib.compress(x.astype("<u4").tobytes(), 1) for x in sliced], pa.binary())})
+                grams, ends = shingle_sets(part.column("text"), n)
+                cell = (grams >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)
+                again = grams[seen[cell]]
+                seen[cell] = True
+                total += np.bincount((again & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                m = len(part)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "sid": pa.array(as_long(set_ids(grams, ends))), "n_shingles": pa.array(np.diff(ends), pa.int64()), "part": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary())})
+        sliced = [(k, x) for k, x in enumerate(total.reshape(-1, 1 << _PART_BITS)) if x.any()]
+        m = len(sliced)
+        yield pa.record_batch({"doc_id": pa.nulls(m, id_type), "sid": pa.nulls(m, pa.int64()), "n_shingles": pa.nulls(m, pa.int64()), "part": pa.array([k for k, _ in sliced], pa.int32()), "counts": pa.array([zlib.compress(x.astype("<u4").tobytes(), 1) for _, x in sliced], pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(1 << _PART_BITS, np.uint64)
@@ -130,13 +147,15 @@ def frequency_classes(docs: DataFrame, n: int = N) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
         return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int32()), "counts": pa.array([total.astype("<u8").tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    both = stored(docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, sid long, n_shingles long, part int, counts binary"), "members")
+    parts = both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary")
     total = np.zeros((1 << SKETCH_BITS - _PART_BITS, 1 << _PART_BITS), np.uint64)
-    for r in parts.collect():  # 64 rows
+    for r in parts.collect():  # at most 64 rows
         total[r["part"]] = np.frombuffer(r["counts"], "<u8")
     total = total.reshape(-1).astype(np.float64)
     usual = total.mean() + 6 * np.sqrt(total.mean()) + 8
-    return np.where(total > usual, np.floor(np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
+    classes = np.where(total > usual, np.floor(np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
+    return both.where("part is null").select("doc_id", "sid", "n_shingles"), classes
 
 
 def _ordered(grams: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -154,7 +173,8 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
 
 
 def leading_tokens(docs: DataFrame, classes, n: int = N) -> DataFrame:
-    """token, sid, size: the leading tokens of every distinct set (copies within a task are sent once)."""
+    """token, sid, place: the leading tokens of every distinct set (copies within a task are sent once). place holds the
+    set's size above the token's position in it, 32 bits each."""
 
     def make(part, grams, ends, ids, seen):
         rows = _fresh(ids, seen)
@@ -163,9 +183,10 @@ def leading_tokens(docs: DataFrame, classes, n: int = N) -> DataFrame:
         tokens = _ordered(grams, ends, classes.value)
         size = ends[rows + 1] - ends[rows]
         at, own = _taken(ends, rows, prefix_length(size))
-        return pa.record_batch({"token": pa.array(as_long(tokens[at])), "sid": pa.array(as_long(ids[rows[own]])), "size": pa.array(size[own].astype(np.int32))})
+        place = size[own] << 32 | (at - ends[rows[own]])
+        return pa.record_batch({"token": pa.array(as_long(tokens[at])), "sid": pa.array(as_long(ids[rows[own]])), "place": pa.array(place)})
 
-    return _each(docs, n, make, "token long, sid long, size int")
+    return _each(docs, n, make, "token long, sid long, place long")
 
 
 def _by_token(parts: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
@@ -185,11 +206,20 @@ def _by_token(parts: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         yield held
 
 
+def _degrees(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid and the number of sets at each of its tokens, from rows sorted by token."""
+    for token, sid in _by_token(parts, ("token", "sid")):
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        sizes = np.diff(np.append(starts, len(token)))
+        yield pa.record_batch({"sid": pa.array(sid), "n": pa.array(np.repeat(sizes, sizes), pa.int64())})
+
+
 def _pivots(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's pairing with the first set of its token, from rows sorted by token and sid."""
+    """Each row's pairing with the first set of its token, from rows sorted by token."""
     last_token = last_sid = last_size = None
     for part in parts:
-        token, sid, size = (part.column(c).to_numpy() for c in ("token", "sid", "size"))
+        token, sid, size = (part.column(c).to_numpy() for c in ("token", "sid", "place"))
+        size = size >> 32
         if not len(token):
             continue
         head = np.concatenate(([True], token[1:] != token[:-1]))
@@ -208,10 +238,33 @@ def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return LINK[1] * low >= LINK[0] * high
 
 
+def overlap_needed(m, p):
+    """Tokens that linked sets of these sizes share at least."""
+    return -(-LINK[0] * (m + p) // (LINK[0] + LINK[1]))
+
+
+def shared_needed(m, p):
+    """How many tokens linked sets share, at least, among the leading ones that `_across` looks at.
+
+    Of a set of m tokens the first m - needed + k are looked at. Where fewer than k of them are shared, what follows cannot
+    make up the overlap needed. k is a quarter of what the leading tokens that were sent allow: a larger one leaves fewer
+    pairs to compare and makes more rows on the way.
+    """
+    need = overlap_needed(m, p)
+    spare = np.minimum(need + LINK[0] * -m // LINK[1], need + LINK[0] * -p // LINK[1]) + 1
+    return np.maximum(1, spare // 4)
+
+
 def _across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each token, from rows sorted by token, in blocks of bounded size."""
+    """Pairs of different components at each token that stands early enough in both sets, from rows sorted by token, in blocks
+    of bounded size.
+
+    A token late in a set has too few tokens behind it; in the global order most of a near copy's tokens come after those
+    that it does not share. What two sets share early is counted by the caller and held against `need`.
+    """
     block = 1024
-    for token, sid, size, comp in _by_token(parts, ("token", "sid", "size", "comp")):
+    for token, sid, place, comp in _by_token(parts, ("token", "sid", "place", "comp")):
+        size, position = place >> 32, place & 0xFFFFFFFF
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         stops = np.append(starts[1:], len(token))
         mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
@@ -221,13 +274,16 @@ def _across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal left, right, held
             x, y = (np.concatenate(z) for z in (left, right))  # noqa: B023
             left, right, held = [], [], 0
-            return pa.record_batch({"member": pa.array(sid[x]), "pivot": pa.array(sid[y])})  # noqa: B023
+            need = shared_needed(size[x], size[y])  # noqa: B023
+            return pa.record_batch({"member": pa.array(sid[x]), "pivot": pa.array(sid[y]), "need": pa.array(need.astype(np.int32))})  # noqa: B023
 
         for a, b in zip(starts[mixed].tolist(), stops[mixed].tolist(), strict=True):
             for i in range(a, b, block):
                 for j in range(i, b, block):
                     x, y = np.arange(i, min(i + block, b))[:, None], np.arange(j, min(j + block, b))[None, :]
-                    good = (sid[x] > sid[y] if i == j else sid[x] != sid[y]) & (comp[x] != comp[y]) & _sizes_fit(size[x], size[y])
+                    need = overlap_needed(size[x], size[y]) - shared_needed(size[x], size[y])
+                    early = (position[x] + need < size[x]) & (position[y] + need < size[y])
+                    good = (sid[x] > sid[y] if i == j else sid[x] != sid[y]) & (comp[x] != comp[y]) & early & _sizes_fit(size[x], size[y])
                     p, q = np.nonzero(good)
                     if len(p):
                         p, q = p + i, q + j
@@ -299,46 +355,41 @@ class PrefixTree:
 
 
 def _walk_trees(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between each group's probe and its members, from rows sorted by group with the probe first."""
-    group, probe, members, numbers = None, None, [], []
+    """Links between each block's probes and its members, from rows sorted by block with the probes first."""
+    block, probes, members = None, {}, {}
     found: list[tuple[int, int]] = []
 
     def close() -> None:
-        if probe is not None and members:
-            found.extend((numbers[k], group[0]) for k in PrefixTree(members).linked(probe))
+        if probes and members:
+            numbers = list(members)
+            tree = PrefixTree(list(members.values()))
+            for sid, tokens in probes.items():
+                found.extend((numbers[k], sid) for k in tree.linked(tokens) if numbers[k] != sid)
+
+    def edges() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found.clear()
+        return out
 
     for part in parts:
-        for pivot, chunk, member, sid, tokens in zip(*(part.column(c).to_pylist() for c in ("pivot", "chunk", "is_member", "sid", "tokens")), strict=True):
-            if group != (pivot, chunk):
+        for owner, r, c, member, sid, tokens in zip(*(part.column(x).to_pylist() for x in ("owner", "r", "c", "is_member", "sid", "tokens")), strict=True):
+            if block != (owner, r, c):
                 close()
-                group, probe, members, numbers = (pivot, chunk), None, [], []
-            tokens = np.frombuffer(tokens, np.uint64)
-            if not member:
-                probe = tokens
-            elif not numbers or numbers[-1] != sid:  # copies from several tasks stand together
-                members.append(tokens)
-                numbers.append(sid)
+                block, probes, members = (owner, r, c), {}, {}
+            (members if member else probes)[sid] = np.frombuffer(tokens, np.uint64)  # copies from several tasks fall together
         if found:
-            yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-            found.clear()
+            yield edges()
     close()
     if found:
-        yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+        yield edges()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes, n: int = N) -> DataFrame:
-    """Those of the stored pairs (member, pivot) that link, as edges (a, b).
+def candidate_sets(leading: DataFrame, docs: DataFrame, classes, n: int = N) -> DataFrame:
+    """sid, tokens (in the global order) of the sets that share a leading token with another, stored.
 
-    Each pivot is a probe for its members, TREE_SETS of them at a time. A set's tokens leave its task only if it is in
-    a pair, by a Bloom filter of fixed size and then exactly.
+    A Bloom filter of fixed size keeps the others in their tasks; a set with copies in several tasks comes from each.
     """
-    sizes = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
-    chunks = F.ceil(F.col("n") / TREE_SETS).cast("int")
-    dealt = pairs.join(sizes, "pivot").select(F.col("member").alias("sid"), "pivot", F.pmod(F.xxhash64("member"), chunks).cast("int").alias("chunk"), F.lit(True).alias("is_member"))
-    probes = sizes.select(F.col("pivot").alias("sid"), "pivot", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(False).alias("is_member"))
-    places = stored(dealt.unionByName(probes), "places")
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(bloom(places.select("sid").distinct(), "sid", BLOOM_BITS))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(leading.select("sid").distinct(), "sid", BLOOM_BITS))
 
     def make(part, grams, ends, ids, seen):
         rows = _fresh(np.where(bloom_has(wanted.value, ids), ids, np.uint64(0)), seen)
@@ -347,13 +398,27 @@ def verified(pairs: DataFrame, docs: DataFrame, classes, n: int = N) -> DataFram
         tokens = _ordered(grams, ends, classes.value)
         return pa.record_batch({"sid": pa.array(as_long(ids[rows])), "tokens": pa.array([tokens[ends[k] : ends[k + 1]].tobytes() for k in rows], pa.binary())})
 
-    sets = _each(docs, n, make, "sid long, tokens binary")
-    if small(places):
-        placed = sets.join(F.broadcast(places), "sid")
-    else:
-        placed = sets.join(places, "sid")
-    met = placed.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "is_member", "sid")
-    return met.select("pivot", "chunk", "is_member", "sid", "tokens").mapInArrow(_walk_trees, "a long, b long")
+    return stored(_each(docs, n, make, "sid long, tokens binary"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (owner, probe, member) that link, as edges (a, b); more links may come along.
+
+    sets are the stored sets of `candidate_sets`. An owner's probes and members meet in blocks: up to PROBES probes walk a
+    tree of up to TREE_SETS members, so a set is sent once for each block and not for each pair.
+    """
+    side = lambda c: pairs.groupBy("owner", F.col(c).alias("sid")).agg(F.count(F.lit(1)).alias("_"))
+    probes, members = side("probe"), side("member")
+    blocks = lambda df, name, most: df.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    shape = stored(blocks(probes, "rows", PROBES).join(blocks(members, "columns", TREE_SETS), "owner"), "shape")
+    mod = lambda count: F.pmod(F.xxhash64("sid"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    there = members.join(shape, "owner").select("sid", "owner", every("rows").alias("r"), mod("columns").alias("c"), F.lit(True).alias("is_member"))
+    here = probes.join(shape, "owner").select("sid", "owner", mod("rows").alias("r"), every("columns").alias("c"), F.lit(False).alias("is_member"))
+    places = stored(there.unionByName(here), "places")
+    placed = sets.join(F.broadcast(places) if small(places) else places, "sid")
+    met = placed.repartition("owner", "r", "c").sortWithinPartitions("owner", "r", "c", "is_member", "sid")
+    return met.select("owner", "r", "c", "is_member", "sid", "tokens").mapInArrow(_walk_trees, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -367,65 +432,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def identify(part, grams, ends, ids, seen):
-        return pa.record_batch({"doc_id": part.column("doc_id"), "sid": pa.array(as_long(ids)), "n_shingles": pa.array(np.diff(ends), pa.int64())})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    members = stored(_each(docs, n, identify, f"doc_id {kind}, sid long, n_shingles long", ("doc_id",)), "members")
-    classes = spark.sparkContext.broadcast(frequency_classes(docs, n))
+    members, classes = members_and_sketch(docs, n)
+    classes = spark.sparkContext.broadcast(classes)
 
     leading = leading_tokens(docs, classes, n).repartition("token").sortWithinPartitions("token", "sid")
-    leading = leading.mapInArrow(_shared_only, "token long, sid long, size int")
-    leading = stored(leading, "leading")
-    sorted_again = leading.repartition("token").sortWithinPartitions("token", "sid")
-    counted = sorted_again.mapInArrow(_pivots, "member long, pivot long").groupBy("member", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+    leading = stored(leading.mapInArrow(_shared_only, "token long, sid long, place long"), "leading")
+    sets = candidate_sets(leading, docs, classes, n)
+    by_token = leading.select("token", "sid").repartition("token").sortWithinPartitions("token")
+    degree = by_token.mapInArrow(_degrees, "sid long, n long").groupBy("sid").agg(F.sum("n").alias("degree"))
+    ranked = leading.join(degree, "sid").repartition("token").sortWithinPartitions("token", F.desc("degree"), "sid")
+    # the set that shares most is the first of its tokens: what near copies were made from, if it is there
+    counted = ranked.select("token", "sid", "place").mapInArrow(_pivots, "member long, pivot long").groupBy("member", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     first = counted.groupBy("member").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
     first = stored(first, "first")
-    links = stored(verified(first, docs, classes, n), "links")
+    links = stored(verified(first.select(F.col("pivot").alias("owner"), F.col("pivot").alias("probe"), "member"), sets), "links")
     near = components(links)
 
-    # pairs whose components differ, and that share enough leading tokens for what follows them to make up the rest
+    # pairs whose components differ, and that share enough early tokens for what follows to make up the overlap needed
     placed = leading.join(near.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    placed = placed.repartition("token").sortWithinPartitions("token", "sid").select("token", "sid", "size", "comp")
-    rest = placed.mapInArrow(_across, "member long, pivot long").groupBy("member", "pivot").agg(F.count(F.lit(1)).alias("shared"))
-    size = leading.groupBy("sid").agg(F.first("size").cast("long").alias("size"))
-    rest = rest.join(size.select(F.col("sid").alias("member"), F.col("size").alias("m")), "member").join(size.select(F.col("sid").alias("pivot"), F.col("size").alias("p")), "pivot")
-    t, u = LINK
-    after = lambda c: F.ceil(F.col(c) * t / u) - 1  # noqa: E731  tokens behind the leading ones
-    rest = rest.where((F.col("shared") + F.greatest(after("m"), after("p"))) * (t + u) >= t * (F.col("m") + F.col("p")))
-    rest = stored(rest.select("member", "pivot").join(first, ["member", "pivot"], "left_anti"), "rest")
+    placed = placed.repartition("token").sortWithinPartitions("token", "sid").select("token", "sid", "place", "comp")
+    rest = placed.mapInArrow(_across, "member long, pivot long, need int").groupBy("member", "pivot").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+    rest = rest.where("shared >= need").select("member", "pivot").join(first, ["member", "pivot"], "left_anti")
+    rest = stored(_cells(rest, near), "rest")
     if not rest.isEmpty():
-        more = stored(verified(rest, docs, classes, n), "more-links")
+        more = stored(verified(rest, sets), "more-links")
         near = components(links.unionByName(more))
-    for x in (first, leading):
+    for x in (first, leading, sets):
         forget(x)
 
-    # sets to documents: equal sets are one node, named by its smallest id; ids join what repeats them
-    whole = members.where("n_shingles > 0").join(near.select(F.col("node").alias("sid"), "component"), "sid", "left")
-    whole = whole.select("doc_id", F.coalesce("component", "sid").alias("component"))
-    least = whole.groupBy("component").agg(F.min("doc_id").alias("least"))
-    repeated = members.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("doc_id")
-    tied = None
-    if not repeated.isEmpty():  # ids on rows with different texts: join components through the id
-        ends_of = members.where("n_shingles > 0").join(near.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        ends_of = ends_of.join(repeated, "doc_id").select("doc_id", "component").distinct()
-        lowest = ends_of.groupBy("doc_id").agg(F.min("component").alias("b"))
-        tied = components(ends_of.join(lowest, "doc_id").select(F.col("component").alias("a"), "b"))
-        least = least.join(tied.withColumnRenamed("component", "joined"), least["component"] == tied["node"], "left").withColumn("joined", F.coalesce("joined", "component"))
-        lowest = least.groupBy("joined").agg(F.min("least").alias("lowest"))
-        least = least.join(lowest, "joined").select("component", F.col("lowest").alias("least"))
-    named = members.join(near.select(F.col("node").alias("sid"), "component"), "sid", "left")
-    named = named.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "sid")))
-    return named.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return _named(members, near)
+
+
+def _cells(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """(owner, probe, member) for pairs of different components.
+
+    A component is labelled by the heaviest component that it has a pair with, or by itself. Pairs with the same two labels
+    meet in one place: near copies of one text that did not link to it, or documents that share a passage, are then sent
+    about once and not once for each pair. The set in the heavier component is the tree's member.
+    """
+    weight = near.groupBy("component").agg(F.count(F.lit(1)).alias("weight")).join(near, "component")
+    of = lambda sid, c: weight.select(F.col("node").alias(sid), F.col("component").alias(c), F.col("weight").alias(f"{c}_weight"))
+    both = pairs.join(of("member", "x"), "member", "left").join(of("pivot", "y"), "pivot", "left")
+    both = both.select("member", "pivot", F.coalesce("x", "member").alias("x"), F.coalesce("y", "pivot").alias("y"), F.coalesce("x_weight", F.lit(1)).alias("u"), F.coalesce("y_weight", F.lit(1)).alias("v"))
+    both = stored(both, "rest-pairs")
+    near_by = F.explode(F.array(*(F.struct(F.col(c).alias("c"), F.col(o).alias("o"), F.col(w).alias("w")) for c, o, w in (("x", "y", "v"), ("y", "x", "u"), ("x", "x", "u"), ("y", "y", "v")))))
+    labels = both.select(near_by.alias("n")).select("n.*").groupBy("c").agg(F.max_by("o", F.struct("w", -F.col("o"))).alias("label"))
+    label = lambda c, name: labels.select(F.col("c").alias(c), F.col("label").alias(name))
+    met = both.join(label("x", "a"), "x").join(label("y", "b"), "y")
+    heavier = F.col("u") >= F.col("v")
+    return met.select(
+        F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("owner"),
+        F.when(heavier, F.col("pivot")).otherwise(F.col("member")).alias("probe"),
+        F.when(heavier, F.col("member")).otherwise(F.col("pivot")).alias("member"),
+    )
+
+
+def _named(members: DataFrame, near: DataFrame) -> DataFrame:
+    """Sets to documents: rows with equal sets are one node, and a component has the smallest id of its rows."""
+    placed = members.join(near.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    placed = placed.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "sid")))
+    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    tying = placed.where("doc_id is not null and component is not null").groupBy("doc_id").agg(F.min("component").alias("b"), F.max("component").alias("last")).where("b <> last")
+    if not tying.isEmpty():  # an id on rows with different texts joins their components
+        tied = components(placed.join(tying.select("doc_id", "b"), "doc_id").select(F.col("component").alias("a"), "b"))
+        joined = least.join(tied.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").withColumn("joined", F.coalesce("joined", "component"))
+        least = joined.join(joined.groupBy("joined").agg(F.min("least").alias("lowest")), "joined").select("component", F.col("lowest").alias("least"))
+    return placed.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _shared_only(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of tokens that more than one set leads with, each set once, from rows sorted by token and sid."""
-    for token, sid, size in _by_token(parts, ("token", "sid", "size")):
+    for token, sid, place in _by_token(parts, ("token", "sid", "place")):
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-        token, sid, size = token[fresh], sid[fresh], size[fresh]
+        token, sid, place = token[fresh], sid[fresh], place[fresh]
         same = token[1:] == token[:-1]
         keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
         if keep.any():
-            yield pa.record_batch({"token": pa.array(token[keep]), "sid": pa.array(sid[keep]), "size": pa.array(size[keep])})
+            yield pa.record_batch({"token": pa.array(token[keep]), "sid": pa.array(sid[keep]), "place": pa.array(place[keep])})
