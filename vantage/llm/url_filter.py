@@ -94,7 +94,8 @@ def mine(pages: DataFrame, labels: DataFrame, sample_pages: int = SAMPLE_PAGES,
     labelled pages there are no rules.
     """
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")).alias("bad"))
-    known = stored(pages.where("url is not null").join(marks, pages["page_id"] == marks["doc_id"]).select("page_id", "url", "bad"), "labelled-pages")
+    urls = pages.select("page_id", "url").where("url is not null")
+    known = stored(urls.join(marks, F.col("page_id") == F.col("doc_id")).select("page_id", "url", "bad"), "labelled-pages")
     total = known.count()
     share = min(1.0, sample_pages / max(1, total))
     sample = known.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
