@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from vantage.llm.shared import batches
 
 _NONE = np.int32(-1)
+#: Bytes of text whose pieces are encoded together.
+BLOCK_BYTES = 3_000_000
 
 
 class Vocabulary:
@@ -87,8 +89,8 @@ def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarr
     n = int(bounds[-1])
     token = vocabulary.single[np.frombuffer(b"".join(pieces), np.uint8)]
     piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
-    after = np.arange(1, n + 1, dtype=np.int64)
-    before = np.arange(-1, n - 1, dtype=np.int64)
+    after = np.arange(1, n + 1, dtype=np.int32)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     full = sizes > 0
     before[bounds[:-1][full]] = -1
     after[bounds[1:][full] - 1] = -1
@@ -116,9 +118,9 @@ def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarr
                 index[r] = [part]
                 heapq.heappush(heap, r)
 
-    everywhere = np.arange(n, dtype=np.int64)
-    if n:
-        add(everywhere, vocabulary.rank(token, right_of(everywhere)))
+    for first in range(0, n, 500_000):
+        some = np.arange(first, min(first + 500_000, n), dtype=np.int32)
+        add(some, vocabulary.rank(token[some], right_of(some)))
     while heap:
         r = heapq.heappop(heap)
         at = np.unique(np.concatenate(index.pop(r)))
@@ -173,14 +175,11 @@ def encode_texts(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray,
     """Ids of all texts one after another, and the bounds of each text among them."""
     number: dict[str, int] = {}
     split, fetch = vocabulary.pattern.findall, number.setdefault
-    of: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        had = len(of)
-        of += [fetch(piece, len(number)) for piece in split(text)]
-        counts[k] = len(of) - had
+    of = [np.array([fetch(piece, len(number)) for piece in split(text)], np.int32) for text in texts]
+    counts = np.array([len(x) for x in of], np.int64)
     ids, bounds = encode_pieces([p.encode() for p in number], vocabulary)
-    occurrence = np.array(of, np.int64)
+    occurrence = np.concatenate(of) if of else np.zeros(0, np.int32)
+    del number, of
     begin, size = bounds[:-1][occurrence], np.diff(bounds)[occurrence]
     total = np.zeros(len(occurrence) + 1, np.int64)
     np.cumsum(size, out=total[1:])
@@ -216,7 +215,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(path, pattern)
         for batch in parts:
-            for part in batches(batch, text_col, 16_000_000):
+            for part in batches(batch, text_col, BLOCK_BYTES):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 ids, bounds = encode_texts(texts, vocabulary)
                 own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -127,7 +127,7 @@ def phrases(stream: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.nda
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Samples by language; the automata are built where they are used, once in a process."""
+    """Samples by language; the automata are built where they are used, once in a task."""
 
     samples: tuple[tuple[str, str], ...]
 
@@ -206,5 +206,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 least = rates.min(1, initial=np.inf)
                 out = [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(np.where(known, least, 0.0), pa.float64(), mask=~known)]
                 yield pa.record_batch(out, names=[*part.schema.names, *own])
+        _BUILT.clear()  # the worker goes on to other work
 
     return kept.mapInArrow(judge, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
@@ -167,7 +168,16 @@ def words(data: np.ndarray, bounds: np.ndarray, separates: np.ndarray = _BLANK)
     return doc, begin, end, span_hashes(data, begin, end)
 
 
-def batches(table_of: pa.RecordBatch, column: str, limit: int = 4_000_000):
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives through many stages, beside an executor of fixed size."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
+def batches(table_of: pa.RecordBatch, column: str, limit: int = 1_500_000):
     """Parts of a batch whose texts together have at most limit bytes (one text at least)."""
     column_of = table_of.column(column)
     sizes = pc.fill_null(pc.binary_length(column_of), 0).to_numpy(zero_copy_only=False)
@@ -179,6 +189,7 @@ def batches(table_of: pa.RecordBatch, column: str, limit: int = 4_000_000):
         total += n
     if first < len(sizes):
         yield table_of.slice(first)
+    release()
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
