@@ -161,6 +161,20 @@ def test_line_dedup_with_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == [(-1, ""), (-1, "and another one that is long enough"), (3, line), (3, line)]
 
 
+def test_line_dedup_finds_twins_in_a_template_family(spark):
+    """Lines of one template (Jaccard 0.72), each with one twin (0.80): their buckets are crowded."""
+    rng = random.Random(12)
+    odd = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, tail, texts = odd(88), odd(88), []
+    for _ in range(500):
+        own = odd(24)
+        texts += [head + own + tail, head + own[:10] + odd(14) + tail]
+    assert jaccard(texts[0], texts[1]) >= 0.8 > 0.75 > jaccard(texts[0], texts[2])
+    dropped = {r["doc_id"] for r in dedup_lines(docs(spark, texts)).collect() if r["dropped"]}
+    assert not any(k % 2 == 0 for k in dropped)
+    assert len(dropped) >= 0.98 * 500
+
+
 # ---------------------------------------------------------------- 3
 
 

@@ -153,8 +153,8 @@ def _banded(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(make, "bucket long, line long")
 
 
-def _bucket_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line with the first of its bucket and with the one before it, from rows sorted by bucket and line."""
+def _bucket_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line but its bucket's first, with that first and with the one before it, from rows sorted by bucket and line."""
     bucket_before = line_before = head_before = None
     for part in parts:
         bucket, line = (part.column(c).to_numpy() for c in ("bucket", "line"))
@@ -168,21 +168,36 @@ def _bucket_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.where(at >= 0, line[at], head_before if head_before is not None else 0)
         before = np.concatenate(([line_before if line_before is not None else 0], line[:-1]))
         bucket_before, line_before, head_before = bucket[-1], line[-1], head[-1]
-        for other in (head, before):
-            good = ~new & (other != line)
-            if good.any():
-                x, y = line[good], other[good]
-                yield pa.record_batch({"a": pa.array(np.maximum(x, y)), "b": pa.array(np.minimum(x, y))})
+        good = ~new & (before != line)
+        if good.any():
+            yield pa.record_batch({"bucket": pa.array(bucket[good]), "line": pa.array(line[good]), "head": pa.array(head[good]), "before": pa.array(before[good])})
 
 
-def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between line identities of the column text.
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, ends: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Columns ends, as a and b, of the pairs (a, b) of lines that are similar enough."""
 
-    In a bucket every line meets the bucket's first line and its neighbour in order, so a bucket costs its size; with 14
-    bands a line has up to 28 partners, and components need only one link. Recall is measured in the tests.
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for part in batches(whole, "x", 1_000_000):
+                shared, union = overlaps(part.column("x"), part.column("y"))
+                good = pa.array(shared >= similarity * union)
+                yield pa.record_batch({"a": part.column("a").filter(good), "b": part.column("b").filter(good)})
+
+    body = F.col("body")
+    both = pairs.join(texts.select(F.col("line").alias("a"), body.alias("x")), "a").join(texts.select(F.col("line").alias("b"), body.alias("y")), "b")
+    return both.select(F.col(ends[0]).alias("a"), F.col(ends[1]).alias("b"), "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """node, component: the identities of lines of the column text that are joined to others by verified links.
+
+    In a bucket every line first meets the bucket's first line and its neighbour in order, which joins most. Buckets that
+    still hold lines of several components have pairs that were not compared; their lines meet in a second round, which
+    finds every similar pair among them (_crossing_pairs).
     """
     dealt = _banded(docs).repartition("bucket").sortWithinPartitions("bucket", "line")
-    pairs = stored(dealt.mapInArrow(_bucket_pairs, "a long, b long").distinct(), "line-pairs")
+    met = stored(dealt.mapInArrow(_bucket_rows, "bucket long, line long, head long, before long"), "line-buckets")
+    pairs = stored(met.select(F.col("line").alias("a"), F.explode(F.array("head", "before")).alias("b")).distinct(), "line-pairs")
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
     wanted = spark.sparkContext.broadcast(bloom(ends, "line"))
@@ -206,18 +221,83 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                     yield pa.record_batch({"line": pa.array(as_long(ids)), "body": pa.array([whole[b:e] for b, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)], pa.binary())})
 
     texts = docs.select("text").mapInArrow(fetch, "line long, body binary").groupBy("line").agg(F.first("body").alias("body"))
+    texts = stored(texts, "line-texts")
+    near = components(stored(_verified(pairs, texts, similarity), "line-links"))
+
+    # buckets of four lines or more; in smaller ones the first round compared every pair
+    crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("bucket")
+    placed = met.join(crowded, "bucket", "left_semi").select("bucket", F.explode(F.array("head", "line")).alias("line")).distinct()
+    placed = placed.join(near.withColumnRenamed("node", "line"), "line", "left").select("bucket", "line", F.coalesce("component", "line").alias("component"))
+    placed = stored(placed, "line-crowds")
+    mixed = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "line-mixed")
+    left = placed.join(F.broadcast(mixed) if small(mixed) else mixed, "bucket", "left_semi").select("line", "component").distinct()
+    left = stored(left.join(texts, "line"), "line-left")
+    if left.isEmpty():
+        return near
+    more = stored(_verified(_crossing_pairs(left, similarity), left.select("line", "body"), similarity, ("of_a", "of_b")).distinct(), "line-crossings")
+    if more.isEmpty():
+        return near
+    wider = components(more)
+    every = near.unionByName(wider.select("node", F.col("node").alias("component"))).distinct()
+    return stored(every.join(wider.select(F.col("node").alias("component"), F.col("component").alias("wide")), "component", "left").select("node", F.coalesce("wide", "component").alias("component")), "line-components")
+
+
+#: Bits of a cell's number in the second round's count of shingles.
+CELL_BITS = 18
+
+
+def _crossing_pairs(left: DataFrame, similarity: float) -> DataFrame:
+    """a, b, of_a, of_b: pairs of lines of different components, and these; among them all that are similar (left: line,
+    component, body).
+
+    Rare shingles come first in every set. Of two similar sets the first common shingle stands so early that what follows
+    suffices for the overlap needed: the smaller set's place is bounded as if both had its size, the larger one's by its
+    own. Lines of a template share only what comes late, and do not meet by it. The order rests on counts by cell, of
+    fixed size; it spares pairs and decides none.
+    """
 
-    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, np.int64)
         for whole in parts:
-            for part in batches(whole, "x", 1_000_000):
-                shared, union = overlaps(part.column("x"), part.column("y"))
-                good = pa.array(shared >= similarity * union)
-                yield pa.record_batch({"a": part.column("a").filter(good), "b": part.column("b").filter(good)})
-
-    body = F.col("body")
-    texts = stored(texts, "line-texts")
-    joined_pairs = pairs.join(texts.select(F.col("line").alias("a"), body.alias("x")), "a").join(texts.select(F.col("line").alias("b"), body.alias("y")), "b")
-    return joined_pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+            for part in batches(whole, "body"):
+                keys = _set_keys(part.column("body")) & np.uint64((1 << 44) - 1)
+                counts += np.bincount((keys >> np.uint64(44 - CELL_BITS)).astype(np.int64), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.record_batch({"cell": pa.array(at, pa.int32()), "n": pa.array(counts[at])})
+
+    counted = left.select("body").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << CELL_BITS, np.int64)
+    often[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    often = left.sparkSession.sparkContext.broadcast(np.minimum(often, (1 << 32) - 1).astype(np.uint32))
+
+    def leading(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for part in batches(whole, "body"):
+                keys = _set_keys(part.column("body"))
+                own = (keys >> np.uint64(44)).astype(np.int64)
+                token = keys & np.uint64((1 << 44) - 1)
+                order = np.lexsort((token, often.value[(token >> np.uint64(44 - CELL_BITS)).astype(np.int64)], own))
+                token = token[order]
+                size = np.bincount(own, minlength=len(part))
+                rest = (np.cumsum(size)[own] - np.arange(len(own))).astype(np.int64)  # from this shingle to the set's end
+                good = rest >= similarity * size[own] - 1e-6
+                at = pa.array(own[good])
+                yield pa.record_batch({"token": pa.array(as_long(token[good])), "line": part.column("line").take(at), "component": part.column("component").take(at), "size": pa.array(size[own][good], pa.int32()), "rest": pa.array(rest[good], pa.int32())})
+
+    rows = stored(left.mapInArrow(leading, "token long, line long, component long, size int, rest int"), "line-leading")
+    t = float(similarity)
+    smaller = rows.where(F.col("rest") * (1 + t) >= F.col("size") * (2 * t) - 1e-6)
+    x, y = smaller.alias("x"), rows.alias("y")
+    m, n = F.col("x.size"), F.col("y.size")
+    fits = (
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.component") != F.col("y.component"))
+        & ((m < n) | ((m == n) & (F.col("x.line") < F.col("y.line"))))
+        & (m >= n * t - 1e-6)
+        & (F.least("x.rest", "y.rest") * (1 + t) >= (m + n) * t - 1e-6)
+    )
+    found = x.join(y, fits).select(F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.col("x.component").alias("of_a"), F.col("y.component").alias("of_b"))
+    return stored(found.distinct(), "line-crossing-pairs")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -232,8 +312,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     version = F.xxhash64(text_col)
     texts = docs.select(F.col(text_col).alias("text"), place.alias("place"), version.alias("version"))
-    links = stored(similar_lines(texts, similarity), "line-links")
-    drops = repeated_lines(texts, components(links))
+    drops = repeated_lines(texts, line_components(texts, similarity))
 
     placed = docs.select(*kept, place.alias("_place"), version.alias("_version"))
     few = drops.agg(F.coalesce(F.sum(F.size("dropped") + 4), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS
