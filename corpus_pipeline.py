@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vantage.llm import language
 from vantage.llm.bpe import encode_documents
 from vantage.llm.decontaminate import decontaminated
-from vantage.llm.line_dedup import LEAST_BYTES, dedup_lines
+from vantage.llm.line_dedup import dedup_lines
 from vantage.llm.ngram_join import near_duplicates
 from vantage.llm.queries import held_out, tokenizer
 from vantage.llm.shared import small, stored, table
@@ -27,11 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated and similar lines out; n_chars follows the text. A document that loses all the lines that can be
-    compared is a copy of others and goes, with what short lines it has left."""
+    """Takes repeated and similar lines out, and drops documents that have only blanks left by it; n_chars follows the text."""
     cleaned = dedup_lines(docs.select(*COLUMNS))
-    left = F.exists(F.split("text", "\n", -1), lambda line: F.octet_length(line) >= LEAST_BYTES)
-    kept = cleaned.where((F.size("dropped") == 0) | left)
+    kept = cleaned.where((F.size("dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0d]"))
     length = F.when(F.size("dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.select("doc_id", "text", "lang", "source", length.alias("n_chars"))
 

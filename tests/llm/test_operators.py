@@ -535,6 +535,15 @@ def test_pipeline_by_stage(spark):
     assert len(final) - len([1 for t in final if t == ""]) <= len(set(final))
 
 
+def test_pipeline_keeps_documents_with_short_lines_left(spark):
+    import corpus_pipeline as p
+
+    shared = "a boilerplate line that stands in several documents"
+    texts = [shared, shared + "\nown | row", shared + "\n \n\t", "clean"]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in p.line_dedup(spark, docs(spark, texts), DATA).collect()}
+    assert got == {0: (shared, len(shared)), 1: ("own | row", 9), 3: ("clean", 5)}
+
+
 def test_ported_entry_survives_without_llm():
     import subprocess
     import sys
