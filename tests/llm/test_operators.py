@@ -175,6 +175,12 @@ def test_line_dedup_finds_twins_in_a_template_family(spark):
     assert len(dropped) >= 0.98 * 500
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["Les.\nof its own\n\n \t\nSee the Notes", "Les.\n\n \t\nx", "see the notes\nx\n\nOf, edti oner."]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "\n \t\nx", 2: "\nOf, edti oner."}
+
+
 # ---------------------------------------------------------------- 3
 
 

@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.shared import BROADCAST_ROWS, as_long, batches, bloom, bloom_has, components, joined, mix, small, span_hashes, stored
+from vantage.llm.shared import _BLANK, BROADCAST_ROWS, as_long, batches, bloom, bloom_has, components, joined, mix, small, span_hashes, stored
 
 #: Bytes in a shingle; least similarity of two lines; bands and bins in each.
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 5
-#: Lines of fewer bytes are left alone: they are headings, list marks and single words.
-LEAST_BYTES = 24
+#: Blank lines are left alone, all others are compared; those without a shingle have only equal lines as copies.
+LEAST_BYTES = 1
 
 _NEWLINE = 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -46,6 +46,13 @@ def lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc, number, begin, end
 
 
+def worded(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which lines have LEAST_BYTES bytes besides blanks."""
+    total = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~_BLANK[data], out=total[1:])
+    return total[end] - total[begin] >= LEAST_BYTES
+
+
 def line_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit identity of each line's bytes."""
     return span_hashes(data, begin, end) | np.uint64(1)
@@ -130,7 +137,7 @@ def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """bucket, line: of every line long enough, each distinct line of a task once."""
+    """bucket, line: of every line that has a shingle, each distinct line of a task once."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
@@ -138,7 +145,7 @@ def _banded(docs: DataFrame) -> DataFrame:
             for part in batches(batch, "text"):
                 data, bounds = joined(part.column("text"))
                 _, _, begin, end = lines(data, bounds)
-                long = end - begin >= LEAST_BYTES
+                long = (end - begin >= SHINGLE) & worded(data, begin, end)
                 begin, end = begin[long], end[long]
                 ids, first = np.unique(line_ids(data, begin, end), return_index=True)
                 new = ~np.isin(ids, seen, assume_unique=True)
@@ -208,7 +215,7 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             for part in batches(batch, "text"):
                 data, bounds = joined(part.column("text"))
                 _, _, begin, end = lines(data, bounds)
-                long = end - begin >= LEAST_BYTES
+                long = (end - begin >= SHINGLE) & worded(data, begin, end)
                 begin, end = begin[long], end[long]
                 ids, first = np.unique(line_ids(data, begin, end), return_index=True)
                 good = bloom_has(wanted.value, ids) & ~np.isin(ids, seen, assume_unique=True)
@@ -304,7 +311,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All columns of docs with text_col rewritten, and n_lines and dropped, the numbers of the lines that went.
 
     Equal lines and lines linked through similar ones are one component; its line in the document with the smallest id,
-    and there the first, stays (rows without an id come last). Lines below LEAST_BYTES bytes stay. A null text stays null
+    and there the first, stays (rows without an id come last). Blank lines stay. A null text stays null
     with no lines; an empty one has one empty line. Rows that repeat both id and text are treated as one; an empty table
     gives an empty result; columns of docs named n_lines or dropped are replaced.
     """
@@ -335,7 +342,7 @@ def repeated_lines(texts: DataFrame, near: DataFrame) -> DataFrame:
             for part in batches(batch, "text"):
                 data, bounds = joined(part.column("text"))
                 doc, number, begin, end = lines(data, bounds)
-                long = end - begin >= LEAST_BYTES
+                long = worded(data, begin, end)
                 doc, number = doc[long], number[long]
                 ids = line_ids(data, begin[long], end[long])
                 at = pa.array(doc)
