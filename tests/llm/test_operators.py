@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm import language, quality, queries, url_filter
 from vantage.llm.bpe import decode, encode_documents, encode_texts, loaded
-from vantage.llm.decontaminate import LEAST_WORDS, decontaminated, leaks
+from vantage.llm.decontaminate import LEAST_WORDS, MASKS, decontaminated, leaks
 from vantage.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
 from vantage.llm.line_dedup import LEAST_BYTES, dedup_lines, jaccard, overlaps
 from vantage.llm.ngram_join import PrefixTree, near_duplicates
@@ -321,6 +321,17 @@ def test_leaks_by_planting(spark):
     assert leaks(docs(spark, texts), bench.limit(0)).count() == 0 and leaks(docs(spark, []).limit(0), bench).count() == 0
 
 
+def test_leak_behind_a_weak_hit(spark):
+    """Words 24 to 35 of the item agree in 7 places, 40 to 52 in all: only the later hit has an overlap around it."""
+    rng = random.Random(14)
+    item = [f"i{k}" for k in range(60)]
+    for mask in MASKS:
+        same = {24 + k for k, c in enumerate(mask) if c == "1"} | set(range(40, 53))
+        text = " ".join(w if k in same else f"x{rng.randrange(10**9)}" for k, w in enumerate(item))
+        got = leaks(docs(spark, [text]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+        assert [(r["doc_id"], r["item_id"], r["overlap"], r["agreeing"]) for r in got] == [(0, 1, 13, 13)]
+
+
 # ---------------------------------------------------------------- 7
 
 
