@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm import language, quality, queries, url_filter
 from vantage.llm.bpe import decode, encode_documents, encode_texts, loaded
-from vantage.llm.decontaminate import LEAST_WORDS, MASKS, decontaminated, leaks
+from vantage.llm.decontaminate import LEAST_WORDS, MASKS, decontaminated, leaks, short_masks
 from vantage.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
 from vantage.llm.line_dedup import LEAST_BYTES, dedup_lines, jaccard, overlaps
 from vantage.llm.ngram_join import PrefixTree, near_duplicates
@@ -332,6 +333,28 @@ def test_leak_behind_a_weak_hit(spark):
         assert [(r["doc_id"], r["item_id"], r["overlap"], r["agreeing"]) for r in got] == [(0, 1, 13, 13)]
 
 
+def test_masks_hit_every_overlap_that_is_allowed():
+    hit = lambda same, mask: any(all(same[s + k] for k, c in enumerate(mask) if c == "1") for s in range(len(same) - len(mask) + 1))
+    for n, changed in ((13, 2), (15, 3), (20, 4)):  # the lengths between have no more substitutions
+        for places in itertools.combinations(range(n), changed):
+            assert any(hit([k not in places for k in range(n)], m) for m in MASKS), places
+    rng = random.Random(15)
+    for _ in range(2000):
+        places = rng.sample(range(25), 5)
+        assert any(hit([k not in places for k in range(25)], m) for m in MASKS), places
+    for n in range(1, LEAST_WORDS):
+        assert all(len(m) == n for m in short_masks(n))
+        for places in itertools.combinations(range(1, n - 1), n // 5):
+            assert any(hit([k not in places for k in range(n)], m) for m in short_masks(n)), (n, places)
+
+
+def test_leaks_of_short_items_with_substitutions(spark):
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (1, 2, 3, 5, 8, 10, 12, 13, 15)}
+    texts = [" ".join("other" if 0 < k < n - 1 and k % 5 == 3 and n >= 5 else w for k, w in enumerate(item)) for n, item in items.items()]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(docs(spark, texts), spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()], "item_id long, text string")).collect()}
+    assert got == set(enumerate(items))
+
+
 # ---------------------------------------------------------------- 7
 
 

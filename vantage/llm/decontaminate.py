@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from vantage.llm.shared import as_long, batches, bloom, bloom_has, joined, mix, small, stored, words
 
-#: Windows of 12 words of which 7 count. The masks differ, so that substitutions that one misses another allows.
-MASKS = ("110101001011", "111000101101", "101100110101")
-SPAN = len(MASKS[0])
+#: Windows of up to 12 words of which 6 count. Together the masks hit every overlap of LEAST_WORDS words or more with
+#: LEAST_SHARE equal, wherever its substitutions are: enumerated up to 29 words, and a longer one has a half that is one.
+MASKS = ("1101111", "11100010011", "11000110101", "110001010101")
+SPAN = max(map(len, MASKS))
 #: Words around a hit that are compared, to each side of its window.
 REACH = 24
 #: An overlap has at least this many words (an item with fewer: all of them), of which at least this share agree.
@@ -38,16 +39,23 @@ def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashed, np.cumsum(count) - count, count
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks of n words, for an item of fewer than LEAST_WORDS. Its ends agree; of the words between, cut into one part more
+    than may be substituted, some part agrees whole, and each mask keeps one."""
+    parts = int(n - np.ceil(LEAST_SHARE * n - 1e-9)) + 1
+    return ["".join("1" if k in (0, n - 1) or (k - 1) * parts // (n - 2) == part else "0" for k in range(n)) for part in range(parts)]
+
+
 def seeds(hashed: np.ndarray, first: np.ndarray, count: np.ndarray, short: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each mask: seed, text and position of every window. short: lengths of items below SPAN words, each of which has a
-    full mask of its own, since such an item holds no window."""
-    for number, mask in enumerate([*MASKS, *("1" * n for n in short)]):
+    """For each mask: seed, text and position of every window. short: lengths of items below LEAST_WORDS words, each of which
+    has masks of its own, since such an item may hold no window that agrees."""
+    for number, mask in [*enumerate(MASKS, 1), *((1000 * n + k, m) for n in short for k, m in enumerate(short_masks(n)))]:
         span = len(mask)
         made = np.maximum(count - span + 1, 0)
         own = np.repeat(np.arange(len(count)), made)
         at = np.arange(made.sum()) - np.repeat(np.cumsum(made) - made, made)
         begin = first[own] + at
-        out = np.full(len(own), mix(np.array([number + 1 if number < len(MASKS) else 1000 + span], np.uint64))[0], np.uint64)
+        out = np.full(len(own), mix(np.array([number], np.uint64))[0], np.uint64)
         with np.errstate(over="ignore"):
             for k, c in enumerate(mask):
                 if c == "1":
@@ -140,8 +148,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         for part in parts:
             yield pa.record_batch({"n": pa.array(_windows(part.column("text"))[2], pa.int32())})
 
-    counted = texts.mapInArrow(count_words, "n int").where(f"n > 0 and n < {SPAN}").distinct()
-    short = tuple(sorted(r["n"] for r in counted.collect()))  # fewer than SPAN values
+    counted = texts.mapInArrow(count_words, "n int").where(f"n > 0 and n < {LEAST_WORDS}").distinct()
+    short = tuple(sorted(r["n"] for r in counted.collect()))  # fewer than LEAST_WORDS values
     items = stored(_rows(texts, "id", "text", "item", short), "item-seeds")
     wanted = spark.sparkContext.broadcast(bloom(items, "seed"))
     rows = _rows(docs, id_col, text_col, "doc", short, wanted)
