@@ -442,6 +442,13 @@ def quasi_p(spark, sf):
     return rows_of(spark, [(g["grp"], round(st.binomial_greater(g["k"], g["n"], 0.4), 9)) for g in groups], "grp string, p double")
 
 
+@query("quasi_p_all_orders")
+def quasi_p_all_orders(spark, sf):
+    """quasi_p over the whole table; there is no SQL for it, brute force tests it."""
+    groups = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("k")).collect()
+    return rows_of(spark, [(g["grp"], round(st.binomial_greater(g["k"], g["n"], 0.4), 9)) for g in groups], "grp string, p double")
+
+
 def _fixed_prim_box(f: ScenarioFrame) -> PrimBox:
     initial, s = f.initial_limits(), f.summary()
     box = fixed_box(initial)
