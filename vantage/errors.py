@@ -27,7 +27,7 @@ def _rebuilt(kind, variant, message, parts):
 
 class DataError(VantageError):
     """EmptyFeatureName, EmptyFeature, NoFeatures, UnsupportedFeature, NoOutcomes, RowCountMismatch, DuplicateFeatureName,
-    NonFiniteValue, EmptyCategoryValue, InvalidCategoryCode, TooManyCategories."""
+    NonFiniteValue, EmptyCategoryValue, InvalidCategoryCode, TooManyCategories, NullCase."""
 
 
 class PrimError(VantageError):

@@ -43,25 +43,46 @@ class Feature:
         return F.col(f"`{self.name}`").cast(kind).alias(self.name, metadata={"feature_kind": self.kind})
 
 
+def refused(x: Column, kind: str) -> Column:
+    """Whether a feature of this kind refuses a value."""
+    if kind == CONTINUOUS:
+        return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return x.isNull() | (F.trim(x) == "") if kind == CATEGORICAL else x.isNull()
+
+
 def category_dictionary(values: DataFrame, column: str) -> DataFrame:
     """category and code: the distinct values in lexical order, numbered from 0. Values that do not occur have no code.
 
-    The numbering sorts distinct values in one partition; a dictionary is small beside its column.
+    No task sorts them all: see `numbered`.
     """
     distinct = values.select(F.col(column).alias("category")).where("category is not null").distinct()
-    return distinct.select("category", (F.row_number().over(W.Window.orderBy("category")) - 1).cast("int").alias("code"))
+    return numbered(distinct, "category", "code").withColumn("code", F.col("code").cast("int"))
+
+
+def numbered(rows: DataFrame, by: str, name: str, first: int = 0) -> DataFrame:
+    """Adds the number of each row in the order of a string or binary column of distinct values, from `first` on.
+
+    Rows with equal beginnings (two characters or bytes) are sorted together and count from what earlier beginnings hold. One
+    task meets the beginnings only, one row for each.
+    """
+    begun = rows.withColumn("_begin", F.substring(by, 1, 2))
+    sizes = begun.groupBy("_begin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.Window.orderBy("_begin").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_begin", before.alias("_before"))
+    within = F.row_number().over(W.Window.partitionBy("_begin").orderBy(by))
+    return begun.join(starts, "_begin").select(*rows.columns, (F.col("_before") + within - 1 + first).cast("long").alias(name))
 
 
 def decoded(codes: DataFrame, code_column: str, dictionary: DataFrame) -> DataFrame:
     """Adds category by looking a code up; a code that the dictionary lacks gives null."""
     found = dictionary.select(F.col("code").alias("_code"), "category")
-    return codes.join(F.broadcast(found), codes[code_column] == found["_code"], "left").drop("_code")
+    return codes.join(found, codes[code_column] == found["_code"], "left").drop("_code")
 
 
 def encoded_as(values: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """Adds code by looking a category up; an unknown category gives null."""
     found = dictionary.select(F.col("category").alias("_category"), "code")
-    return values.join(F.broadcast(found), values[column] == found["_category"], "left").drop("_category")
+    return values.join(found, values[column] == found["_category"], "left").drop("_category")
 
 
 def categorical_from_dictionary(codes: DataFrame, code_column: str, entries: list[str], name: str, row_column: str = "row_id") -> DataFrame:
@@ -72,7 +93,7 @@ def categorical_from_dictionary(codes: DataFrame, code_column: str, entries: lis
     if bad is not None:
         raise DataError("InvalidCategoryCode", f"feature '{name}' has code {bad[code_column]} at row {bad[row_column]}, outside its dictionary", name=name, row=bad[row_column], code=bad[code_column])
     table = spark.createDataFrame([(k, e) for k, e in enumerate(entries)], "_code int, category string")
-    out = codes.join(F.broadcast(table), codes[code_column] == table["_code"]).drop("_code", code_column)
+    out = codes.join(table, codes[code_column] == table["_code"]).drop("_code", code_column)
     return out.withColumnRenamed("category", name)
 
 
@@ -107,26 +128,33 @@ class ScenarioFrame:
         if self.check:
             self.validate()
 
+    def faults(self) -> DataFrame:
+        """position, feature, n, row, value: for each feature, and the case, how many values it refuses, and the first of them.
+
+        A continuous value must be finite, a category not blank, any value and case not null. Where a frame has no row_id, rows
+        are numbered by partition: in the order of the input, with gaps.
+        """
+        rows = self.df if self.row_id else self.df.withColumn("row_id", F.monotonically_increasing_id())
+        names = [*(f.name for f in self.features), CASE]
+        wrong = [*(refused(F.col(f"`{f.name}`"), f.kind) for f in self.features), F.col(CASE).isNull()]
+        columns = []
+        for k, (name, bad) in enumerate(zip(names, wrong, strict=True)):
+            at = F.struct(F.col("row_id").alias("row"), F.col(f"`{name}`").cast("string").alias("value"))
+            columns += [F.count_if(bad).alias(f"n{k}"), F.min_by(at, F.when(bad, F.col("row_id"))).alias(f"at{k}")]
+        each = [F.struct(F.lit(k).alias("position"), F.lit(name).alias("feature"), F.col(f"n{k}").alias("n"), F.col(f"at{k}.row").alias("row"), F.col(f"at{k}.value").alias("value")) for k, name in enumerate(names)]
+        return rows.agg(*columns).select(F.explode(F.array(*each)).alias("f")).select("f.*")
+
     def validate(self) -> None:
-        at = F.col("row_id") if self.row_id else F.monotonically_increasing_id()
-        bad = []
-        for f in self.features:
-            x = F.col(f"`{f.name}`")
-            if f.kind == CONTINUOUS:
-                wrong = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-            elif f.kind == CATEGORICAL:
-                wrong = x.isNull() | (F.trim(x) == "")
-            else:
-                wrong = x.isNull()
-            bad.append(F.count_if(wrong).alias(f"n:{f.name}"))
-            bad.append(F.min_by(F.struct(at.alias("row"), x.cast("string").alias("value")), F.when(wrong, at)).alias(f"v:{f.name}"))
-        found = self.df.agg(*bad).first()
-        for f in self.features:
-            if found[f"n:{f.name}"]:
-                row, value = found[f"v:{f.name}"]
-                if f.kind == CATEGORICAL:
-                    raise DataError("EmptyCategoryValue", f"feature '{f.name}' has a blank category at row {row}", name=f.name, row=row)
-                raise DataError("NonFiniteValue", f"feature '{f.name}' has the value {value}, which is not finite, at row {row}", name=f.name, row=row, value=value)
+        """Raises the first fault by the order of the features; the case comes last."""
+        found = self.faults().where("n > 0").orderBy("position").first()
+        if found is None:
+            return
+        name, row, value = found["feature"], found["row"], found["value"]
+        if found["position"] == len(self.features):
+            raise DataError("NullCase", f"the case at row {row} is null", row=row)
+        if self.kind(name) == CATEGORICAL:
+            raise DataError("EmptyCategoryValue", f"feature '{name}' has a blank category at row {row}", name=name, row=row)
+        raise DataError("NonFiniteValue", f"feature '{name}' has the value {value}, which is not finite, at row {row}", name=name, row=row, value=value)
 
     def kind(self, name: str) -> str:
         return next(f.kind for f in self.features if f.name == name)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from vantage.errors import DataError, EvaluationDatasetError, EvaluationTableError
 from vantage.functions.outcomes import SUCCESS, message_of
 from vantage.functions.rules import CaseCondition, CaseRule
 from vantage.functions.seeds import id_hex
-from vantage.operators.frame import CASE, Feature, ScenarioFrame
+from vantage.operators.frame import CASE, Feature, ScenarioFrame, numbered
 from vantage.schema import SessionSchema, type_spelling
 
 KEYS = ["evaluation_id", "row"]
@@ -51,7 +50,7 @@ class EvaluationTable:
         if df is None:
             df = spark.createDataFrame([], session.storage_type()).withColumn("ordinal", F.lit(0).cast("long"))
         elif "ordinal" not in df.columns:
-            first = df.select("evaluation_id").distinct().select("evaluation_id", (F.row_number().over(W.Window.orderBy("evaluation_id")) - 1).cast("long").alias("ordinal"))
+            first = numbered(df.select("evaluation_id").distinct(), "evaluation_id", "ordinal")
             df = df.join(first, "evaluation_id")
         self.df = df.select(*COLUMNS, "ordinal")
 
@@ -78,8 +77,8 @@ class EvaluationTable:
             raise EvaluationTableError("DuplicateId", f"evaluation {id_hex(bytes(double[0]))} is in the table already", id=id_hex(bytes(double[0])))
         base = self.df.agg(F.coalesce(F.max("ordinal"), F.lit(-1))).first()[0] + 1
         ids = evaluated.select("evaluation_id").distinct()
-        order = ids.select("evaluation_id", (F.row_number().over(W.Window.orderBy("evaluation_id")) - 1 + base).cast("long").alias("ordinal"))
-        return EvaluationTable(self.session, self.df.unionByName(evaluated.select(*COLUMNS).join(F.broadcast(order), "evaluation_id").select(*COLUMNS, "ordinal")))
+        order = numbered(ids, "evaluation_id", "ordinal", base)
+        return EvaluationTable(self.session, self.df.unionByName(evaluated.select(*COLUMNS).join(order, "evaluation_id").select(*COLUMNS, "ordinal")))
 
     def sort_by_id(self) -> EvaluationTable:
         """Evaluations in the order of their ids as numbers."""

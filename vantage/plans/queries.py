@@ -54,7 +54,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def experiments(spark: SparkSession, sf: str) -> ScenarioFrame:
     rows = table(spark, sf, "lineitem").withColumn(CASE, F.col("l_extendedprice") * (1 - F.col("l_discount")) >= 60000.0)
-    return ScenarioFrame(rows, FEATURES, check=False)
+    return ScenarioFrame(rows, FEATURES)
 
 
 def d(x: float) -> str:
@@ -124,18 +124,22 @@ def category_decode(spark, sf):
 _ODD = "CASE WHEN value < 10 THEN CAST('NaN' AS DOUBLE) WHEN value > 100 THEN CAST('Infinity' AS DOUBLE) ELSE value END"
 
 
-@query("nonfinite_rows", f"SELECT event_id, isnan(x) AS is_nan FROM (SELECT event_id, {_ODD} AS x FROM events) AS e WHERE x IS NULL OR isnan(x) OR isinf(x)")
+@query(
+    "nonfinite_rows",
+    f"SELECT 0 AS position, 'x' AS feature, count(*)::BIGINT AS n, min(event_id)::BIGINT AS row, CASE WHEN isnan(arg_min(x, event_id)) THEN 'NaN' ELSE 'Infinity' END AS value "
+    f"FROM (SELECT event_id, {_ODD} AS x FROM events) AS e WHERE x IS NULL OR isnan(x) OR isinf(x)",
+)
 def nonfinite_rows(spark, sf):
-    """Rows that a continuous feature refuses, in a column that has some."""
-    x = F.col("x")
-    odd = table(spark, sf, "events").select("event_id", F.expr(_ODD).alias("x"))
-    return odd.where(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).select("event_id", F.isnan(x).alias("is_nan"))
+    """What a frame's check finds in a continuous feature that has some."""
+    odd = table(spark, sf, "events").select(F.col("event_id").cast("long"), F.expr(_ODD).alias("x"), F.lit(True).alias(CASE))
+    return ScenarioFrame(odd, [Feature.continuous("x")], row_id="event_id", check=False).faults().where("n > 0")
 
 
-@query("blank_categories", "SELECT count(*)::BIGINT AS blank FROM orders WHERE trim(o_orderstatus) = '' OR o_orderstatus IS NULL")
+@query("blank_categories", "SELECT 'o_orderstatus' AS feature, count(*) FILTER (s IS NULL OR trim(s) = '')::BIGINT AS n, min(o_orderkey) FILTER (s IS NULL OR trim(s) = '')::BIGINT AS row FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE o_orderstatus END AS s FROM orders) AS o")
 def blank_categories(spark, sf):
-    x = F.col("o_orderstatus")
-    return table(spark, sf, "orders").agg(F.count_if(x.isNull() | (F.trim(x) == "")).alias("blank"))
+    """What a frame's check finds in a categorical feature with blanks."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long"), F.when(F.col("o_orderstatus") == "P", " ").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.lit(True).alias(CASE))
+    return ScenarioFrame(rows, [Feature.categorical("o_orderstatus")], row_id="o_orderkey", check=False).faults().where("position = 0").select("feature", "n", "row")
 
 
 @query("rows_in_box", f"SELECT l_quantity, l_extendedprice, l_linenumber, l_returnflag, is_case FROM {EXP} WHERE {box_sql()}")
