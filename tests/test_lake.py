@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vantage.operators.sampling import sample_uniform
 from vantage.operators.search import Prim
@@ -24,6 +25,8 @@ def test_release_is_bounded_and_errors_are_rows():
     x = {k: v[:, None] for k, v in columns().items()}
     assert release(np.array([[0.25]]), x)[0, 0] == 0.01 and release(np.array([[2.0]]), x)[0, 0] == 0.1
     assert Lake(0.41, 4, 12).run(columns(r1=0.0), [1])[1] == ["r1 must be greater than zero"]
+    for name, value, said in (("c1", np.nan, "c1 must be finite"), ("stdev", -0.1, "stdev must not be negative"), ("delta", 1.5, "delta must be greater than zero and at most one"), ("delta", 0.0, "delta must be greater than zero and at most one"), ("w1", -0.5, "w1 must lie between zero and one")):
+        assert Lake(0.41, 4, 12).run(columns(**{name: value}), [1])[1] == [said]
     same = [Lake(0.41, 4, 12).run(columns(stdev=0.001), [42])[0]["utility"][0] for _ in range(2)]
     assert same[0] == same[1]
     with pytest.raises(ValueError):
@@ -33,6 +36,8 @@ def test_release_is_bounded_and_errors_are_rows():
 def test_search_over_lake_evaluations(spark):
     requests = sample_uniform(spark, session(), 600, 0x5EED1A6E, 0)
     results = LakeEvaluator(Lake(0.41, 10, 100)).evaluate(requests)
+    odd = requests.where("row < 3").withColumn("inputs", F.col("inputs").withField("b", F.when(F.col("row") == 1, 0.9).otherwise(F.col("inputs.b"))))
+    assert [r["outcome"]["kind"] for r in LakeEvaluator(Lake(0.41, 4, 12)).evaluate(odd).orderBy("row").collect()] == ["success", "input_out_of_domain", "success"]
     frame = EvaluationTable(session(), pair(requests.cache(), results.cache())).dataset(4)
     assert [f.name for f in frame.features] == list(INPUTS) and 0.05 < frame.case_count() / frame.row_count() < 0.3
     box = Prim(frame).find_box()

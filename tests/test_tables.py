@@ -1,5 +1,6 @@
 import io
 import math
+import time
 
 import pyarrow as pa
 import pytest
@@ -25,7 +26,7 @@ from vantage.functions import outcomes as oc
 from vantage.functions import seeds
 from vantage.functions.paths import OutputPath
 from vantage.functions.rules import AT_MOST, BELOW, NOT_A_CASE, REJECT, CaseCondition, CaseRule
-from vantage.operators.evaluate import ChunkingPolicy, EvaluatorPool, ExternalEvaluator, InProcessEvaluator, InputRow, ModelFailure, ParallelEvaluator, RowContext, chunk_result
+from vantage.operators.evaluate import ChunkingPolicy, EvaluatorFailure, EvaluatorPool, ExternalEvaluator, InProcessEvaluator, InputRow, ModelFailure, ParallelEvaluator, RowContext, chunk_result
 from vantage.operators.frame import Feature, ScenarioFrame, categorical_from_dictionary, category_dictionary, encoded_as, features_of
 from vantage.operators.requests import split
 from vantage.operators.sampling import sample_latin_hypercube, sample_uniform
@@ -244,7 +245,26 @@ def test_pool(spark):
             raise OSError("gone")
 
     report = EvaluatorPool([Broken()]).evaluate(requests, got.append)
-    assert [s for _, s, _ in report] == ["evaluator", "not_evaluated", "not_evaluated", "not_evaluated"]
+    assert [s for _, s, _ in report] == ["panic", "not_evaluated", "not_evaluated", "not_evaluated"]
+
+    class Failing(Broken):
+        def __init__(self, what):
+            self.what = what
+
+        def evaluate(self, requests):
+            if isinstance(self.what, Exception):
+                raise self.what
+            return self.what
+
+    for what, variant in ((EvaluatorFailure("gone"), "Evaluator"), (OSError("gone"), "Panic"), (None, "MissingResult"), (requests[0].sparkSession.createDataFrame([], TOY.result_type()), "MissingResult")):
+        pool = EvaluatorPool([Failing(what)])
+        items = list(pool.results(requests[:2]))
+        assert [i.error.variant for i in items] == [variant, "NotEvaluated"] and [i.error.position for i in items] == [0, 1]
+        assert pool.running_count == 0 and [i.error.variant for i in pool.results(requests[:1])] == ["NotEvaluated"]
+    # one evaluator that fails leaves the requests to the others
+    pool = EvaluatorPool([Failing(EvaluatorFailure("gone")), InProcessEvaluator(TOY, toy)])
+    items = list(pool.results(requests))
+    assert sum(i.error is None for i in items) >= 3 and pool.running_count in (1, 2)
     with pytest.raises(EvaluatorPoolError):
         EvaluatorPool([])
     with pytest.raises(EvaluatorPoolError):
@@ -265,6 +285,37 @@ def test_pool(spark):
     assert ExternalEvaluator(TOY, serve).evaluate(requests[0]).where("outputs.failure").count() == 10
 
 
+def slow_toy(row, context):
+    import time
+
+    time.sleep(0.4)
+    return toy(row, context)
+
+
+def test_pool_works_side_by_side_and_stops_early(spark):
+    requests = [sample_uniform(spark, TOY, 4, 9, k) for k in range(6)]
+    pool = EvaluatorPool([InProcessEvaluator(TOY, slow_toy) for _ in range(3)])
+    pool.evaluate(requests[:3], lambda r: None)
+    began = time.time()
+    report = pool.evaluate(requests[:3], lambda r: r.count())
+    assert [s for _, s, _ in report] == ["evaluated"] * 3 and time.time() - began < 3 * 4 * 0.4
+    with pool.results(requests) as items:
+        first = next(items)
+        assert first.error is None and first.results.count() == 4
+    assert not items._waiting and pool.running_count == 3  # waiting requests are dropped, evaluators are free
+    assert sum(i.error is None for i in pool.results(requests[:2])) == 2
+
+
+def test_one_message_for_a_violation(spark):
+    from vantage.operators.evaluate import out_of_domain
+
+    session = SchemaBuilder().continuous("x", 0.0, 1e-9).boolean_output("y").build()
+    values = [-0.5, 1e7, 12345678.9, 1.5e16, 2e-5, 0.00012, 123456789012.125, -1e300, 7.0, 1e22, 0.1]
+    df = spark.createDataFrame([((v,),) for v in values], "inputs struct<x:double>")
+    got = [r["m"] for r in df.select(oc.domain_violation(session, F.col("inputs"))["message"].alias("m")).collect()]
+    assert got == [out_of_domain(session, {"x": v})["message"] for v in values]
+
+
 def evaluated(spark, session, model, rows=200, seed=0x5EED, sequence=0, sample=sample_uniform):
     requests = sample(spark, session, rows, seed, sequence)
     return pair(requests, InProcessEvaluator(session, model).evaluate(requests))

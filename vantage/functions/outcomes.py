@@ -62,12 +62,29 @@ def shown(x) -> str:
     return str(int(x)) if isinstance(x, float) and x.is_integer() and abs(x) < 1e16 else str(x)
 
 
-def violation_message(low, high, value: Column, text: Column) -> Column:
+def violation(low, high, text: str) -> str:
+    """How messages say that a number, as shown, is outside its bounds."""
     if low is not None and high is not None:
-        return F.concat(F.lit("value "), text, F.lit(f" lies outside [{shown(low)}, {shown(high)}]"))
-    if low is not None:
-        return F.concat(F.lit("value "), text, F.lit(f" is less than the minimum {shown(low)}"))
-    return F.concat(F.lit("value "), text, F.lit(f" is greater than the maximum {shown(high)}"))
+        return f"value {text} lies outside [{shown(low)}, {shown(high)}]"
+    return f"value {text} is less than the minimum {shown(low)}" if low is not None else f"value {text} is greater than the maximum {shown(high)}"
+
+
+def shown_column(x: Column) -> Column:
+    """What `shown` gives: whole numbers below 1e16 without a fraction, others in shortest form, from 1e-4 to 1e16 in full."""
+    number = x.cast("double")
+    size = F.abs(number)
+    short = F.regexp_replace(F.lower(number.cast("string")), r"\.0(?=e|$)", "")
+    exponent = F.regexp_extract(short, r"e(-?)(\d+)$", 2)
+    padded = F.concat(F.regexp_extract(short, r"^(.*e)", 1), F.when(short.contains("e-"), "-").otherwise("+"), F.when(F.length(exponent) < 2, F.lpad(exponent, 2, "0")).otherwise(exponent))
+    # digits of a number that the cast gives in scientific form although it is within the full range
+    digits = F.regexp_replace(F.regexp_extract(short, r"^-?([\d.]+)", 1), r"\.", "")
+    power = F.regexp_extract(short, r"e(-?\d+)$", 1).try_cast("int")
+    sign = F.when(number < 0, "-").otherwise("")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.concat(sign, F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
+    full = F.when(size < 1, small).otherwise(large)
+    fraction = F.when(short.contains("e"), F.when((size >= 1e-4) & (size < 1e16), full).otherwise(padded)).otherwise(short)
+    return F.when((number == F.floor(number)) & (size < 1e16), number.cast("decimal(38,0)").cast("string")).otherwise(fraction)
 
 
 def domain_violation(session: SessionSchema, inputs: Column) -> Column:
@@ -83,6 +100,7 @@ def domain_violation(session: SessionSchema, inputs: Column) -> Column:
             outside = outside | (x < F.lit(low))
         if high is not None:
             outside = outside | (x > F.lit(high))
-        text = F.regexp_replace(x.cast("string"), r"\.0$", "")
-        found.append(F.when(outside, outcome_column(INPUT_OUT_OF_DOMAIN, port.name, violation_message(low, high, x, text))))
+        before, after = violation(low, high, "\0").split("\0")
+        text = shown_column(x) if port.wire.kind == "quantity" else x.cast("string")
+        found.append(F.when(outside, outcome_column(INPUT_OUT_OF_DOMAIN, port.name, F.concat(F.lit(before), text, F.lit(after)))))
     return F.coalesce(*found) if found else F.lit(None).cast(OUTCOME)

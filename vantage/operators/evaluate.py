@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import collections
 import math
+import queue
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vantage.errors import ChunkingPolicyError, ChunkResultError, EvaluatorPoolError, InputAccessError, OutputRowError
+from vantage.errors import ChunkingPolicyError, ChunkResultError, EvaluatorPoolError, InputAccessError, OutputRowError, PoolEvaluationError, VantageError
 from vantage.functions import outcomes as oc
 from vantage.functions.outcomes import outcome
 from vantage.functions.seeds import ROW_DOMAIN, derive_seed
@@ -117,18 +122,18 @@ def checked_outputs(session: SessionSchema, values) -> dict[str, Any]:
     return {p.name: float(v) if p.wire.kind in ("quantity", "datetime") else v for p, v in zip(session.outputs, values, strict=True)}
 
 
-def evaluate_row(session: SessionSchema, model: Model, values: dict[str, Any], context: RowContext) -> tuple[dict | None, dict]:
-    """Outputs and outcome of one row: its domain, then the model, then the model's outputs are checked."""
+def out_of_domain(session: SessionSchema, values: dict[str, Any]) -> dict | None:
+    """Outcome for the first input, in session order, outside its closed domain."""
     for p in session.inputs:
         if p.domain is not None and p.wire.kind in ("quantity", "int") and not p.domain.holds(values[p.name]):
-            low, high, x = p.domain.min, p.domain.max, oc.shown(values[p.name])
-            if low is not None and high is not None:
-                said = f"value {x} lies outside [{oc.shown(low)}, {oc.shown(high)}]"
-            elif low is not None:
-                said = f"value {x} is less than the minimum {oc.shown(low)}"
-            else:
-                said = f"value {x} is greater than the maximum {oc.shown(high)}"
-            return None, outcome(oc.INPUT_OUT_OF_DOMAIN, p.name, said)
+            return outcome(oc.INPUT_OUT_OF_DOMAIN, p.name, oc.violation(p.domain.min, p.domain.max, oc.shown(values[p.name])))
+    return None
+
+
+def evaluate_row(session: SessionSchema, model: Model, values: dict[str, Any], context: RowContext) -> tuple[dict | None, dict]:
+    """Outputs and outcome of one row: its domain, then the model, then the model's outputs are checked."""
+    if outside := out_of_domain(session, values):
+        return None, outside
     try:
         return checked_outputs(session, model(InputRow(session, values, context.row_index), context)), outcome(oc.SUCCESS)
     except ModelFailure as e:
@@ -243,7 +248,12 @@ class ExternalEvaluator:
 
 
 #: Status of a request in a pool's report.
-EVALUATED, FAILED, MISSING, NOT_EVALUATED = "evaluated", "evaluator", "missing_result", "not_evaluated"
+EVALUATED, FAILED, PANICKED, MISSING, NOT_EVALUATED = "evaluated", "evaluator", "panic", "missing_result", "not_evaluated"
+_STATUS = {"Evaluator": FAILED, "Panic": PANICKED, "MissingResult": MISSING, "NotEvaluated": NOT_EVALUATED}
+
+
+class EvaluatorFailure(Exception):
+    """Raised by an evaluator that fails as a whole."""
 
 
 class EvaluatorPool:
@@ -271,43 +281,104 @@ class EvaluatorPool:
     def into_evaluators(self) -> list[Evaluator]:
         return self.evaluators
 
+    def results(self, requests: list[DataFrame]) -> PoolResults:
+        """The results of each request (a DataFrame of one evaluation) as they come; see PoolResults."""
+        return PoolResults(self, requests)
+
     def evaluate(self, requests: list[DataFrame], sink: Callable[[DataFrame], None]) -> list[tuple[int, str, str | None]]:
-        """Gives each request (a DataFrame of one evaluation) to a free evaluator and its results to sink as they come; a
-        report (position, status, message) for each request. Evaluators run in threads of the driver that submit jobs."""
-        import queue
-        import threading
-
-        todo: queue.Queue = queue.Queue()
-        for item in enumerate(requests):
-            todo.put(item)
+        """Gives the results of each request to sink as they come, in the caller's thread; a report (position, status, message) for
+        each request."""
         report: dict[int, tuple[str, str | None]] = {}
-        lock = threading.Lock()
+        with self.results(requests) as items:
+            for item in items:
+                if item.error is None:
+                    sink(item.results)
+                    item.results.unpersist()
+                    report[item.position] = (EVALUATED, None)
+                else:
+                    report[item.position] = (_STATUS[item.error.variant], str(item.error))
+        return [(k, *report[k]) for k in range(len(requests))]
 
-        def work(evaluator: Evaluator) -> None:
-            while True:
-                try:
-                    position, request = todo.get_nowait()
-                except queue.Empty:
-                    return
+
+@dataclass(frozen=True)
+class PoolItem:
+    """A request's place in the run, and its results, cached, or why there are none."""
+
+    position: int
+    results: DataFrame | None = None
+    error: PoolEvaluationError | None = None
+
+
+class PoolResults:
+    """Items of a pool's run in the order in which they are done.
+
+    Each running evaluator has a thread of the driver that submits its jobs; models run there, side by side, and the one who
+    iterates only takes what is done. An evaluator that fails stops. Closing, or leaving a with block, takes the requests that
+    wait out of the run, and returns when those begun are done; the evaluators are free then.
+    """
+
+    def __init__(self, pool: EvaluatorPool, requests: list[DataFrame]):
+        self._pool = pool
+        self._waiting = collections.deque(enumerate(requests))
+        self._done: queue.Queue[PoolItem | None] = queue.Queue()
+        self._threads = [threading.Thread(target=self._work, args=(e,), daemon=True) for e in list(pool.running)]
+        self._alive = len(self._threads)
+        for t in self._threads:
+            t.start()
+
+    def _take(self) -> tuple[int, DataFrame] | None:
+        try:
+            return self._waiting.popleft()
+        except IndexError:
+            return None
+
+    def _work(self, evaluator: Evaluator) -> None:
+        try:
+            while (taken := self._take()) is not None:
+                position, request = taken
                 try:
-                    results = evaluator.evaluate(request)
-                    if results is None:
-                        report[position] = (MISSING, None)
-                        continue
-                    with lock:
-                        sink(results)
-                    report[position] = (EVALUATED, None)
+                    found = evaluator.evaluate(request)
+                    found = found.persist(StorageLevel.MEMORY_AND_DISK) if found is not None else None
+                    error = None if found is not None and found.count() else PoolEvaluationError("MissingResult", f"the evaluator returned no result for request {position}", position=position)
+                except (EvaluatorFailure, VantageError, PySparkException) as e:
+                    error = PoolEvaluationError("Evaluator", f"the evaluator failed on request {position}: {_first_line(e)}", position=position, source=e)
                 except Exception as e:
-                    report[position] = (FAILED, str(e).splitlines()[0] if str(e) else type(e).__name__)
-                    self.running.remove(evaluator)
+                    error = PoolEvaluationError("Panic", f"the evaluator panicked on request {position}: {_first_line(e)}", position=position, source=e)
+                if error is not None and evaluator in self._pool.running:
+                    self._pool.running.remove(evaluator)
+                self._done.put(PoolItem(position, None if error else found, error))
+                if error is not None:
                     return
-
-        threads = [threading.Thread(target=work, args=(e,)) for e in list(self.running)]
-        for t in threads:
-            t.start()
-        for t in threads:
+        finally:
+            self._done.put(None)
+
+    def __iter__(self) -> PoolResults:
+        return self
+
+    def __next__(self) -> PoolItem:
+        while self._alive:
+            if (item := self._done.get()) is not None:
+                return item
+            self._alive -= 1
+        if (taken := self._take()) is not None:
+            position = taken[0]
+            return PoolItem(position, error=PoolEvaluationError("NotEvaluated", f"request {position} was not evaluated: every evaluator of the pool has stopped", position=position))
+        raise StopIteration
+
+    def close(self) -> None:
+        self._waiting.clear()
+        for t in self._threads:
             t.join()
-        return [(k, *report.get(k, (NOT_EVALUATED, None))) for k in range(len(requests))]
+
+    def __enter__(self) -> PoolResults:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def _first_line(e: Exception) -> str:
+    return str(e).splitlines()[0] if str(e) else type(e).__name__
 
 
 def chunk_result(rows: list) -> list:

@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vantage.functions import outcomes as oc
 from vantage.functions.seeds import ROW_DOMAIN, derive_seed
-from vantage.operators.evaluate import is_of, rejected_rows
+from vantage.operators.evaluate import is_of, out_of_domain, rejected_rows
 from vantage.schema import SchemaBuilder, SessionSchema
 
 # Fixed values of the example: bounds of a yearly release, of the critical state, and the change that counts as inert.
@@ -78,8 +78,13 @@ class Lake:
             for k in np.flatnonzero(rows):
                 why[k] = why[k] or message
 
+        for name in INPUTS:
+            fail(~np.isfinite(x[name][:, 0]), f"{name} must be finite")
         for name in ("b", "q", "mean", "r1", "r2"):
             fail(~(x[name][:, 0] > 0), f"{name} must be greater than zero")
+        fail(x["stdev"][:, 0] < 0, "stdev must not be negative")
+        fail(~((x["delta"][:, 0] > 0) & (x["delta"][:, 0] <= 1)), "delta must be greater than zero and at most one")
+        fail(~((x["w1"][:, 0] >= 0) & (x["w1"][:, 0] <= 1)), "w1 must lie between zero and one")
         with np.errstate(all="ignore"):
             critical = critical_phosphorus(x["b"], x["q"])
             fail(np.isnan(critical[:, 0]), "the critical state is not bracketed")
@@ -103,7 +108,10 @@ class Lake:
                 discount = discount * x["delta"]
                 utility += self.alpha * (following * discount).mean(1)
                 decision = following
-        return {"max_p": highest, "utility": utility, "inertia": inert.mean(1) / t, "reliability": reliable.mean(1) / t}, why
+        found = {"max_p": highest, "utility": utility, "inertia": inert.mean(1) / t, "reliability": reliable.mean(1) / t}
+        for name, value in found.items():
+            fail(~np.isfinite(value), f"{name} is not finite")
+        return found, why
 
 
 @dataclass
@@ -132,8 +140,10 @@ class LakeEvaluator:
                     columns = {n: inputs.field(k).to_numpy(zero_copy_only=False) for k, n in enumerate(INPUTS)}
                     rows = part.column("row").to_pylist()
                     found, why = lake.run(columns, [derive_seed(int(s), r, ROW_DOMAIN) for s, r in zip(part.column("seed").to_pylist(), rows, strict=True)])
-                    outputs = [None if w else {**{n: float(found[n][k]) for n in OUTPUTS}, "desirable_lake_state": bool(found["max_p"][k] < threshold)} for k, w in enumerate(why)]
-                    said = [oc.outcome(oc.EVALUATION_ERROR, message=w) if w else oc.outcome(oc.SUCCESS) for w in why]
+                    outside = [out_of_domain(own, x) for x in inputs.to_pylist()]
+                    why = [w or (o and "") for w, o in zip(why, outside, strict=True)]
+                    outputs = [None if w is not None else {**{n: float(found[n][k]) for n in OUTPUTS}, "desirable_lake_state": bool(found["max_p"][k] < threshold)} for k, w in enumerate(why)]
+                    said = [o or (oc.outcome(oc.EVALUATION_ERROR, message=w) if w else oc.outcome(oc.SUCCESS)) for w, o in zip(why, outside, strict=True)]
                     yield pa.record_batch([part.column("evaluation_id"), part.column("row"), pa.array(outputs, arrow.field("outputs").type), pa.array(said, arrow.field("outcome").type)], names=arrow.names)
 
         return requests.select("evaluation_id", "row", "seed", "inputs").mapInArrow(run, kind)
