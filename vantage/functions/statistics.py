@@ -33,7 +33,11 @@ def ranks(n: int, p: float) -> tuple[int, int]:
 def quantile(values: np.ndarray, p: float) -> float:
     """Midpoint of the order statistics around p; where they are equal, of the neighbouring distinct values towards the
     inside: the next lower one for p above one half, else the next higher one."""
-    ordered = np.sort(np.asarray(values))
+    return sorted_quantile(np.sort(np.asarray(values)), p)
+
+
+def sorted_quantile(ordered: np.ndarray, p: float) -> float:
+    """The quantile of ascending values."""
     lo, hi = ranks(len(ordered), p)
     a, b = ordered[lo], ordered[hi]
     if a == b:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,41 +136,97 @@ class SparkCounts:
         return self._agg([(F.max if top else F.min)(F.when(box.column(), F.col(f"`{n}`"))) for n, box, top in asks]) if asks else []
 
 
+class Coded:
+    """A categorical column in memory: codes into its categories."""
+
+    def __init__(self, values: pa.Array | pa.ChunkedArray):
+        whole = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+        found = whole.dictionary_encode()
+        self.codes, self.categories = found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+
+    def __getitem__(self, keep: np.ndarray) -> Coded:
+        out = Coded.__new__(Coded)
+        out.codes, out.categories = self.codes[keep], self.categories
+        return out
+
+    def mask(self, restriction: Categories) -> np.ndarray:
+        return np.array([c in restriction.values for c in self.categories], bool)[self.codes]
+
+    def present(self) -> frozenset[str]:
+        return frozenset(self.categories[k] for k in np.flatnonzero(np.bincount(self.codes, minlength=len(self.categories))))
+
+
 class LocalCounts:
-    """The same answers from columns in memory."""
+    """The same answers from columns in memory: arrays of numbers, and Coded ones of categories.
 
-    def __init__(self, columns: dict[str, np.ndarray], cases: np.ndarray):
+    The boxes of a round differ from the current one in one restriction, so which rows a restriction holds is kept by feature.
+    """
+
+    #: Restrictions whose rows are kept.
+    KEPT = 48
+
+    def __init__(self, columns: dict[str, np.ndarray | Coded], cases: np.ndarray):
         self.columns, self.cases = columns, cases
+        self._held: dict[tuple, np.ndarray | None] = {}
 
     @classmethod
     def collect(cls, frame: ScenarioFrame) -> LocalCounts:
         got = frame.df.select(*(f"`{f.name}`" for f in frame.features), CASE).toArrow()
-        columns = {f.name: got.column(f.name).to_numpy() for f in frame.features}
-        for f in frame.features:
-            if f.kind == CATEGORICAL:
-                columns[f.name] = columns[f.name].astype(str)
+        columns = {f.name: Coded(got.column(f.name)) if f.kind == CATEGORICAL else got.column(f.name).to_numpy() for f in frame.features}
         return cls(columns, got.column(CASE).to_numpy())
 
     def close(self) -> None:
         pass
 
+    def limits(self, features: list[Feature]) -> BoxLimits:
+        """The initial limits of these rows."""
+        out = []
+        for f in features:
+            x = self.columns[f.name]
+            out.append((f.name, Categories(x.present()) if f.kind == CATEGORICAL else Range(f.kind, x.min().item(), x.max().item())))
+        return BoxLimits(tuple(out))
+
+    def _rows(self, name: str, restriction) -> np.ndarray | None:
+        """Which rows a restriction holds; None for all."""
+        key = (name, restriction)
+        if key in self._held:
+            self._held[key] = found = self._held.pop(key)  # the latest used stand last
+            return found
+        values = self.columns[name]
+        found = values.mask(restriction) if isinstance(values, Coded) else restriction.mask(values)
+        if len(self._held) >= self.KEPT:
+            del self._held[next(iter(self._held))]
+        self._held[key] = None if found.all() else found
+        return self._held[key]
+
     def _mask(self, box: BoxLimits) -> np.ndarray:
-        return box.mask(self.columns, len(self.cases))
+        out = None
+        for name, restriction in box:
+            part = self._rows(name, restriction)
+            if part is not None:
+                out = part.copy() if out is None else np.logical_and(out, part, out=out)
+        return np.ones(len(self.cases), bool) if out is None else out
 
     def remove(self, limits: BoxLimits) -> None:
         keep = ~self._mask(limits)
         self.columns = {n: v[keep] for n, v in self.columns.items()}
         self.cases = self.cases[keep]
+        self._held.clear()
 
     def tally(self, boxes: list[BoxLimits]) -> list[tuple[int, int]]:
         out = []
         for box in boxes:
             inside = self._mask(box)
-            out.append((int(inside.sum()), int(self.cases[inside].sum())))
+            out.append((int(np.count_nonzero(inside)), int(np.count_nonzero(inside & self.cases))))
         return out
 
     def quantiles(self, asks: list[tuple[str, BoxLimits, int, float]]) -> list[float]:
-        return [st.quantile(self.columns[n][self._mask(box)].astype(np.float64), p) for n, box, _, p in asks]
+        out, of, ordered = [], None, None
+        for n, box, _, p in asks:
+            if of != (n, box):  # asks about the same values follow each other
+                of, ordered = (n, box), np.sort(self.columns[n][self._mask(box)].astype(np.float64))
+            out.append(st.sorted_quantile(ordered, p))
+        return out
 
     def extremes(self, asks: list[tuple[str, BoxLimits, bool]]) -> list[int | None]:
         out = []

@@ -391,9 +391,9 @@ def prim_by_segment(spark, sf):
     def search(part):
         import pyarrow as pa
 
-        from vantage.operators.search import LocalCounts
+        from vantage.operators.search import Coded, LocalCounts
 
-        columns = {n: part.column(n).to_numpy() for n in ("price", "c_acctbal")} | {"o_orderpriority": part.column("o_orderpriority").to_numpy(zero_copy_only=False).astype(str)}
+        columns = {n: part.column(n).to_numpy() for n in ("price", "c_acctbal")} | {"o_orderpriority": Coded(part.column("o_orderpriority"))}
         counts = LocalCounts(columns, part.column(CASE).to_numpy(zero_copy_only=False))
         box = search_local(counts, [Feature.continuous("price"), Feature.continuous("c_acctbal"), Feature.categorical("o_orderpriority")])
         s = box[-1].statistics
@@ -404,11 +404,7 @@ def prim_by_segment(spark, sf):
 
 def search_local(counts, features: list[Feature], config: PrimConfig | None = None) -> tuple[BoxStep, ...]:
     """The steps of the first box over columns in memory, without a Spark session."""
-    limits = []
-    for f in features:
-        x = counts.columns[f.name]
-        limits.append((f.name, Categories(frozenset(x.tolist())) if f.kind == CATEGORICAL else Range(f.kind, x.min().item(), x.max().item())))
-    prim = Prim.over_columns(counts, features, BoxLimits(tuple(limits)), config or PrimConfig())
+    prim = Prim.over_columns(counts, features, counts.limits(features), config or PrimConfig())
     return prim.find_box().trajectory
 
 
