@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -48,12 +50,14 @@ def derive_seed_array(root, sequence: np.ndarray, domain: int) -> np.ndarray:
 def seed_column(root: Column, sequence: Column, domain: int) -> Column:
     """derive_seed for columns: root as DECIMAL(20,0), sequence as a long; DECIMAL(20,0)."""
 
-    @pandas_udf("string")
+    @pandas_udf("long")
     def derive(root: pd.Series, sequence: pd.Series) -> pd.Series:
-        words = np.array([int(r) for r in root], np.uint64)
-        return pd.Series(derive_seed_array(words, sequence.to_numpy(), domain)).map(str)
+        return pd.Series(derive_seed_array(root.to_numpy().view(np.uint64), sequence.to_numpy(), domain).view(np.int64))
 
-    return derive(root.cast("string"), sequence.cast("long")).cast("decimal(20,0)")
+    span = F.lit(Decimal(1 << 64))
+    bits = F.when(root >= F.lit(Decimal(1 << 63)), root - span).otherwise(root).cast("long")
+    found = derive(bits, sequence.cast("long"))
+    return F.when(found < 0, found.cast("decimal(21,0)") + span).otherwise(found.cast("decimal(21,0)")).cast("decimal(20,0)")
 
 
 def evaluation_id(run_seed: int, sequence: int) -> bytes:

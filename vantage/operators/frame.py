@@ -59,13 +59,13 @@ def category_dictionary(values: DataFrame, column: str) -> DataFrame:
     return numbered(distinct, "category", "code").withColumn("code", F.col("code").cast("int"))
 
 
-def numbered(rows: DataFrame, by: str, name: str, first: int = 0) -> DataFrame:
+def numbered(rows: DataFrame, by: str, name: str, first: int = 0, beginning: int = 2) -> DataFrame:
     """Adds the number of each row in the order of a string or binary column of distinct values, from `first` on.
 
-    Rows with equal beginnings (two characters or bytes) are sorted together and count from what earlier beginnings hold. One
+    Rows with equal beginnings (of so many characters or bytes) are sorted together and count from what earlier beginnings hold. One
     task meets the beginnings only, one row for each.
     """
-    begun = rows.withColumn("_begin", F.substring(by, 1, 2))
+    begun = rows.withColumn("_begin", F.substring(by, 1, beginning))
     sizes = begun.groupBy("_begin").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.Window.orderBy("_begin").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_begin", before.alias("_before"))

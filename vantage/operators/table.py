@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,22 +58,42 @@ class EvaluationTable:
 
     @classmethod
     def from_evaluations(cls, session: SessionSchema, parts: list[DataFrame], spark) -> EvaluationTable:
-        table = cls(session, spark=spark)
+        """A table of evaluations in the order given, checked together: one plan, however many parts there are."""
+        if not parts:
+            return cls(session, spark=spark)
+        cls._of_session(session, *parts)
+        numbered_parts = [p.select(*COLUMNS, F.lit(k).alias("_part")) for k, p in enumerate(parts)]
+        whole = reduce(DataFrame.unionByName, numbered_parts)
+        cls._whole_outputs(whole)
+        ids = whole.groupBy("evaluation_id").agg(F.min("_part").alias("_part"), F.max("_part").alias("_last"))
+        double = ids.where("_part <> _last").first()
+        if double:
+            raise EvaluationTableError("DuplicateId", f"evaluation {id_hex(bytes(double[0]))} is in the table already", id=id_hex(bytes(double[0])))
+        # within the order of the parts, evaluations stand by their ids
+        key = F.concat(F.lpad(F.hex("_part"), 8, "0"), F.hex("evaluation_id"))
+        order = numbered(ids.select("evaluation_id", key.alias("_key")), "_key", "ordinal", beginning=10).select("evaluation_id", "ordinal")
+        return cls(session, whole.drop("_part").join(order, "evaluation_id").select(*COLUMNS, "ordinal"))
+
+    @staticmethod
+    def _of_session(session: SessionSchema, *parts: DataFrame) -> None:
+        own = [(f.name, f.dataType.simpleString()) for f in session.storage_type().fields]
         for p in parts:
-            table = table.push_evaluated(p)
-        return table
+            if [(f.name, f.dataType.simpleString()) for f in p.select(*COLUMNS).schema.fields] != own:
+                raise EvaluationTableError("InvalidInputs", "the evaluation is not of the table's session")
+
+    @staticmethod
+    def _whole_outputs(evaluated: DataFrame) -> None:
+        bad = evaluated.where((F.col("outcome.kind") == SUCCESS) & F.col("outputs").isNull()).orderBy(*KEYS).first()
+        if bad:
+            raise EvaluationTableError("InvalidOutputRow", f"row {bad['row']} of evaluation {id_hex(bytes(bad['evaluation_id']))} succeeded without outputs", row=bad["row"])
 
     def push(self, requests: DataFrame, results: DataFrame) -> EvaluationTable:
         """Pairs, checks and appends."""
         return self.push_evaluated(pair(requests, results))
 
     def push_evaluated(self, evaluated: DataFrame) -> EvaluationTable:
-        own = [(f.name, f.dataType.simpleString()) for f in self.session.storage_type().fields]
-        if [(f.name, f.dataType.simpleString()) for f in evaluated.select(*COLUMNS).schema.fields] != own:
-            raise EvaluationTableError("InvalidInputs", "the evaluation is not of the table's session")
-        bad = evaluated.where((F.col("outcome.kind") == SUCCESS) & F.col("outputs").isNull()).orderBy(*KEYS).first()
-        if bad:
-            raise EvaluationTableError("InvalidOutputRow", f"row {bad['row']} of evaluation {id_hex(bytes(bad['evaluation_id']))} succeeded without outputs", row=bad["row"])
+        self._of_session(self.session, evaluated)
+        self._whole_outputs(evaluated)
         double = duplicate_ids(self.df, evaluated).first()
         if double:
             raise EvaluationTableError("DuplicateId", f"evaluation {id_hex(bytes(double[0]))} is in the table already", id=id_hex(bytes(double[0])))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantage.functions import outcomes as oc
@@ -432,21 +432,15 @@ def quasi_p_inputs(spark, sf):
 
 @query(
     "quasi_p",
-    "WITH g AS (SELECT o_orderpriority AS grp, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS k FROM (SELECT * FROM orders ORDER BY o_orderkey, o_custkey, o_totalprice LIMIT 300) AS o GROUP BY 1), "
-    "t AS (SELECT grp, k, n, i, sum(ln((n - i + 1) / i::DOUBLE)) OVER (PARTITION BY grp ORDER BY i) + i * ln(0.4::DOUBLE) + (n - i) * ln(1 - 0.4::DOUBLE) AS term FROM g, range(1, 301) AS r(i) WHERE i <= n) "
-    "SELECT grp, round(least(1, sum(exp(term)) FILTER (i >= k)), 9) AS p FROM t GROUP BY grp",
+    "WITH g AS (SELECT o_orderpriority AS grp, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS k FROM orders GROUP BY 1), "
+    "u AS (SELECT grp, n, k, unnest(range(1, n + 1)) AS i FROM g), "
+    "t AS (SELECT *, sum(ln((n - i + 1) / i::DOUBLE)) OVER (PARTITION BY grp ORDER BY i) + i * ln(0.48::DOUBLE) + (n - i) * ln(1 - 0.48::DOUBLE) AS term FROM u) "
+    "SELECT grp, round(least(1, sum(exp(term)) FILTER (i >= k)), 7) AS p FROM t GROUP BY grp",
 )
 def quasi_p(spark, sf):
-    first = table(spark, sf, "orders").orderBy("o_orderkey", "o_custkey", "o_totalprice").limit(300)
-    groups = first.groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("k")).collect()
-    return rows_of(spark, [(g["grp"], round(st.binomial_greater(g["k"], g["n"], 0.4), 9)) for g in groups], "grp string, p double")
-
-
-@query("quasi_p_all_orders")
-def quasi_p_all_orders(spark, sf):
-    """quasi_p over the whole table; there is no SQL for it, brute force tests it."""
+    """How likely a priority's finished orders are at a rate of 0.48, over all orders."""
     groups = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("k")).collect()
-    return rows_of(spark, [(g["grp"], round(st.binomial_greater(g["k"], g["n"], 0.4), 9)) for g in groups], "grp string, p double")
+    return rows_of(spark, [(g["grp"], round(st.binomial_greater(g["k"], g["n"], 0.48), 7)) for g in groups], "grp string, p double")
 
 
 def _fixed_prim_box(f: ScenarioFrame) -> PrimBox:
@@ -482,20 +476,51 @@ def q_restricted(spark, sf):
     return rows_of(spark, [(n, lo, hi, ",".join(c) if c else None) for n, _, lo, hi, c in box.as_rows() if n in open_], "feature string, lower double, upper double, categories string")
 
 
-#: A trajectory given by figures.
-STEPS = [(0, "initial", 1.0, 0.2, 0.2, 1.0, 0, 1000, 200), (1, "peel", 0.9, 0.45, 0.45, 0.4, 1, 400, 180), (2, "peel", 0.9, 0.45, 0.45, 0.4, 2, 400, 180), (3, "peel", 0.7, 0.7, 0.7, 0.2, 2, 200, 140), (4, "paste", 0.75, 0.65, 0.65, 0.23, 3, 230, 150)]
-_VALUES = "(VALUES " + ", ".join(str((s, p, c, e, m, a, r, n, k)) for s, p, c, e, m, a, r, n, k in STEPS) + ") AS t(step, phase, coverage, density, mean, mass, restricted_dimensions, points, cases_of_interest)"
+#: Boxes of a trajectory: the least quantity and the least price, None where the feature is open.
+STEPS = [(None, None), (5.0, None), (12.0, None), (20.0, None), (20.0, 40000.0), (28.0, 50000.0), (35.0, 60000.0), (30.0, 60000.0)]
+
+
+def _step_sql(k: int, quantity: float | None, price: float | None) -> str:
+    where = " AND ".join([f"{n} >= {d(x)}" for n, x in (("l_quantity", quantity), ("l_extendedprice", price)) if x is not None] or ["true"])
+    phase = "initial" if k == 0 else "paste" if k == len(STEPS) - 1 else "peel"
+    inside, cases = f"count(*) FILTER ({where})", f"count(*) FILTER (is_case AND ({where}))"
+    density = f"{cases}::DOUBLE / {inside}"
+    return (
+        f"SELECT {k} AS step, '{phase}' AS phase, {cases}::DOUBLE / count(*) FILTER (is_case) AS coverage, {density} AS density, {density} AS mean, {inside}::DOUBLE / count(*) AS mass, "
+        f"{(quantity is not None) + (price is not None)} AS restricted_dimensions, {inside} AS points, {cases} AS cases_of_interest FROM {EXP}"
+    )
+
+
+_TRAJECTORY = "(" + " UNION ALL ".join(_step_sql(k, *box) for k, box in enumerate(STEPS)) + ") AS t"
 _STEP_COLUMNS = "step::INTEGER AS step, phase, coverage::DOUBLE AS coverage, density::DOUBLE AS density, mean::DOUBLE AS mean, mass::DOUBLE AS mass, restricted_dimensions::INTEGER AS restricted_dimensions, points::BIGINT AS points, cases_of_interest::BIGINT AS cases_of_interest"
 
 
-@query("select_balanced", f"SELECT * FROM (SELECT {_STEP_COLUMNS}, 2 * coverage::DOUBLE * density::DOUBLE / (coverage::DOUBLE + density::DOUBLE) AS score FROM {_VALUES} WHERE restricted_dimensions BETWEEN 1 AND 2) AS s ORDER BY score DESC, step LIMIT 1")
+def trajectory(spark, sf) -> DataFrame:
+    """The steps of STEPS over all rows, as a found box has them."""
+    f = experiments(spark, sf)
+    initial, s = f.initial_limits(), f.summary()
+    boxes = []
+    for quantity_, price in STEPS:
+        box = initial
+        for n, x in (("l_quantity", quantity_), ("l_extendedprice", price)):
+            box = box if x is None else box.with_restriction(n, Range("continuous", x, initial[n].upper))
+        boxes.append(box)
+    found = f.df.agg(*(c.alias(f"{i}{k}") for k, b in enumerate(boxes) for i, c in (("n", F.count_if(b.changed_column(initial))), ("k", F.count_if(b.changed_column(initial) & F.col(CASE)))))).first()
+    steps = []
+    for k, b in enumerate(boxes):
+        phase = "initial" if k == 0 else "paste" if k == len(boxes) - 1 else "peel"
+        steps.append(BoxStep(b, BoxStatistics.of(found[f"n{k}"], found[f"k{k}"], s["rows"], s["cases"], len(b.restricted(initial))), (), phase))
+    return PrimBox(tuple(steps), initial, f).to_dataframe(spark)
+
+
+@query("select_balanced", f"SELECT * FROM (SELECT {_STEP_COLUMNS}, 2 * coverage::DOUBLE * density::DOUBLE / (coverage::DOUBLE + density::DOUBLE) AS score FROM {_TRAJECTORY} WHERE restricted_dimensions BETWEEN 1 AND 2) AS s ORDER BY score DESC, step LIMIT 1")
 def select_balanced(spark, sf):
-    return select_from(rows_of(spark, STEPS, TRAJECTORY), CandidateSelection.restricting_at_least_one(Balanced(), 2))
+    return select_from(trajectory(spark, sf), CandidateSelection.restricting_at_least_one(Balanced(), 2))
 
 
-@query("select_high_density", f"SELECT * FROM (SELECT {_STEP_COLUMNS}, coverage::DOUBLE AS score FROM {_VALUES} WHERE density >= 0.45) AS s ORDER BY score DESC, step LIMIT 1")
+@query("select_high_density", f"SELECT * FROM (SELECT {_STEP_COLUMNS}, coverage::DOUBLE AS score FROM {_TRAJECTORY} WHERE density >= 0.45) AS s ORDER BY score DESC, step LIMIT 1")
 def select_high_density(spark, sf):
-    return select_from(rows_of(spark, STEPS, TRAJECTORY), CandidateSelection(HighDensity(0.45)))
+    return select_from(trajectory(spark, sf), CandidateSelection(HighDensity(0.45)))
 
 
 # ---------------------------------------------------------------- evaluation tables over events
@@ -641,9 +666,10 @@ def q_missing(spark, sf):
 def append_and_sort(spark, sf):
     e = evaluations(spark, sf).drop("event_id")
     whole = EvaluationTable.from_evaluations(EVENT_SESSION, [e.where("seed >= 2"), e.where("seed < 2")], spark).sort_by_id()
-    before = whole.df.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
-    later = before.alias("a").join(before.alias("b"), F.col("b.ordinal") < F.col("a.ordinal"), "left").groupBy("a.ordinal").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
-    return whole.df.join(F.broadcast(later), "ordinal").select((F.col("offset") + F.col("row")).alias("place"), F.col("seed").cast("long").alias("part"), "row")
+    sizes = whole.df.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each evaluation, of which there are few beside their rows
+    offset = F.coalesce(F.sum("n").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return whole.df.join(sizes.select("ordinal", offset.alias("offset")), "ordinal").select((F.col("offset") + F.col("row")).alias("place"), F.col("seed").cast("long").alias("part"), "row")
 
 
 @query("remaining_rows", f"SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (is_case)::BIGINT AS n_cases FROM {EXP} WHERE NOT ({box_sql()})")
@@ -715,9 +741,9 @@ def derive_seed_table(spark, sf):
 # ---------------------------------------------------------------- chart data
 
 
-@query("tradeoff_curve", f"SELECT step::INTEGER AS step, phase, coverage::DOUBLE AS coverage, density::DOUBLE AS density, restricted_dimensions::INTEGER AS restricted_dimensions FROM {_VALUES}")
+@query("tradeoff_curve", f"SELECT step::INTEGER AS step, phase, coverage::DOUBLE AS coverage, density::DOUBLE AS density, restricted_dimensions::INTEGER AS restricted_dimensions FROM {_TRAJECTORY}")
 def tradeoff_curve(spark, sf):
-    return tradeoff(rows_of(spark, STEPS, TRAJECTORY))
+    return tradeoff(trajectory(spark, sf))
 
 
 _DOMAINS = " UNION ALL ".join(f"SELECT '{n}' AS feature, min({n}) AS a, max({n}) AS b, {d(float(BOX[n][0]))} AS lo, {d(float(BOX[n][1]))} AS hi FROM {EXP}" for n in ("l_quantity", "l_extendedprice", "l_linenumber"))

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -103,10 +105,22 @@ class EvaluationWriter:
             raise EvaluationWriteError("Arrow", str(e)) from e
 
     def write_table(self, table: EvaluationTable) -> None:
-        """All evaluations in table order. They come to the driver one at a time, streams being files of one writer."""
-        ids = [bytes(r[0]) for r in table.df.select("evaluation_id", "ordinal").distinct().orderBy("ordinal").toLocalIterator()]
-        for i in ids:
-            self.write(table.df.where(F.col("evaluation_id") == F.lit(i)))
+        """All evaluations in table order, from one sorted pass. A stream is a file of one writer, so rows come to the driver, one
+        partition at a time; what it holds besides is one evaluation."""
+        rows = table.df.orderBy("ordinal", "row").select(*COLUMNS)
+        held: list[dict] = []
+        for row in rows.toLocalIterator(prefetchPartitions=True):
+            if held and held[-1]["evaluation_id"] != row["evaluation_id"]:
+                self._flush(held)
+            held.append(row.asDict(recursive=True))
+        if held:
+            self._flush(held)
+
+    def _flush(self, held: list[dict]) -> None:
+        kind = to_arrow_schema(self.session.storage_type())
+        whole = pa.table([pa.array([r[f.name] for r in held], f.type) for f in kind], schema=kind)
+        held.clear()
+        self.write(whole)
 
     def finish(self) -> None:
         self.writer.close()
@@ -203,13 +217,11 @@ class EvaluationReader:
 
 def to_evaluation_table(spark: SparkSession, session: SessionSchema, parts: list[pa.Table]) -> EvaluationTable:
     kind = session.storage_type()
-    frames = [spark.createDataFrame(p.cast(arrow_schema(session).remove_metadata()), kind).withColumn("ordinal", F.lit(k).cast("long")) for k, p in enumerate(parts)]
-    if not frames:
+    if not parts:
         return EvaluationTable(session, spark=spark)
-    whole = frames[0]
-    for f in frames[1:]:
-        whole = whole.unionByName(f)
-    return EvaluationTable(session, whole)
+    numbers = pa.chunked_array([pa.array(np.full(len(p), k, np.int64)) for k, p in enumerate(parts)])
+    whole = pa.concat_tables([p.cast(arrow_schema(session).remove_metadata()) for p in parts]).append_column("ordinal", numbers)
+    return EvaluationTable(session, spark.createDataFrame(whole, T.StructType([*kind.fields, T.StructField("ordinal", T.LongType(), False)])))
 
 
 class _StreamFile(InputPartition):
