@@ -12,14 +12,17 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from vantage.llm.shared import new_path, stored
+from vantage.llm.shared import new_path, small, stored
 
 # Fixed values of the seekable format: skippable frame magic, seek table magic.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -32,17 +35,21 @@ BUNDLE_BYTES = 1 << 27
 REVISIT_BYTES = 100
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-_INDEX = "page_id bigint, bundle string, frame int, frame_at bigint, frame_size bigint, at bigint, size bigint"
+_INDEX = "bundle string, frame int, frame_at bigint, frame_size bigint, at bigint, size bigint"
+#: Plain bytes of records that one task reads, about; and places that a payload's copies are dealt over.
+READ_BYTES = 1 << 26
+SALTS = 64
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
     """One WARC/1.1 record. A revisit keeps the HTTP head, with the full payload's length, and leaves the payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     target = "".join(c for c in url or "about:blank" if c >= " ")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    named = lambda x: f"<urn:page:{'' if x is None else quote(x, '') if isinstance(x, str) else x}>"
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {named(page_id)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
-        head += [f"WARC-Profile: {_REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {_REVISIT_PROFILE}", f"WARC-Refers-To: {named(refers_to)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -110,12 +117,19 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def marked_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, first_id: the smallest id of the pages with an equal payload (by SHA-256)."""
+    """page_id, url, payload, digest, first_id: the smallest id of the pages with an equal payload (by SHA-256), if there are
+    several. Ids and digests alone are shuffled to find these; payloads stay where they are unless very many are repeated, and
+    are then dealt by digest and salt, so that no copied page meets in one task."""
     base = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    base = base.withColumn("digest", F.sha2("payload", 256))
-    first = base.select("page_id", F.unhex("digest").alias("d")).groupBy("d").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1 and first_id is not null").drop("n")
-    return base.withColumn("d", F.unhex("digest")).join(first, "d", "left").drop("d")
+    base = base.withColumn("d", F.unhex(F.sha2("payload", 256)))
+    first = base.select("page_id", "d").groupBy("d").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = stored(first.where("n > 1 and first_id is not null").select("d", "first_id"), "repeated")
+    if small(first):
+        marked = base.join(F.broadcast(first), "d", "left")
+    else:
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["d", "salt"], "left")
+    return marked.select("page_id", "url", "payload", F.lower(F.hex("d")).alias("digest"), "first_id")
 
 
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -124,8 +138,11 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
     A task writes its bundles under names of its own and a task that runs again writes new ones, so a lost
     executor leaves at most a bundle that no index names. Null html is an empty payload, a null url about:blank,
     a null page_id an empty identifier. Equal payloads of at least REVISIT_BYTES: rows with the smallest id are
-    responses, all others revisits; rows of a group without any id are responses.
+    responses, all others revisits; rows of a group without any id are responses. Ids are integers or strings; pages may have
+    other columns; without pages the index is empty.
     """
+    kind = pages.schema["page_id"].dataType
+    arrow_kind = to_arrow_type(kind)
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = opened(folder)
@@ -145,7 +162,7 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
             begins = frame_offsets(bundle.sizes)
             yield pa.record_batch(
                 {
-                    "page_id": pa.array([r[0] for r in rows], pa.int64()),
+                    "page_id": pa.array([r[0] for r in rows], arrow_kind),
                     "bundle": pa.array([name] * len(rows), pa.string()),
                     "frame": pa.array([r[1] for r in rows], pa.int32()),
                     "frame_at": pa.array([begins[r[1]] for r in rows], pa.int64()),
@@ -166,17 +183,25 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
                     yield from flush()
         yield from flush()
 
-    return marked_records(pages).select("page_id", "url", "payload", "digest", "first_id").mapInArrow(write, _INDEX)
+    return marked_records(pages).select("page_id", "url", "payload", "digest", "first_id").mapInArrow(write, f"page_id {kind.simpleString()}, {_INDEX}")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Reads back every record that the index names, one frame at a time: page_id, url, record_type, refers_to,
-    payload_bytes, payload_digest and payload (null for a revisit). A response whose digest differs is an error."""
-    frames = index.groupBy("bundle", "frame", "frame_at", "frame_size").agg(F.sort_array(F.collect_list("at")).alias("offsets"))
+    payload_bytes, payload_digest and payload (null for a revisit). A response whose digest differs is an error.
 
-    def number(urn: str) -> int | None:
+    Frames are dealt to as many tasks as their bytes need, one for each core at least.
+    """
+    spark = index.sparkSession
+    total = index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    frames = index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame", "frame_at", "frame_size").agg(F.sort_array(F.collect_list("at")).alias("offsets"))
+    kind = index.schema["page_id"].dataType
+    arrow_kind, integral = to_arrow_type(kind), isinstance(kind, T.IntegralType)
+
+    def identity(urn: str):
         text = urn.removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text else None
+        return None if not text else int(text) if integral else unquote(text)
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = opened(folder)
@@ -193,13 +218,13 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{headers['WARC-Record-ID']}: the payload differs from its digest")
                     length = next(int(x[16:]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))
-                    refers = number(headers["WARC-Refers-To"]) if revisit else None
-                    out.append((number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], headers["WARC-Type"], refers, length, digest, None if revisit else payload))
+                    refers = identity(headers["WARC-Refers-To"]) if revisit else None
+                    out.append((identity(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], headers["WARC-Type"], refers, length, digest, None if revisit else payload))
                 columns = zip(*out, strict=True)
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                kinds = (arrow_kind, pa.string(), pa.string(), arrow_kind, pa.int64(), pa.string(), pa.binary())
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    return frames.mapInArrow(read, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
+    return frames.mapInArrow(read, f"page_id {kind.simpleString()}, url string, record_type string, refers_to {kind.simpleString()}, payload_bytes bigint, payload_digest string, payload binary")
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
@@ -208,6 +233,6 @@ def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str
     return stored(write_bundles(pages, folder), "warc-index"), folder
 
 
-def lookup(index: DataFrame, folder: str, page_ids: list[int]) -> DataFrame:
+def lookup(index: DataFrame, folder: str, page_ids: list) -> DataFrame:
     """The records of some pages, by reading only their frames."""
     return read_records(index.where(F.col("page_id").isin(page_ids)), folder)
