@@ -2,7 +2,8 @@
 
 A mask keeps some of a window's words and ignores the others, so two windows that differ in ignored places have equal
 seeds. Seeds of the benchmark and of the corpus are joined; around each hit the two texts are compared word by word on
-the same diagonal, and an overlap that is long enough is a leak even if words were substituted.
+the same diagonal, what neighbouring hits compare is put together, and an overlap that is long enough is a leak even if
+words were substituted.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from vantage.llm.shared import as_long, batches, bloom, bloom_has, joined, mix,
 #: LEAST_SHARE equal, wherever its substitutions are: enumerated up to 29 words, and a longer one has a half that is one.
 MASKS = ("1101111", "11100010011", "11000110101", "110001010101")
 SPAN = max(map(len, MASKS))
-#: Words around a hit that are compared, to each side of its window.
+#: Words around a hit that are compared, to each side of its window. Within an overlap the next hit is never further, so that
+#: what the hits of a diagonal compare covers every overlap whole.
 REACH = 24
 #: An overlap has at least this many words (an item with fewer: all of them), of which at least this share agree.
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
+_PARTS, _OF = 4, 5  # the share as a fraction
 
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII; all else separates.
 _SEPARATES = np.ones(256, bool)
@@ -90,51 +93,86 @@ def _rows(df: DataFrame, id_col: str, text_col: str, prefix: str, short: tuple[i
         for batch in parts:
             for part in batches(batch, "text"):
                 x = _seed_rows(part.column("text"), short, wanted.value if wanted else None)
-                names = ("seed", f"{prefix}_id", f"{prefix}_at", f"{prefix}_from", f"{prefix}_around", f"{prefix}_words")
-                yield pa.record_batch([pa.array(as_long(x["seed"])), part.column("id").take(pa.array(x["own"])), pa.array(x["at"], pa.int32()), pa.array(x["from"], pa.int32()), x["around"], pa.array(x["words"], pa.int32())], names=list(names))
+                names = ("seed", f"{prefix}_id", f"{prefix}_version", f"{prefix}_at", f"{prefix}_from", f"{prefix}_around", f"{prefix}_words")
+                own = pa.array(x["own"])
+                yield pa.record_batch([pa.array(as_long(x["seed"])), part.column("id").take(own), part.column("version").take(own), pa.array(x["at"], pa.int32()), pa.array(x["from"], pa.int32()), x["around"], pa.array(x["words"], pa.int32())], names=list(names))
 
-    chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(make, f"seed long, {prefix}_id {kind}, {prefix}_at int, {prefix}_from int, {prefix}_around array<long>, {prefix}_words int")
+    chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"))
+    return chosen.mapInArrow(make, f"seed long, {prefix}_id {kind}, {prefix}_version long, {prefix}_at int, {prefix}_from int, {prefix}_around array<long>, {prefix}_words int")
 
 
-def overlap(doc: np.ndarray, doc_at: int, item: np.ndarray, item_at: int) -> tuple[int, int]:
-    """Longest stretch through a hit on its diagonal that begins and ends in equal words and of which at least LEAST_SHARE
-    agrees: its words, and how many agree. doc and item are the hashes around the hit, the hit being at the given places."""
-    back = min(doc_at, item_at)
-    ahead = min(len(doc) - doc_at, len(item) - item_at)
-    same = doc[doc_at - back : doc_at + ahead] == item[item_at - back : item_at + ahead]
+def longest_overlap(same: np.ndarray) -> tuple[int, int, int]:
+    """The longest stretch that begins and ends in equal words and of which at least LEAST_SHARE agrees: its first place, its
+    words, and how many agree."""
     places = np.flatnonzero(same)
     if not len(places):
-        return 0, 0
-    total = np.concatenate(([0], np.cumsum(same)))
-    length = places[None, :] - places[:, None] + 1
-    agree = total[places + 1][None, :] - total[places][:, None]
-    good = (length > 0) & (agree >= LEAST_SHARE * length) & (places[:, None] <= back) & (places[None, :] >= back)
-    if not good.any():
-        return 0, 0
-    best = int(np.where(good, length, 0).argmax())
-    return int(length.flat[best]), int(agree.flat[best])
-
-
-def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return 0, 0, 0
+    number = np.arange(len(places))
+    # from place i to place j: _OF * (j - i + 1) >= _PARTS * (places[j] - places[i] + 1)
+    least = np.minimum.accumulate(_OF * number - _PARTS * places)
+    first = np.searchsorted(-least, -(_OF * (number + 1) - _PARTS * (places + 1)), "left")
+    length = places - places[first] + 1
+    last = int(length.argmax())
+    return int(places[first[last]]), int(length[last]), last - int(first[last]) + 1
+
+
+def _aligned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each hit: its diagonal, the item's word where the comparison begins, and which words agree from there on."""
     for part in parts:
-        columns = {c: part.column(c).to_pylist() for c in ("doc_at", "doc_from", "item_at", "item_from", "item_words")}
+        numbers = [part.column(c).to_numpy() for c in ("doc_at", "doc_from", "item_at", "item_from")]
         docs, items = part.column("doc_around"), part.column("item_around")
-        keep, sizes, agreeing = [], [], []
-        for k in range(len(part)):
+        low, same = [], []
+        for k, (doc_at, doc_from, item_at, item_from) in enumerate(zip(*(x.tolist() for x in numbers), strict=True)):
             doc, item = docs[k].values.to_numpy(), items[k].values.to_numpy()
-            n, m = overlap(doc, columns["doc_at"][k] - columns["doc_from"][k], item, columns["item_at"][k] - columns["item_from"][k])
-            if n >= min(LEAST_WORDS, columns["item_words"][k]):
-                keep.append(k)
-                sizes.append(n)
-                agreeing.append(m)
-        at = pa.array(keep, pa.int64())
-        yield pa.record_batch([part.column("doc_id").take(at), part.column("item_id").take(at), part.column("doc_at").take(at), pa.array(sizes, pa.int32()), pa.array(agreeing, pa.int32())], names=["doc_id", "item_id", "word", "overlap", "agreeing"])
+            back = min(doc_at - doc_from, item_at - item_from)
+            ahead = min(len(doc) - (doc_at - doc_from), len(item) - (item_at - item_from))
+            x, y = doc_at - doc_from, item_at - item_from
+            low.append(item_at - back)
+            same.append((doc[x - back : x + ahead] == item[y - back : y + ahead]).tobytes())
+        out = [part.column(c) for c in ("doc_id", "doc_version", "item_id", "item_version", "item_words")]
+        out += [pa.array((numbers[0] - numbers[2]).astype(np.int32)), pa.array(low, pa.int32()), pa.array(same, pa.binary())]
+        yield pa.record_batch(out, names=["doc_id", "doc_version", "item_id", "item_version", "item_words", "diagonal", "low", "same"])
+
+
+def _stretches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlaps that are long enough, from rows sorted by document, item and diagonal; what is held is of one diagonal."""
+    keys = ("doc_id", "doc_version", "item_id", "item_version", "diagonal")
+    now, words_of, held, found = None, 0, [], []
+
+    def close() -> None:
+        if not held:
+            return
+        begin = min(low for low, _ in held)
+        same = np.zeros(max(low + len(x) for low, x in held) - begin, bool)
+        for low, x in held:
+            same[low - begin : low - begin + len(x)] |= np.frombuffer(x, bool)
+        at, n, agreeing = longest_overlap(same)
+        if n >= min(LEAST_WORDS, words_of):
+            found.append((now[0], now[2], now[4] + begin + at, n, agreeing))
+        held.clear()
+
+    def rows(kinds: list[pa.DataType]) -> pa.RecordBatch:
+        out = pa.record_batch([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "word", "overlap", "agreeing"])
+        found.clear()
+        return out
+
+    kinds: list[pa.DataType] = []
+    for part in parts:
+        kinds = [part.schema.field("doc_id").type, part.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32()]
+        for *key, n, low, same in zip(*(part.column(c).to_pylist() for c in (*keys, "item_words", "low", "same")), strict=True):
+            if key != now:
+                close()
+                now, words_of = key, n
+            held.append((low, same))
+        yield rows(kinds)
+    close()
+    if found:
+        yield rows(kinds)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, word, overlap, agreeing: one row for each document and benchmark item that overlap, with the longest
-    overlap in words, how many of them agree, and the document's word where its hit begins.
+    overlap in words, how many of them agree, and the document's word where it begins.
 
     Null and empty texts have no words and overlap with nothing; rows that repeat an id count as one document; a row without
     an id is reported with a null id; an empty table on either side gives an empty result; other columns are ignored. A
@@ -154,8 +192,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     wanted = spark.sparkContext.broadcast(bloom(items, "seed"))
     rows = _rows(docs, id_col, text_col, "doc", short, wanted)
     hits = rows.join(F.broadcast(items) if small(items, 50_000) else items, "seed")
-    # a leak hits in many windows on one diagonal; each is compared, since a longer overlap need not run through the first
-    found = hits.select("doc_id", "item_id", "doc_at", "doc_from", "doc_around", "item_at", "item_from", "item_around", "item_words").mapInArrow(_verify, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, word int, overlap int, agreeing int")
+    doc_kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    key = ("doc_id", "doc_version", "item_id", "item_version", "diagonal")
+    aligned = hits.select("doc_id", "doc_version", "doc_at", "doc_from", "doc_around", "item_id", "item_version", "item_at", "item_from", "item_around", "item_words")
+    aligned = aligned.mapInArrow(_aligned, f"doc_id {doc_kind}, doc_version long, item_id {item_kind}, item_version long, item_words int, diagonal int, low int, same binary")
+    dealt = aligned.repartition(*key).sortWithinPartitions(*key)
+    found = dealt.mapInArrow(_stretches, f"doc_id {doc_kind}, item_id {item_kind}, word int, overlap int, agreeing int")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "agreeing", (-F.col("word")).alias("w"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.w")).alias("word"), "best.overlap", "best.agreeing")
 

@@ -14,9 +14,19 @@ from pyspark.sql import functions as F
 
 #: Rows an explicit broadcast may have; beyond it the shuffling form is used.
 BROADCAST_ROWS = 500_000
+#: Bytes of rows that Spark hands to a Python worker at once, where the session does not say (10,000 rows otherwise).
+BATCH_BYTES = 2 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(spark: SparkSession) -> None:
+    """Bounds what a Python worker and the executor's buffers hold, whatever the length of texts."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +52,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
+    lean(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -49,11 +60,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a stored table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -115,14 +127,16 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-_CACHE: dict[str, np.ndarray] = {}
+#: Bytes that span_hashes works on at a time.
+_WINDOW = 1 << 18
+_CACHE: list[np.ndarray] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_CACHE.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _CACHE.update(up=_powers(_P, size), down=_powers(_P_INV, size))
-    return _CACHE["up"][:n], _CACHE["down"][:n]
+    """Powers of _P and of its inverse below n, at most _WINDOW."""
+    if not _CACHE:
+        _CACHE.extend((_powers(_P, _WINDOW), _powers(_P_INV, _WINDOW)))
+    return _CACHE[0][:n], _CACHE[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,12 +157,26 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
-    up, down = _tables(len(data) + 1)
+    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand.
+
+    Spans ascend and do not overlap. Bytes are taken a window at a time, so what is held beside them is bounded.
+    """
+    out = np.zeros(len(begin), np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        for low in range(0, len(data), _WINDOW):
+            high = min(low + _WINDOW, len(data))
+            first, last = np.searchsorted(end, low, "right"), np.searchsorted(begin, high, "left")
+            if first >= last:
+                continue
+            up, down = _tables(high - low)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+            b, e = np.maximum(begin[first:last], low), np.maximum(np.minimum(end[first:last], high), low)
+            part = (total[e - low] - total[b - low]) * down[np.minimum(b - low, high - low - 1)]
+            if b[0] > begin[first]:  # only the first can have begun before this window
+                part[0] *= np.uint64(pow(int(_P), int(b[0] - begin[first]), 1 << 64))
+            out[first:last] += part
+        return mix(out + (end - begin).astype(np.uint64))
 
 
 def words(data: np.ndarray, bounds: np.ndarray, separates: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +205,7 @@ def release() -> None:
         pass
 
 
-def batches(table_of: pa.RecordBatch, column: str, limit: int = 1_500_000):
+def batches(table_of: pa.RecordBatch, column: str, limit: int = 512_000):
     """Parts of a batch whose texts together have at most limit bytes (one text at least)."""
     column_of = table_of.column(column)
     sizes = pc.fill_null(pc.binary_length(column_of), 0).to_numpy(zero_copy_only=False)
