@@ -236,6 +236,17 @@ class LocalCounts:
         return out
 
 
+def best_of(candidates: list[Candidate], s: BoxStatistics, initial: BoxLimits, objective: str) -> Candidate | None:
+    """Highest score, then most unrestricted features, then the first; s is of the box that they change."""
+    best = None
+    for c in candidates:
+        score = st.objective_score(objective, s.cases_of_interest, s.points, c.cases, c.points)
+        c = replace(c, score=score, non_restricted=len(initial.items) - len(c.limits.restricted(initial)))
+        if best is None or (c.score, c.non_restricted) > (best.score, best.non_restricted):
+            best = c
+    return best
+
+
 class Prim:
     """Finds boxes one after another; a found box's rows leave the population, the reference limits and masses do not move.
 
@@ -359,14 +370,7 @@ class Prim:
         return [Candidate(b, n, k) for b, (n, k) in zip(boxes, self.counts.tally(boxes) if boxes else [], strict=True)]
 
     def _best(self, candidates: list[Candidate], current: BoxStep) -> Candidate | None:
-        """Highest score, then most unrestricted features, then the first."""
-        s, best = current.statistics, None
-        for c in candidates:
-            score = st.objective_score(self.config.objective, s.cases_of_interest, s.points, c.cases, c.points)
-            c = replace(c, score=score, non_restricted=len(self.initial.items) - len(c.limits.restricted(self.initial)))
-            if best is None or (c.score, c.non_restricted) > (best.score, best.non_restricted):
-                best = c
-        return best
+        return best_of(candidates, current.statistics, self.initial, self.config.objective)
 
     def _accepts_peel(self, current: BoxStep, c: Candidate) -> bool:
         mass = c.points / self.rows

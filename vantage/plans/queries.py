@@ -22,7 +22,7 @@ from vantage.operators.effects import effects_dataframe, restriction_effects
 from vantage.operators.frame import CASE, Feature, ScenarioFrame, category_dictionary, decoded
 from vantage.operators.requests import split
 from vantage.operators.sampling import sample_latin_hypercube, sample_uniform
-from vantage.operators.search import TRAJECTORY, BoxStatistics, BoxStep, Prim, PrimBox, PrimConfig, relaxed_boxes
+from vantage.operators.search import BoxStatistics, BoxStep, Candidate, Prim, PrimBox, PrimConfig, best_of, relaxed_boxes
 from vantage.operators.selection import Balanced, CandidateSelection, HighDensity, select_from
 from vantage.operators.table import EvaluationTable, duplicate_ids, key_label, missing_results, pair
 from vantage.schema import BOOL, SchemaBuilder, SessionSchema, datetime, indexed, key, quantity, record, union, Axis
@@ -310,7 +310,14 @@ for _name in ("lenient1", "lenient2", "original"):
 
 @query("best_candidate", f"SELECT dropped, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, dropped) AS rank FROM ({_scores('lenient1')}) AS s) AS r WHERE rank = 1")
 def best_candidate(spark, sf):
-    return _scored("lenient1")(spark, sf).orderBy(F.desc("score"), "dropped").limit(1)
+    """The search's own choice among the boxes that leave one priority out."""
+    groups = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") >= 200000).alias("k")).orderBy("o_orderpriority").collect()
+    whole = frozenset(g["o_orderpriority"] for g in groups)
+    n0, k0 = sum(g["n"] for g in groups), sum(g["k"] for g in groups)
+    boxes = [(g["o_orderpriority"], Candidate(BoxLimits((("o_orderpriority", Categories(whole - {g["o_orderpriority"]})),)), n0 - g["n"], k0 - g["k"])) for g in groups]
+    best = best_of([c for _, c in boxes], BoxStatistics.of(n0, k0, n0, k0, 0), BoxLimits((("o_orderpriority", Categories(whole)),)), st.LENIENT1)
+    dropped = next(iter(whole - best.limits["o_orderpriority"].values))
+    return rows_of(spark, [(dropped, float(best.score))], "dropped string, score double")
 
 
 # ---------------------------------------------------------------- the search
@@ -318,17 +325,21 @@ def best_candidate(spark, sf):
 
 PEEL_FEATURES = [Feature.continuous("l_quantity"), Feature.continuous("l_discount"), Feature.categorical("l_returnflag")]
 PEELS = 3
+#: A search that is followed to its last peel, and more steps than it has.
+PATH = PrimConfig(peel_alpha=0.2, mass_min=0.2)
+PATH_STEPS = 9
 
 
-def _unrolled_peels() -> str:
-    """The first peels as SQL: each step takes its best candidate's rows as a table of their own."""
-    steps = [f"b0 AS (SELECT l_quantity, l_discount, l_returnflag, is_case FROM {EXP})"]
-    for k in range(PEELS):
+def _unrolled_peels(peels: int = PEELS, alpha: float = 0.05, mass_min: float | None = None) -> str:
+    """The first peels as SQL: each step takes its best candidate's rows as a table of their own. With mass_min, those up to the
+    first that a search does not accept."""
+    steps = [f"b0 AS MATERIALIZED (SELECT l_quantity, l_discount, l_returnflag, is_case FROM {EXP})"]
+    for k in range(peels):
         b = f"b{k}"
         options = []
         for n in ("l_quantity", "l_discount"):
-            options.append((f"{n} <= {quantile_sql(b, n, 0.95)}", f"SELECT {len(options)} AS no, 0 AS grp, {n} <= {quantile_sql(b, n, 0.95)} AS keep, is_case, '{n}' AS feature, '' AS gone, 1 AS side FROM {b}"))
-            options.append((f"{n} >= {quantile_sql(b, n, 0.05)}", f"SELECT {len(options)} AS no, 0 AS grp, {n} >= {quantile_sql(b, n, 0.05)} AS keep, is_case, '{n}' AS feature, '' AS gone, -1 AS side FROM {b}"))
+            options.append((f"{n} <= {quantile_sql(b, n, 1 - alpha)}", f"SELECT {len(options)} AS no, 0 AS grp, {n} <= {quantile_sql(b, n, 1 - alpha)} AS keep, is_case, '{n}' AS feature, '' AS gone, 1 AS side FROM {b}"))
+            options.append((f"{n} >= {quantile_sql(b, n, alpha)}", f"SELECT {len(options)} AS no, 0 AS grp, {n} >= {quantile_sql(b, n, alpha)} AS keep, is_case, '{n}' AS feature, '' AS gone, -1 AS side FROM {b}"))
         options.append(("", f"SELECT 4 AS no, 0 AS grp, l_returnflag <> v AS keep, is_case, 'l_returnflag' AS feature, v AS gone, 0 AS side FROM {b}, (SELECT DISTINCT l_returnflag AS v FROM {b}) AS vs WHERE (SELECT count(DISTINCT l_returnflag) FROM {b}) > 1"))
         steps.append(f"o{k} AS (" + " UNION ALL ".join(o for _, o in options) + ")")
         steps.append(
@@ -337,22 +348,53 @@ def _unrolled_peels() -> str:
         joins = "".join(f", w{j}" for j in range(k))
         restricted = " + ".join(f"(CASE WHEN {' OR '.join([f'w{j}.feature = {n!r}' for j in range(k)] + [f'c.feature = {n!r}'])} THEN 1 ELSE 0 END)" for n in ("l_quantity", "l_discount", "l_returnflag"))
         score = "CASE WHEN c.n1 = c.n0 THEN 0 ELSE ((CASE WHEN c.n1 = 0 THEN 0 ELSE CAST(c.k1 AS DOUBLE) / c.n1 END) - CAST(c.k0 AS DOUBLE) / c.n0) / abs(c.n0 - c.n1) END"
-        steps.append(f"w{k} AS (SELECT c.no, c.feature, c.gone, c.side, c.n1, c.k1 FROM c{k} AS c{joins} ORDER BY {score} DESC, {restricted}, c.no, c.gone LIMIT 1)")
+        steps.append(f"w{k} AS MATERIALIZED (SELECT c.no, c.feature, c.gone, c.side, c.n1, c.k1, c.n0, {score} AS score FROM c{k} AS c{joins} ORDER BY {score} DESC, {restricted}, c.no, c.gone LIMIT 1)")
         keep = " OR ".join([f"(w{k}.no = {i} AND {cond})" for i, (cond, _) in enumerate(options[:4])] + [f"(w{k}.no = 4 AND l_returnflag <> w{k}.gone)"])
-        steps.append(f"b{k + 1} AS (SELECT {b}.* FROM {b}, w{k} WHERE {keep})")
-    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {k + 1} AS step, n1::BIGINT AS points, k1::BIGINT AS cases_of_interest, feature FROM w{k}" for k in range(PEELS))
+        steps.append(f"b{k + 1} AS MATERIALIZED (SELECT {b}.* FROM {b}, w{k} WHERE {keep})")
+    whole = "(SELECT count(*) FROM b0)"
+    accepted = lambda k: f"(SELECT n1 < n0 AND score > 0 AND CAST(n1 AS DOUBLE) / {whole} >= {mass_min} FROM w{k})"
+    until = lambda k: " WHERE " + " AND ".join(accepted(j) for j in range(k + 1)) if mass_min is not None else ""
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {k + 1} AS step, n1::BIGINT AS points, k1::BIGINT AS cases_of_interest, feature FROM w{k}{until(k)}" for k in range(peels))
 
 
 @query("prim_first_k_peels", _unrolled_peels())
 def prim_first_k_peels(spark, sf):
     whole = experiments(spark, sf)
     box = Prim(ScenarioFrame(whole.df, PEEL_FEATURES, check=False)).find_box()
+    return rows_of(spark, _peeled(box)[:PEELS], _PEELED)
+
+
+_PEELED = "step int, points long, cases_of_interest long, feature string"
+
+
+def _peeled(box: PrimBox) -> list[tuple]:
+    """Each peel of a box, and the feature that it restricts."""
     rows = []
-    for k in range(1, PEELS + 1):
-        now, before = box.trajectory[k], box.trajectory[k - 1]
-        moved = next(n for n, r in now.limits if r != before.limits[n])
-        rows.append((k, now.statistics.points, now.statistics.cases_of_interest, moved))
-    return rows_of(spark, rows, "step int, points long, cases_of_interest long, feature string")
+    for k, (before, now) in enumerate(zip(box.trajectory, box.trajectory[1:], strict=False), 1):
+        if now.phase == "peel":
+            moved = next(n for n, r in now.limits if r != before.limits[n])
+            rows.append((k, now.statistics.points, now.statistics.cases_of_interest, moved))
+    return rows
+
+
+def _peel_path(spark, sf, strategy: str) -> DataFrame:
+    prim = Prim(ScenarioFrame(experiments(spark, sf).df, PEEL_FEATURES, check=False), PATH, strategy)
+    try:
+        return rows_of(spark, _peeled(prim.find_box()), _PEELED)
+    finally:
+        prim.close()
+
+
+@query("prim_peel_path", _unrolled_peels(PATH_STEPS, 0.2, 0.2))
+def prim_peel_path(spark, sf):
+    """Every peel of a search in memory, up to the one that it does not accept."""
+    return _peel_path(spark, sf, "local")
+
+
+@query("prim_peel_path_distributed", _unrolled_peels(PATH_STEPS, 0.2, 0.2))
+def prim_peel_path_distributed(spark, sf):
+    """The same by Spark jobs."""
+    return _peel_path(spark, sf, "distributed")
 
 
 def search_frame(spark, sf) -> ScenarioFrame:
