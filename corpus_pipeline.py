@@ -21,13 +21,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is recognised: null texts and texts without a letter. lang stays as it was."""
+    """Drops documents in which no language is recognised: null texts and texts without a letter. lang stays as it was; without a
+    labelled document nothing is recognised."""
     judged = language.identify(docs.select(*COLUMNS), language.fit(docs.where(~held_out())))
     return judged.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated and similar lines out, and drops documents that have only blanks left by it; n_chars follows the text."""
+    """Takes repeated and similar lines out, and drops documents that have only blanks left by it; n_chars follows the text. Null,
+    empty and blank texts stay; rows that repeat an id and a text are treated as one and stay both."""
     cleaned = dedup_lines(docs.select(*COLUMNS))
     kept = cleaned.where((F.size("dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0d]"))
     length = F.when(F.size("dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -35,19 +37,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies, and all that are in none."""
+    """Keeps the document with the smallest id of each group of near copies, and all that are in none. Rows that repeat that id, and
+    rows without an id, stay."""
     groups = near_duplicates(docs)
     copies = stored(groups.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct(), "copies")
     return docs.select(*COLUMNS).join(F.broadcast(copies) if small(copies) else copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap with a benchmark item."""
+    """Drops rows whose text overlaps with a benchmark item, with or without an id."""
     return decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left: ids, their number and digests of ids and of the decoded bytes."""
+    """Encodes what is left: ids, their number and digests of ids and of the decoded bytes. A null text counts as empty."""
     return encode_documents(docs, *tokenizer()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
