@@ -75,11 +75,13 @@ class CountingQuotientFilter:
 
 def _build(blocks: int):
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = CountingQuotientFilter.of(np.zeros(0, np.uint64))
+        held: list[CountingQuotientFilter] = []
         for part in parts:
-            own = CountingQuotientFilter.of(part.column("fp").to_numpy())
-            whole = CountingQuotientFilter.merged([whole, own])
-        fingerprints, counts = whole.items()
+            held.append(CountingQuotientFilter.of(part.column("fp").to_numpy()))
+            # filters of about equal size merge, so that a fingerprint is merged a few times and not with every batch
+            while len(held) > 1 and len(held[-2].counts) <= 2 * len(held[-1].counts):
+                held[-2:] = [CountingQuotientFilter.merged(held[-2:])]
+        fingerprints, counts = CountingQuotientFilter.merged(held).items()
         block = ((fingerprints >> _R) * np.uint64(blocks)) >> np.uint64(QUOTIENT_BITS)
         cuts = np.flatnonzero(np.diff(block)) + 1
         for at, f, c in zip(block[[0, *cuts]] if len(block) else [], np.split(fingerprints, cuts), np.split(counts, cuts), strict=False):
