@@ -148,17 +148,17 @@ def _stretches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same[low - begin : low - begin + len(x)] |= np.frombuffer(x, bool)
         at, n, agreeing = longest_overlap(same)
         if n >= min(LEAST_WORDS, words_of):
-            found.append((now[0], now[2], now[4] + begin + at, n, agreeing))
+            found.append((now[0], now[1], now[2], now[4] + begin + at, n, agreeing))
         held.clear()
 
     def rows(kinds: list[pa.DataType]) -> pa.RecordBatch:
-        out = pa.record_batch([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "word", "overlap", "agreeing"])
+        out = pa.record_batch([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["doc_id", "doc_version", "item_id", "word", "overlap", "agreeing"])
         found.clear()
         return out
 
     kinds: list[pa.DataType] = []
     for part in parts:
-        kinds = [part.schema.field("doc_id").type, part.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32()]
+        kinds = [part.schema.field("doc_id").type, pa.int64(), part.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32()]
         for *key, n, low, same in zip(*(part.column(c).to_pylist() for c in (*keys, "item_words", "low", "same")), strict=True):
             if key != now:
                 close()
@@ -170,13 +170,10 @@ def _stretches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(kinds)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, word, overlap, agreeing: one row for each document and benchmark item that overlap, with the longest
-    overlap in words, how many of them agree, and the document's word where it begins.
+def overlaps_found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """doc_id, doc_version (a hash of the text), item_id, word, overlap, agreeing: the longest overlap on each diagonal.
 
-    Null and empty texts have no words and overlap with nothing; rows that repeat an id count as one document; a row without
-    an id is reported with a null id; an empty table on either side gives an empty result; other columns are ignored. A
-    filter of fixed size keeps most windows of the corpus from leaving their task; a benchmark that fills it costs more
+    A filter of fixed size keeps most windows of the corpus from leaving their task; a benchmark that fills it costs more
     shuffling and loses nothing.
     """
     spark = docs.sparkSession
@@ -197,12 +194,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     aligned = hits.select("doc_id", "doc_version", "doc_at", "doc_from", "doc_around", "item_id", "item_version", "item_at", "item_from", "item_around", "item_words")
     aligned = aligned.mapInArrow(_aligned, f"doc_id {doc_kind}, doc_version long, item_id {item_kind}, item_version long, item_words int, diagonal int, low int, same binary")
     dealt = aligned.repartition(*key).sortWithinPartitions(*key)
-    found = dealt.mapInArrow(_stretches, f"doc_id {doc_kind}, item_id {item_kind}, word int, overlap int, agreeing int")
+    found = dealt.mapInArrow(_stretches, f"doc_id {doc_kind}, doc_version long, item_id {item_kind}, word int, overlap int, agreeing int")
+    return found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, word, overlap, agreeing: one row for each document and benchmark item that overlap, with the longest
+    overlap in words, how many of them agree, and the document's word where it begins.
+
+    Null and empty texts have no words and overlap with nothing; rows that repeat an id count as one document; a row without
+    an id is reported with a null id; an empty table on either side gives an empty result; other columns are ignored.
+    """
+    found = overlaps_found(docs, benchmark, id_col, text_col, item_col, item_text_col)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "agreeing", (-F.col("word")).alias("w"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.w")).alias("word"), "best.overlap", "best.agreeing")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs without those that overlap with an item; rows without an id stay."""
-    bad = stored(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "leaking")
-    return docs.join(F.broadcast(bad) if small(bad) else bad, id_col, "left_anti")
+    """The rows and columns of docs without those whose text overlaps with an item, with or without an id."""
+    found = overlaps_found(docs, benchmark, id_col, text_col, "item_id", "text")
+    bad = stored(found.select(F.col("doc_id").alias("_leaking_id"), F.col("doc_version").alias("_leaking_version")).distinct(), "leaking")
+    same = F.col(id_col).eqNullSafe(F.col("_leaking_id")) & (F.xxhash64(text_col) == F.col("_leaking_version"))
+    return docs.join(F.broadcast(bad) if small(bad) else bad, same, "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantage.llm.shared import batches, joined, span_hashes, words
+from vantage.llm.shared import batches, joined, lean, span_hashes, words
 
 #: Labelled rows that a model is fitted on, at most about: the bound of the sample.
 SAMPLE_ROWS = 20_000
@@ -105,6 +105,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def with_statistics(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """The columns of keep and the statistics of text_col, each as a column stat_<name>."""
+    lean(docs.sparkSession)
     chosen = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("body"))
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField(f"stat_{s}", T.DoubleType()) for s in STATISTICS])
 
