@@ -88,13 +88,34 @@ def _spans(kind: str) -> Column:
     return F.when(F.size(kind) > 0, out).otherwise(F.array().cast(_SPAN)).alias(kind)
 
 
+def _ranks(points: Column, at: Column, inclusive: bool) -> Column:
+    """For each value of the ascending array at, how many points are below it (or equal to it, if inclusive)."""
+    mark = lambda own: lambda x: F.struct(x.alias("value"), F.lit(own).alias("own"))
+    merged = F.array_sort(F.concat(F.transform(points, mark(not inclusive)), F.transform(at, mark(inclusive))))
+    placed = F.transform(merged, lambda x, i: F.struct(x["own"].alias("own"), i.alias("i")))
+    return F.transform(F.filter(placed, lambda x: x["own"] == F.lit(inclusive)), lambda x, j: x["i"] - j)
+
+
+def _near(parts: Column, xs: Column, reach: int) -> Column:
+    """For each of xs, spans of one kind in order, whether a part is within reach: more parts begin before its end than end
+    before its begin."""
+    begun = _ranks(F.transform(parts, lambda y: y["start"]), F.transform(xs, lambda x: x["stop"] + reach), True)
+    over = _ranks(F.transform(parts, lambda y: y["stop"]), F.transform(xs, lambda x: x["start"] - reach), False)
+    return F.zip_with(begun, over, lambda a, b: a > b)
+
+
+def _where(xs: Column, flags: Column) -> Column:
+    both = F.zip_with(xs, flags, lambda x, f: F.struct(x.alias("x"), f.alias("f")))
+    return F.transform(F.filter(both, lambda z: z["f"]), lambda z: z["x"])
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """One row per document: its id, base_spans and weak_spans, arrays of (start, kind, stop) in listed order.
 
     Weak candidates: a key needs an identifier within reach, an identifier of a temporary key needs a key or an
     assigned secret, an endpoint needs both. Null text counts as empty and has no spans; repeated rows are each
-    judged; an empty table gives an empty result; other columns are ignored. The work grows with the text, and
-    for linking with the product of the parts in one text.
+    judged; an empty table gives an empty result; other columns are ignored. The work grows with the text; linking sorts the
+    parts of a text, and compares no pairs of them.
     """
     text = F.col("body")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
@@ -112,14 +133,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     found = matches.select("doc_id", *map(_spans, KINDS))
 
-    def near(parts: Column, x: Column) -> Column:
-        return F.exists(parts, lambda y: (y["start"] <= x["stop"] + reach) & (y["stop"] >= x["start"] - reach))
-
     ids, keys = F.concat("access", "key_id"), F.concat("assign", "key")
+    key_id, key, endpoint = F.col("key_id"), F.col("key"), F.col("endpoint")
     weak = F.concat(
-        F.filter("key_id", lambda x: near(keys, x)),
-        F.filter("key", lambda x: near(ids, x)),
-        F.filter("endpoint", lambda x: near(ids, x) & near(keys, x)),
+        _where(key_id, _near(keys, key_id, reach)),
+        _where(key, _near(ids, key, reach)),
+        _where(endpoint, F.zip_with(_near(ids, endpoint, reach), _near(keys, endpoint, reach), lambda a, b: a & b)),
     )
     weak = F.when((F.size(ids) > 0) & (F.size(keys) > 0), weak).otherwise(F.array().cast(_SPAN))
     return found.select("doc_id", "assign", "access", "hex", F.array_sort(F.concat("assign", "access", "hex")).alias("base_spans"), F.array_sort(weak).alias("weak_spans"))
