@@ -2,13 +2,14 @@
 
 All n-grams have one global order: those that a counting sketch of fixed size finds to be very frequent come last,
 by their frequency, the others by hash. In this order two sets with a similarity of t share a token among their
-first n - ceil(t * n) + 1 tokens. Sets are sent only to partners that they may link with; where they meet, a prefix
-tree holds the ordered sets, a probe walks it with one running overlap for each shared path, and subtrees whose
-remaining length cannot reach the overlap needed are skipped.
-
-Links are looked for in two rounds. First every set meets one partner, the one it shares most leading tokens with.
-Sets that these links join need not meet again: the second round takes only pairs from different components, so that
-a group of near copies costs its size and not its square, and no link between components is lost.
+first n - ceil(t * n) + 1 tokens. Sets are sent only to places where they may meet a partner; there a prefix tree holds
+the ordered sets, all probes walk it together with one running overlap for each shared path, and subtrees whose
+remaining length cannot reach the overlap needed are left.
+
+Links are looked for in two rounds. First every set meets one partner, the most central one that it shares leading
+tokens with. Sets that these links join need not meet again: the second round takes only pairs from different
+components. Where few sets share a token, their pairs are counted and compared if they share enough; where many do, the
+sets meet in one place, each sent once, and the tree finds their links: no list of their pairs is made.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vantage.llm.shared import as_long, batches, bloom, bloom_has, components, forget, joined, mix, small, stored, words
+from vantage.llm.set_join import linked, places_across, prefix_length
+from vantage.llm.shared import as_long, batches, bloom, bloom_has, components, forget, joined, mix, stored, words
 
 N = 5
 #: Two sets link when LINK[1] * intersection >= LINK[0] * union.
@@ -30,9 +32,6 @@ LINK = (75, 100)
 #: Cells of the frequency sketch, and of one of its parts.
 SKETCH_BITS = 20
 _PART_BITS = 14
-#: Members of one tree, and probes that walk it together; larger groups are dealt over several blocks.
-TREE_SETS = 256
-PROBES = 64
 BLOOM_BITS = 24
 
 
@@ -57,8 +56,9 @@ def shingle_sets(texts: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
             inside = k < count[own]
             word = np.where(inside, hashed[np.minimum(at, max(total - 1, 0))], np.uint64(0)) if total else grams
             grams = mix(grams * np.uint64(0xD6E8FEB86659FD93) + word + np.uint64(k + 1) * inside.astype(np.uint64))
-    order = np.lexsort((grams, own))
-    own, grams = own[order], grams[order]
+    cuts = np.cumsum(made)
+    for a, b in zip((cuts - made).tolist(), cuts.tolist(), strict=True):  # one text after another: shorter sorts are faster
+        grams[a:b].sort()
     distinct = np.ones(len(own), bool)
     distinct[1:] = (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])
     own, grams = own[distinct], grams[distinct]
@@ -158,230 +158,69 @@ def members_and_sketch(docs: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarr
     return both.where("part is null").select("doc_id", "sid", "n_shingles"), classes
 
 
-def _ordered(grams: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Tokens of each set in the global order."""
-    own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+def _ordered(grams: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each set in the global order, and their classes."""
     kind = classes[(grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-    if not kind.any():
-        return grams  # within a text they ascend already
-    return grams[np.lexsort((grams, kind, own))]
-
-
-def prefix_length(size: np.ndarray) -> np.ndarray:
-    """Leading tokens among which two linked sets must share one."""
-    return size - -(-size * LINK[0] // LINK[1]) + 1
+    late = np.flatnonzero(kind)
+    if not len(late):
+        return grams, kind  # within a text they ascend already
+    # tokens of class 0 move up and keep their order; the others follow them, by class
+    own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    behind = np.cumsum(kind > 0)
+    to = np.arange(len(grams)) - behind + np.concatenate(([0], behind))[ends[:-1]][own]
+    early = np.bincount(own[kind == 0], minlength=len(ends) - 1)
+    order = np.lexsort((kind[late], own[late]))
+    late = late[order]
+    rank = np.arange(len(late)) - np.searchsorted(own[late], own[late], "left")
+    to[late] = ends[:-1][own[late]] + early[own[late]] + rank
+    out, kinds = np.empty_like(grams), np.empty_like(kind)
+    out[to], kinds[to] = grams, kind
+    return out, kinds
 
 
 def leading_tokens(docs: DataFrame, classes, n: int = N) -> DataFrame:
-    """token, sid, place: the leading tokens of every distinct set (copies within a task are sent once). place holds the
-    set's size above the token's position in it, 32 bits each."""
+    """token, sid, place, weight: the leading tokens of every distinct set (copies within a task are sent once). place holds
+    the set's size above the token's position in it, 32 bits each; weight is how frequent the set's leading tokens are."""
 
     def make(part, grams, ends, ids, seen):
         rows = _fresh(ids, seen)
         if not len(rows):
             return None
-        tokens = _ordered(grams, ends, classes.value)
+        tokens, kinds = _ordered(grams, ends, classes.value)
         size = ends[rows + 1] - ends[rows]
-        at, own = _taken(ends, rows, prefix_length(size))
+        at, own = _taken(ends, rows, prefix_length(size, LINK))
         place = size[own] << 32 | (at - ends[rows[own]])
-        return pa.record_batch({"token": pa.array(as_long(tokens[at])), "sid": pa.array(as_long(ids[rows[own]])), "place": pa.array(place)})
+        often = np.bincount(own, np.where(kinds[at] > 0, np.exp2(kinds[at]), 0.0), len(rows))
+        return pa.record_batch({"token": pa.array(as_long(tokens[at])), "sid": pa.array(as_long(ids[rows[own]])), "place": pa.array(place), "weight": pa.array(often[own].astype(np.float32))})
 
-    return _each(docs, n, make, "token long, sid long, place long")
+    return _each(docs, n, make, "token long, sid long, place long, weight float")
 
 
-def _by_token(parts: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """Arrays of whole token groups from rows sorted by token (a group may span batches); groups of one row are dropped."""
-    held: list[np.ndarray] | None = None
+def _met(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, sid, place, head, head_size: rows of tokens that more than one set leads with, each set once, with the token's
+    first set; from rows sorted by token, weight (heaviest first) and sid. One row is held back at a time."""
+    held, several, head_before = None, False, (0, 0)
     for part in parts:
-        now = [part.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        token, sid, place = (part.column(c).to_numpy() for c in ("token", "sid", "place"))
         if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1], "left"))  # tokens ascend
-        held = [x[cut:] for x in now]
-        if cut:
-            yield [x[:cut] for x in now]
-    if held is not None and len(held[0]):
-        yield held
-
-
-def _degrees(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid and the number of sets at each of its tokens, from rows sorted by token."""
-    for token, sid in _by_token(parts, ("token", "sid")):
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        sizes = np.diff(np.append(starts, len(token)))
-        yield pa.record_batch({"sid": pa.array(sid), "n": pa.array(np.repeat(sizes, sizes), pa.int64())})
-
-
-def _pivots(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's pairing with the first set of its token, from rows sorted by token."""
-    last_token = last_sid = last_size = None
-    for part in parts:
-        token, sid, size = (part.column(c).to_numpy() for c in ("token", "sid", "place"))
-        size = size >> 32
+            token, sid, place = (np.concatenate(([x], y)) for x, y in zip(held, (token, sid, place), strict=True))
         if not len(token):
             continue
-        head = np.concatenate(([True], token[1:] != token[:-1]))
-        if last_token == token[0]:
-            head[0] = False
-        at = np.maximum.accumulate(np.where(head, np.arange(len(token)), -1))
-        pivot = np.where(at >= 0, sid[at], last_sid if last_sid is not None else 0)
-        pivot_size = np.where(at >= 0, size[at], last_size if last_size is not None else 0)
-        last_token, last_sid, last_size = token[-1], pivot[-1], pivot_size[-1]
-        good = (pivot != sid) & _sizes_fit(size, pivot_size)
-        yield pa.record_batch({"member": pa.array(sid[good]), "pivot": pa.array(pivot[good])})
-
-
-def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low, high = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-    return LINK[1] * low >= LINK[0] * high
-
-
-def overlap_needed(m, p):
-    """Tokens that linked sets of these sizes share at least."""
-    return -(-LINK[0] * (m + p) // (LINK[0] + LINK[1]))
-
-
-def shared_needed(m, p):
-    """How many tokens linked sets share, at least, among the leading ones that `_across` looks at.
-
-    Of a set of m tokens the first m - needed + k are looked at. Where fewer than k of them are shared, what follows cannot
-    make up the overlap needed. k is a quarter of what the leading tokens that were sent allow: a larger one leaves fewer
-    pairs to compare and makes more rows on the way.
-    """
-    need = overlap_needed(m, p)
-    spare = np.minimum(need + LINK[0] * -m // LINK[1], need + LINK[0] * -p // LINK[1]) + 1
-    return np.maximum(1, spare // 4)
-
-
-def _across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components at each token that stands early enough in both sets, from rows sorted by token, in blocks
-    of bounded size.
-
-    A token late in a set has too few tokens behind it; in the global order most of a near copy's tokens come after those
-    that it does not share. What two sets share early is counted by the caller and held against `need`.
-    """
-    block = 1024
-    for token, sid, place, comp in _by_token(parts, ("token", "sid", "place", "comp")):
-        size, position = place >> 32, place & 0xFFFFFFFF
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        stops = np.append(starts[1:], len(token))
-        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-        left, right, held = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal left, right, held
-            x, y = (np.concatenate(z) for z in (left, right))  # noqa: B023
-            left, right, held = [], [], 0
-            need = shared_needed(size[x], size[y])  # noqa: B023
-            return pa.record_batch({"member": pa.array(sid[x]), "pivot": pa.array(sid[y]), "need": pa.array(need.astype(np.int32))})  # noqa: B023
-
-        for a, b in zip(starts[mixed].tolist(), stops[mixed].tolist(), strict=True):
-            for i in range(a, b, block):
-                for j in range(i, b, block):
-                    x, y = np.arange(i, min(i + block, b))[:, None], np.arange(j, min(j + block, b))[None, :]
-                    need = overlap_needed(size[x], size[y]) - shared_needed(size[x], size[y])
-                    early = (position[x] + need < size[x]) & (position[y] + need < size[y])
-                    good = (sid[x] > sid[y] if i == j else sid[x] != sid[y]) & (comp[x] != comp[y]) & early & _sizes_fit(size[x], size[y])
-                    p, q = np.nonzero(good)
-                    if len(p):
-                        p, q = p + i, q + j
-                        low = sid[p] < sid[q]
-                        left.append(np.where(low, q, p))
-                        right.append(np.where(low, p, q))
-                        held += len(p)
-                    if held > 200_000:
-                        yield flush()
-        if held:
-            yield flush()
-
-
-class PrefixTree:
-    """Sets in the global order, as a tree of token runs; sets with equal leading tokens share their path."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        order = sorted(range(len(sets)), key=lambda k: sets[k].tobytes())
-        common = [0]
-        for a, b in zip(order, order[1:], strict=False):
-            x, y = sets[a], sets[b]
-            m = min(len(x), len(y))
-            differ = x[:m] != y[:m]
-            common.append(int(differ.argmax()) if differ.any() else m)
-        #: run of tokens, depth after it, largest set below, sets that end here, children
-        self.root = self._grow(order, common, 0, len(order), 0) if order else None
-
-    def _grow(self, order: list[int], common: list[int], lo: int, hi: int, depth: int) -> tuple:
-        first = self.sets[order[lo]]
-        end = min([len(first), *common[lo + 1 : hi]])
-        ended, at = [], lo
-        while at < hi and len(self.sets[order[at]]) == end:
-            ended.append(order[at])
-            at += 1
-        children = []
-        while at < hi:
-            stop = at + 1
-            while stop < hi and common[stop] > end:
-                stop += 1
-            children.append(self._grow(order, common, at, stop, end))
-            at = stop
-        most = max([end] * bool(ended) + [c[2] for c in children])
-        return first[depth:end], end, most, ended, children
-
-    def linked(self, probe: np.ndarray) -> list[int]:
-        """Numbers of the sets that link with the probe."""
-        out: list[int] = []
-        if self.root is None or not len(probe):
-            return out
-        ascending = np.sort(probe)
-        t, u = LINK
-        size = len(probe)
-        stack = [(self.root, 0)]
-        while stack:
-            (run, depth, most, ended, children), overlap = stack.pop()
-            if len(run):
-                at = np.searchsorted(ascending, run)
-                at[at == size] = 0
-                overlap += int(np.count_nonzero(ascending[at] == run))
-            # overlap needed: t * (size + most) / (t + u), and at most what is left can be added
-            if (t + u) * (overlap + most - depth) < t * (size + most):
-                continue
-            for k in ended:
-                if u * overlap >= t * (size + depth - overlap):
-                    out.append(k)
-            stack += [(c, overlap) for c in children]
-        return out
-
-
-def _walk_trees(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between each block's probes and its members, from rows sorted by block with the probes first."""
-    block, probes, members = None, {}, {}
-    found: list[tuple[int, int]] = []
-
-    def close() -> None:
-        if probes and members:
-            numbers = list(members)
-            tree = PrefixTree(list(members.values()))
-            for sid, tokens in probes.items():
-                found.extend((numbers[k], sid) for k in tree.linked(tokens) if numbers[k] != sid)
-
-    def edges() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        found.clear()
-        return out
-
-    for part in parts:
-        for owner, r, c, member, sid, tokens in zip(*(part.column(x).to_pylist() for x in ("owner", "r", "c", "is_member", "sid", "tokens")), strict=True):
-            if block != (owner, r, c):
-                close()
-                block, probes, members = (owner, r, c), {}, {}
-            (members if member else probes)[sid] = np.frombuffer(tokens, np.uint64)  # copies from several tasks fall together
-        if found:
-            yield edges()
-    close()
-    if found:
-        yield edges()
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+        token, sid, place = token[fresh], sid[fresh], place[fresh]
+        same = token[1:] == token[:-1]
+        at = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(token)), 0))
+        head, size = sid[at], place[at] >> 32
+        if held is not None:  # the first run began before
+            head[at == 0], size[at == 0] = head_before
+        keep = np.concatenate(([several], same)) | np.concatenate((same, [False]))
+        held, head_before, several = (token[-1], sid[-1], place[-1]), (head[-1], size[-1]), bool(keep[-1])
+        keep[-1] = False
+        if keep.any():
+            yield pa.record_batch({c: pa.array(x[keep]) for c, x in zip(("token", "sid", "place", "head", "head_size"), (token, sid, place, head, size), strict=True)})
+    if several:
+        yield pa.record_batch({c: pa.array([x], pa.int64()) for c, x in zip(("token", "sid", "place", "head", "head_size"), (*held, *head_before), strict=True)})
 
 
 def candidate_sets(leading: DataFrame, docs: DataFrame, classes, n: int = N) -> DataFrame:
@@ -395,30 +234,12 @@ def candidate_sets(leading: DataFrame, docs: DataFrame, classes, n: int = N) ->
         rows = _fresh(np.where(bloom_has(wanted.value, ids), ids, np.uint64(0)), seen)
         if not len(rows):
             return None
-        tokens = _ordered(grams, ends, classes.value)
+        tokens, _ = _ordered(grams, ends, classes.value)
         return pa.record_batch({"sid": pa.array(as_long(ids[rows])), "tokens": pa.array([tokens[ends[k] : ends[k + 1]].tobytes() for k in rows], pa.binary())})
 
-    return stored(_each(docs, n, make, "sid long, tokens binary"), "sets")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (owner, probe, member) that link, as edges (a, b); more links may come along.
-
-    sets are the stored sets of `candidate_sets`. An owner's probes and members meet in blocks: up to PROBES probes walk a
-    tree of up to TREE_SETS members, so a set is sent once for each block and not for each pair.
-    """
-    side = lambda c: pairs.groupBy("owner", F.col(c).alias("sid")).agg(F.count(F.lit(1)).alias("_"))
-    probes, members = side("probe"), side("member")
-    blocks = lambda df, name, most: df.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    shape = stored(blocks(probes, "rows", PROBES).join(blocks(members, "columns", TREE_SETS), "owner"), "shape")
-    mod = lambda count: F.pmod(F.xxhash64("sid"), F.col(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    there = members.join(shape, "owner").select("sid", "owner", every("rows").alias("r"), mod("columns").alias("c"), F.lit(True).alias("is_member"))
-    here = probes.join(shape, "owner").select("sid", "owner", mod("rows").alias("r"), every("columns").alias("c"), F.lit(False).alias("is_member"))
-    places = stored(there.unionByName(here), "places")
-    placed = sets.join(F.broadcast(places) if small(places) else places, "sid")
-    met = placed.repartition("owner", "r", "c").sortWithinPartitions("owner", "r", "c", "is_member", "sid")
-    return met.select("owner", "r", "c", "is_member", "sid", "tokens").mapInArrow(_walk_trees, "a long, b long")
+    out = stored(_each(docs, n, make, "sid long, tokens binary"), "sets")
+    wanted.destroy()
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -435,56 +256,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members, classes = members_and_sketch(docs, n)
     classes = spark.sparkContext.broadcast(classes)
 
-    leading = leading_tokens(docs, classes, n).repartition("token").sortWithinPartitions("token", "sid")
-    leading = stored(leading.mapInArrow(_shared_only, "token long, sid long, place long"), "leading")
+    leading = leading_tokens(docs, classes, n).repartition("token").sortWithinPartitions("token", F.desc("weight"), "sid")
+    leading = stored(leading.mapInArrow(_met, "token long, sid long, place long, head long, head_size long"), "leading")
     sets = candidate_sets(leading, docs, classes, n)
-    by_token = leading.select("token", "sid").repartition("token").sortWithinPartitions("token")
-    degree = by_token.mapInArrow(_degrees, "sid long, n long").groupBy("sid").agg(F.sum("n").alias("degree"))
-    ranked = leading.join(degree, "sid").repartition("token").sortWithinPartitions("token", F.desc("degree"), "sid")
-    # the set that shares most is the first of its tokens: what near copies were made from, if it is there
-    counted = ranked.select("token", "sid", "place").mapInArrow(_pivots, "member long, pivot long").groupBy("member", "pivot").agg(F.count(F.lit(1)).alias("shared"))
-    first = counted.groupBy("member").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
-    first = stored(first, "first")
-    links = stored(verified(first.select(F.col("pivot").alias("owner"), F.col("pivot").alias("probe"), "member"), sets), "links")
+    classes.destroy()
+
+    # the set that shares most, of those that are first at a token: what near copies were made from, if it is there
+    size = F.shiftright("place", 32)
+    fits = (F.col("head") != F.col("sid")) & (LINK[1] * F.least(size, "head_size") >= LINK[0] * F.greatest(size, "head_size"))
+    counted = leading.where(fits).groupBy("sid", F.col("head").alias("pivot")).agg(F.count(F.lit(1)).alias("shared"), F.first(size).alias("size"), F.first("head_size").alias("pivot_size"))
+    best = F.max_by(F.struct("pivot", "pivot_size", "size", "shared"), F.struct("shared", -F.col("pivot"))).alias("p")
+    first = stored(counted.groupBy("sid").agg(best).select("sid", "p.*"), "first")
+    # tokens at which the partner is not the first are not counted, so half of what links need is asked for
+    need = F.ceil(LINK[0] * (F.col("size") + F.col("pivot_size")) / (LINK[0] + LINK[1])) - F.ceil(LINK[0] * F.greatest("size", "pivot_size") / LINK[1]) + 1
+    near_enough = first.where(2 * F.col("shared") >= need)
+    side = lambda sid, n, member: near_enough.select(F.col("pivot").alias("owner"), F.col(sid).alias("sid"), F.col(sid).alias("comp"), F.col(n).alias("size"), F.lit(member).alias("member"), F.lit(not member).alias("probe"))
+    links = linked(side("sid", "size", True).unionByName(side("pivot", "pivot_size", False).distinct()), sets, LINK)
     near = components(links)
 
-    # pairs whose components differ, and that share enough early tokens for what follows to make up the overlap needed
-    placed = leading.join(near.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    placed = placed.repartition("token").sortWithinPartitions("token", "sid").select("token", "sid", "place", "comp")
-    rest = placed.mapInArrow(_across, "member long, pivot long, need int").groupBy("member", "pivot").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
-    rest = rest.where("shared >= need").select("member", "pivot").join(first, ["member", "pivot"], "left_anti")
-    rest = stored(_cells(rest, near), "rest")
-    if not rest.isEmpty():
-        more = stored(verified(rest, sets), "more-links")
-        near = components(links.unionByName(more))
-    for x in (first, leading, sets):
-        forget(x)
-
-    return _named(members, near)
-
-
-def _cells(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """(owner, probe, member) for pairs of different components.
-
-    A component is labelled by the heaviest component that it has a pair with, or by itself. Pairs with the same two labels
-    meet in one place: near copies of one text that did not link to it, or documents that share a passage, are then sent
-    about once and not once for each pair. The set in the heavier component is the tree's member.
-    """
-    weight = near.groupBy("component").agg(F.count(F.lit(1)).alias("weight")).join(near, "component")
-    of = lambda sid, c: weight.select(F.col("node").alias(sid), F.col("component").alias(c), F.col("weight").alias(f"{c}_weight"))
-    both = pairs.join(of("member", "x"), "member", "left").join(of("pivot", "y"), "pivot", "left")
-    both = both.select("member", "pivot", F.coalesce("x", "member").alias("x"), F.coalesce("y", "pivot").alias("y"), F.coalesce("x_weight", F.lit(1)).alias("u"), F.coalesce("y_weight", F.lit(1)).alias("v"))
-    both = stored(both, "rest-pairs")
-    near_by = F.explode(F.array(*(F.struct(F.col(c).alias("c"), F.col(o).alias("o"), F.col(w).alias("w")) for c, o, w in (("x", "y", "v"), ("y", "x", "u"), ("x", "x", "u"), ("y", "y", "v")))))
-    labels = both.select(near_by.alias("n")).select("n.*").groupBy("c").agg(F.max_by("o", F.struct("w", -F.col("o"))).alias("label"))
-    label = lambda c, name: labels.select(F.col("c").alias(c), F.col("label").alias(name))
-    met = both.join(label("x", "a"), "x").join(label("y", "b"), "y")
-    heavier = F.col("u") >= F.col("v")
-    return met.select(
-        F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("owner"),
-        F.when(heavier, F.col("pivot")).otherwise(F.col("member")).alias("probe"),
-        F.when(heavier, F.col("member")).otherwise(F.col("pivot")).alias("member"),
-    )
+    # the partner of a set's partner is its label
+    comps, to = near.select(F.col("node").alias("sid"), F.col("component").alias("comp")), first.select("sid", "pivot")
+    label = to.join(to.select(F.col("sid").alias("pivot"), F.col("pivot").alias("further")), "pivot", "left").select("sid", F.coalesce("further", "pivot").alias("label"))
+    about = stored(comps.join(label, "sid", "full").select("sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("label", "sid").alias("label")), "about")
+    more = linked(places_across(leading, about, LINK), sets, LINK)
+    forget(leading, sets, first, about)
+    if more.isEmpty():
+        return _named(members, near)
+    wider = components(more)
+    every = near.unionByName(wider.select("node", F.col("node").alias("component"))).distinct()
+    every = every.join(wider.select(F.col("node").alias("component"), F.col("component").alias("wide")), "component", "left")
+    return _named(members, stored(every.select("node", F.coalesce("wide", "component").alias("component")), "near"))
 
 
 def _named(members: DataFrame, near: DataFrame) -> DataFrame:
@@ -498,15 +299,3 @@ def _named(members: DataFrame, near: DataFrame) -> DataFrame:
         joined = least.join(tied.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").withColumn("joined", F.coalesce("joined", "component"))
         least = joined.join(joined.groupBy("joined").agg(F.min("least").alias("lowest")), "joined").select("component", F.col("lowest").alias("least"))
     return placed.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-
-
-def _shared_only(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of tokens that more than one set leads with, each set once, from rows sorted by token and sid."""
-    for token, sid, place in _by_token(parts, ("token", "sid", "place")):
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-        token, sid, place = token[fresh], sid[fresh], place[fresh]
-        same = token[1:] == token[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        if keep.any():
-            yield pa.record_batch({"token": pa.array(token[keep]), "sid": pa.array(sid[keep]), "place": pa.array(place[keep])})
