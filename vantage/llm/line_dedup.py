@@ -3,6 +3,7 @@
 Lines are shingled by character, one pass of hashing fills all bins of a signature, and bands of bins bring similar
 lines together. Pairs are verified by the exact Jaccard similarity of their shingles, verified links join to components
 by a distributed union-find, and the first line of each component stays. Texts leave their task only for verification.
+Lines that a crowded bucket left apart meet once more, in prefix trees of their shingles.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.shared import _BLANK, BROADCAST_ROWS, as_long, batches, bloom, bloom_has, components, joined, mix, small, span_hashes, stored
+from vantage.llm.set_join import leading_of, linked, places_across, with_probes
+from vantage.llm.shared import _BLANK, BROADCAST_ROWS, as_long, batches, bloom, bloom_has, components, forget, joined, mix, small, span_hashes, stored
 
-#: Bytes in a shingle; least similarity of two lines; bands and bins in each.
+#: Bytes of text that are hashed together: what fits in a core's cache.
+HASH_BYTES = 128_000
+#: Characters in a shingle; least similarity of two lines; bands and bins in each.
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 5
-#: Blank lines are left alone, all others are compared; those without a shingle have only equal lines as copies.
-LEAST_BYTES = 1
+# Blank lines are left alone, all others are compared; those without a shingle have only equal lines as copies.
 
 _NEWLINE = 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,10 +50,12 @@ def lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def worded(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which lines have LEAST_BYTES bytes besides blanks."""
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(~_BLANK[data], out=total[1:])
-    return total[end] - total[begin] >= LEAST_BYTES
+    """Which lines have a byte that is not blank."""
+    out = end > begin
+    some = np.flatnonzero(out)
+    for k in some[_BLANK[data[begin[some]]]].tolist():  # few lines begin with a blank
+        out[k] = not _BLANK[data[begin[k] : end[k]]].all()
+    return out
 
 
 def line_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -58,29 +63,52 @@ def line_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return span_hashes(data, begin, end) | np.uint64(1)
 
 
-def _shingle_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the SHINGLE lower-cased bytes from each position (the last positions have none)."""
-    x = _LOWER[data].astype(np.uint64)
-    n = len(x) - SHINGLE + 1
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character, A-Z lower-cased, and how many characters stand before each byte and the end.
+
+    A character is a byte with the continuation bytes that follow it, so bytes that are no UTF-8 do no harm.
+    """
+    first = (data & 0xC0) != 0x80
+    before = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(first, out=before[1:], dtype=np.int32)
+    if before[-1] == len(data):
+        return _LOWER[data], before
+    at = np.flatnonzero(first)
+    out = _LOWER[data[at]].astype(np.uint64)
+    wide = np.flatnonzero(out > 127)
+    after = np.append(at, len(data))[wide + 1]
+    for k in (1, 2, 3):
+        more = at[wide] + k < after
+        out[wide[more]] |= data[at[wide[more]] + k].astype(np.uint64) << np.uint64(8 * k)
+    return out, before
+
+
+def _shingle_hashes(points: np.ndarray) -> np.ndarray:
+    """A hash of the SHINGLE characters from each position (the last positions have none)."""
+    n = len(points) - SHINGLE + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        out |= x[k : k + n] << np.uint64(8 * k)
-    return mix(out)
-
-
-def signatures(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash of each span: BANDS * ROWS bins; an empty bin takes a neighbour's value in a fixed order."""
+    x = points.astype(np.uint64)
+    wide = np.flatnonzero(points > 127)
+    if len(wide):  # a character beyond ASCII takes more than its byte: it is spread over the 64 bits
+        x[wide] = mix(x[wide])
+    for step in (1, 2, 4):  # of one character to two, of two to four, of four to eight
+        bits = np.uint64(8 * step)
+        later = x[step:]
+        x = x[:-step] ^ (later << bits | later >> (np.uint64(64) - bits))
+    return mix(x)
+
+
+def signatures(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash of each span of characters: BANDS * ROWS bins; an empty bin takes a neighbour's value in a fixed order."""
     bins = BANDS * ROWS
-    hashed = _shingle_hashes(data)
+    hashed = _shingle_hashes(points)
     size = np.maximum(end - begin - SHINGLE + 1, 0)
-    own = np.repeat(np.arange(len(begin)), size)
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-    h = hashed[at]
-    cell = own * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    h = np.concatenate([hashed[b : b + n] for b, n in zip(begin.tolist(), size.tolist(), strict=True)]) if len(begin) else hashed[:0]
+    cell = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    cell += np.repeat(np.arange(0, len(begin) * bins, bins), size)
     out = np.full(len(begin) * bins, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(out, cell, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+    np.minimum.at(out, cell, h.astype(np.uint32) & np.uint32(0xFFFFFFFE))
     out = out.reshape(-1, bins)
     empty = out == 0xFFFFFFFF
     step = 1
@@ -97,9 +125,9 @@ def signatures(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def band_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit bucket for each span (rows) and band (columns)."""
-    bins = signatures(data, begin, end).astype(np.uint64).reshape(len(begin), BANDS, ROWS)
+def band_keys(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit bucket for each span of characters (rows) and band (columns)."""
+    bins = signatures(points, begin, end).astype(np.uint64).reshape(len(begin), BANDS, ROWS)
     out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(begin), BANDS)).copy()
     with np.errstate(over="ignore"):
         for k in range(ROWS):
@@ -109,7 +137,7 @@ def band_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def jaccard(a: str, b: str) -> float:
     """Exact similarity of two lines' shingle sets."""
-    x, y = (set(np.unique(_shingle_hashes(np.frombuffer(s.encode(), np.uint8))).tolist()) for s in (a, b))
+    x, y = (set(np.unique(_shingle_hashes(characters(np.frombuffer(s.encode(), np.uint8))[0])).tolist()) for s in (a, b))
     return len(x & y) / len(x | y) if x or y else float(a == b)
 
 
@@ -119,11 +147,13 @@ def _set_keys(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    begin = offsets[:-1] - offsets[0]
-    size = np.maximum(np.diff(offsets) - SHINGLE + 1, 0)
+    points, before = characters(data)
+    bounds = before[offsets - offsets[0]]
+    begin = bounds[:-1]
+    size = np.maximum(np.diff(bounds) - SHINGLE + 1, 0)
     own = np.repeat(np.arange(n), size)
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-    keys = np.sort((own.astype(np.uint64) << np.uint64(44)) | (_shingle_hashes(data)[at] >> np.uint64(20)))
+    keys = np.sort((own.astype(np.uint64) << np.uint64(44)) | (_shingle_hashes(points)[at] >> np.uint64(20)))
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
@@ -142,10 +172,11 @@ def _banded(docs: DataFrame) -> DataFrame:
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for batch in parts:
-            for part in batches(batch, "text"):
+            for part in batches(batch, "text", HASH_BYTES):
                 data, bounds = joined(part.column("text"))
                 _, _, begin, end = lines(data, bounds)
-                long = (end - begin >= SHINGLE) & worded(data, begin, end)
+                points, before = characters(data)
+                long = (before[end] - before[begin] >= SHINGLE) & worded(data, begin, end)
                 begin, end = begin[long], end[long]
                 ids, first = np.unique(line_ids(data, begin, end), return_index=True)
                 new = ~np.isin(ids, seen, assume_unique=True)
@@ -154,7 +185,7 @@ def _banded(docs: DataFrame) -> DataFrame:
                 if len(seen) > 4_000_000:  # memory of what was sent is a saving only
                     seen = np.zeros(0, np.uint64)
                 if len(ids):
-                    keys = band_keys(data, begin[first], end[first])
+                    keys = band_keys(points, before[begin[first]], before[end[first]])
                     yield pa.record_batch({"bucket": pa.array(as_long(keys.reshape(-1))), "line": pa.array(as_long(np.repeat(ids, BANDS)))})
 
     return docs.select("text").mapInArrow(make, "bucket long, line long")
@@ -180,8 +211,8 @@ def _bucket_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"bucket": pa.array(bucket[good]), "line": pa.array(line[good]), "head": pa.array(head[good]), "before": pa.array(before[good])})
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, ends: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """Columns ends, as a and b, of the pairs (a, b) of lines that are similar enough."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines that are similar enough."""
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
@@ -192,7 +223,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, ends: tuple
 
     body = F.col("body")
     both = pairs.join(texts.select(F.col("line").alias("a"), body.alias("x")), "a").join(texts.select(F.col("line").alias("b"), body.alias("y")), "b")
-    return both.select(F.col(ends[0]).alias("a"), F.col(ends[1]).alias("b"), "x", "y").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -233,16 +264,14 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     # buckets of four lines or more; in smaller ones the first round compared every pair
     crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("bucket")
-    placed = met.join(crowded, "bucket", "left_semi").select("bucket", F.explode(F.array("head", "line")).alias("line")).distinct()
-    placed = placed.join(near.withColumnRenamed("node", "line"), "line", "left").select("bucket", "line", F.coalesce("component", "line").alias("component"))
+    placed = met.join(crowded, "bucket", "left_semi").select("bucket", "head", F.explode(F.array("head", "line")).alias("line")).distinct()
+    placed = placed.join(near.withColumnRenamed("node", "line"), "line", "left").select("bucket", "head", "line", F.coalesce("component", "line").alias("component"))
     placed = stored(placed, "line-crowds")
     mixed = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "line-mixed")
-    left = placed.join(F.broadcast(mixed) if small(mixed) else mixed, "bucket", "left_semi").select("line", "component").distinct()
-    left = stored(left.join(texts, "line"), "line-left")
-    if left.isEmpty():
-        return near
-    more = stored(_verified(_crossing_pairs(left, similarity), left.select("line", "body"), similarity, ("of_a", "of_b")).distinct(), "line-crossings")
-    if more.isEmpty():
+    left = stored(placed.join(F.broadcast(mixed) if small(mixed) else mixed, "bucket", "left_semi").select("head", "line", "component").distinct(), "line-left")
+    more = _crossings(left, texts, similarity) if not left.isEmpty() else None
+    forget(met, pairs, texts, placed, mixed, left)
+    if more is None or more.isEmpty():
         return near
     wider = components(more)
     every = near.unionByName(wider.select("node", F.col("node").alias("component"))).distinct()
@@ -251,17 +280,19 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 #: Bits of a cell's number in the second round's count of shingles.
 CELL_BITS = 18
+#: Lines up to which those of buckets with one first line are compared in one place.
+FAMILY = 20_000
 
 
-def _crossing_pairs(left: DataFrame, similarity: float) -> DataFrame:
-    """a, b, of_a, of_b: pairs of lines of different components, and these; among them all that are similar (left: line,
-    component, body).
+def _crossings(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of components that similar lines of different ones join, stored (left: head, line, component of mixed buckets).
 
-    Rare shingles come first in every set. Of two similar sets the first common shingle stands so early that what follows
-    suffices for the overlap needed: the smaller set's place is bounded as if both had its size, the larger one's by its
-    own. Lines of a template share only what comes late, and do not meet by it. The order rests on counts by cell, of
-    fixed size; it spares pairs and decides none.
+    The lines' shingles are sets, rare ones first. Lines of buckets with one first line are a family, and its sets meet in trees of
+    bounded size; of the lines of larger families those meet that share leading shingles. Either way no similar pair of a bucket
+    is missed. The order rests on counts by cell, of fixed size; it spares work and decides no link.
     """
+    lines_of = stored(left.groupBy("line").agg(F.min("component").alias("component")), "line-crossing")
+    bodies = stored(texts.join(lines_of.select("line"), "line"), "line-bodies")
 
     def cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -272,39 +303,34 @@ def _crossing_pairs(left: DataFrame, similarity: float) -> DataFrame:
         at = np.flatnonzero(counts)
         yield pa.record_batch({"cell": pa.array(at, pa.int32()), "n": pa.array(counts[at])})
 
-    counted = left.select("body").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = bodies.select("body").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(1 << CELL_BITS, np.int64)
     often[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     often = left.sparkSession.sparkContext.broadcast(np.minimum(often, (1 << 32) - 1).astype(np.uint32))
 
-    def leading(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def order(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for part in batches(whole, "body"):
                 keys = _set_keys(part.column("body"))
                 own = (keys >> np.uint64(44)).astype(np.int64)
                 token = keys & np.uint64((1 << 44) - 1)
-                order = np.lexsort((token, often.value[(token >> np.uint64(44 - CELL_BITS)).astype(np.int64)], own))
-                token = token[order]
-                size = np.bincount(own, minlength=len(part))
-                rest = (np.cumsum(size)[own] - np.arange(len(own))).astype(np.int64)  # from this shingle to the set's end
-                good = rest >= similarity * size[own] - 1e-6
-                at = pa.array(own[good])
-                yield pa.record_batch({"token": pa.array(as_long(token[good])), "line": part.column("line").take(at), "component": part.column("component").take(at), "size": pa.array(size[own][good], pa.int32()), "rest": pa.array(rest[good], pa.int32())})
-
-    rows = stored(left.mapInArrow(leading, "token long, line long, component long, size int, rest int"), "line-leading")
-    t = float(similarity)
-    smaller = rows.where(F.col("rest") * (1 + t) >= F.col("size") * (2 * t) - 1e-6)
-    x, y = smaller.alias("x"), rows.alias("y")
-    m, n = F.col("x.size"), F.col("y.size")
-    fits = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.component") != F.col("y.component"))
-        & ((m < n) | ((m == n) & (F.col("x.line") < F.col("y.line"))))
-        & (m >= n * t - 1e-6)
-        & (F.least("x.rest", "y.rest") * (1 + t) >= (m + n) * t - 1e-6)
-    )
-    found = x.join(y, fits).select(F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.col("x.component").alias("of_a"), F.col("y.component").alias("of_b"))
-    return stored(found.distinct(), "line-crossing-pairs")
+                token = token[np.lexsort((token, often.value[(token >> np.uint64(44 - CELL_BITS)).astype(np.int64)], own))]
+                ends = np.searchsorted(own, np.arange(len(part) + 1))
+                yield pa.record_batch({"sid": part.column("line"), "tokens": pa.array([token[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
+
+    sets = stored(bodies.mapInArrow(order, "sid long, tokens binary"), "line-sets")
+    often.destroy()
+    link = (round(similarity * 10_000), 10_000)
+    placed = left.select(F.col("head").alias("owner"), F.col("line").alias("sid"), F.col("component").alias("comp"))
+    large = stored(placed.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).where(f"n > {FAMILY}").select("owner"), "line-large")
+    sized = sets.select("sid", (F.octet_length("tokens") / 8).cast("long").alias("size"))
+    places = with_probes(placed.join(large, "owner", "left_anti").join(sized, "sid"))
+    if not large.isEmpty():
+        theirs = stored(placed.join(large, "owner", "left_semi").groupBy("sid").agg(F.min("comp").alias("comp"), F.min("owner").alias("label")), "line-about")
+        places = places.unionByName(places_across(leading_of(sets.join(theirs.select("sid"), "sid", "left_semi"), link), theirs, link))
+    out = linked(places, sets, link)
+    forget(lines_of, bodies, sets, large)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -316,20 +342,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result; columns of docs named n_lines or dropped are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "dropped")]
-    place = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    place = F.col(id_col)
     version = F.xxhash64(text_col)
     texts = docs.select(F.col(text_col).alias("text"), place.alias("place"), version.alias("version"))
     drops = repeated_lines(texts, line_components(texts, similarity))
 
-    placed = docs.select(*kept, place.alias("_place"), version.alias("_version"))
     few = drops.agg(F.coalesce(F.sum(F.size("dropped") + 4), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS
-    drops = drops.withColumnsRenamed({"place": "_place", "version": "_version"})
-    marked = placed.join(F.broadcast(drops) if few else drops, ["_place", "_version"], "left")
-    parts = F.split(F.col(text_col), "\n", -1)
+    kept_as = {c: f"k{k}" for k, c in enumerate(kept)}
+    text = F.col(kept_as[text_col])
+    placed = docs.select(*(F.col(c).alias(k) for c, k in kept_as.items()), place.alias("own_place"), version.alias("own_version"))
+    same = F.col("own_place").eqNullSafe(F.col("place")) & F.col("own_version").eqNullSafe(F.col("version"))
+    marked = placed.join(F.broadcast(drops) if few else drops, same, "left")
+    parts = F.split(text, "\n", -1)
     rest = F.filter(parts, lambda x, i: ~F.array_contains("dropped", i))
     return marked.select(
-        *[F.when(F.col("dropped").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in kept],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
+        *[F.when(F.col("dropped").isNotNull(), F.array_join(rest, "\n")).otherwise(text).alias(c) if c == text_col else F.col(k).alias(c) for c, k in kept_as.items()],
+        F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("int").alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
     )
 
@@ -348,8 +376,9 @@ def repeated_lines(texts: DataFrame, near: DataFrame) -> DataFrame:
                 at = pa.array(doc)
                 yield pa.record_batch({"line": pa.array(as_long(ids)), "place": part.column("place").take(at), "version": part.column("version").take(at), "number": pa.array(number.astype(np.int32))})
 
-    schema = "line long, place long, version long, number int"
-    found = stored(texts.mapInArrow(occurrences, schema), "line-places").select("line", F.struct("place", "version", "number").alias("at"))
+    schema = f"line long, place {texts.schema['place'].dataType.simpleString()}, version long, number int"
+    places = stored(texts.mapInArrow(occurrences, schema), "line-places")
+    found = places.select("line", F.struct(F.col("place").isNull().alias("unnamed"), "place", "version", "number").alias("at"))
     first = found.groupBy("line").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.join(near.select(F.col("node").alias("line"), "component"), "line", "left").where("n > 1 or component is not null")
     first = stored(first.select("line", "first", F.coalesce("component", "line").alias("component")), "line-firsts")
@@ -357,4 +386,6 @@ def repeated_lines(texts: DataFrame, near: DataFrame) -> DataFrame:
     marks = stored(first.join(keep, "component").select("line", "keep"), "line-marks")
     gone = found.join(F.broadcast(marks) if small(marks) else marks, "line").where("at <> keep")
     drops = gone.groupBy(F.col("at.place").alias("place"), F.col("at.version").alias("version")).agg(F.array_sort(F.collect_set("at.number")).alias("dropped"))
-    return stored(drops, "line-drops")
+    drops = stored(drops, "line-drops")
+    forget(places, first, marks)
+    return drops

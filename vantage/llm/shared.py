@@ -205,6 +205,9 @@ def release() -> None:
         pass
 
 
+_HANDED = [0]
+
+
 def batches(table_of: pa.RecordBatch, column: str, limit: int = 512_000):
     """Parts of a batch whose texts together have at most limit bytes (one text at least)."""
     column_of = table_of.column(column)
@@ -217,7 +220,9 @@ def batches(table_of: pa.RecordBatch, column: str, limit: int = 512_000):
         total += n
     if first < len(sizes):
         yield table_of.slice(first)
-    release()
+    _HANDED[0] += 1
+    if _HANDED[0] % 32 == 0:  # after each batch it would cost as much as the work
+        release()
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
