@@ -15,12 +15,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantage.llm import language, quality, queries, url_filter
-from vantage.llm.bpe import decode, encode_documents, encode_texts, loaded
-from vantage.llm.decontaminate import LEAST_WORDS, MASKS, decontaminated, leaks, short_masks
+from vantage.llm.bpe import PieceTable, decode, encode_documents, encode_texts, loaded
+from vantage.llm.decontaminate import LEAST_WORDS, MASKS, decontaminated, leaks, longest_overlap, short_masks
 from vantage.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
-from vantage.llm.line_dedup import LEAST_BYTES, dedup_lines, jaccard, overlaps
-from vantage.llm.ngram_join import PrefixTree, near_duplicates
+from vantage.llm.line_dedup import characters, dedup_lines, jaccard, overlaps
+from vantage.llm.ngram_join import near_duplicates
 from vantage.llm.secrets import find_secrets, listed
+from vantage.llm.set_join import PrefixTree
 from vantage.llm.shared import components
 from vantage.llm.warc import archive, lookup, opened, parse, read_records, read_seek_table
 
@@ -90,16 +91,33 @@ def test_url_rules_and_mining(spark):
         rows.append((k, f"http://{'win-casino' if spam else rng.choice(['news', 'blog', 'win-prize', 'casino-guide'])}.site{rng.randrange(9)}.org/{rng.choice(['a', 'b'])}/{k}?ref=x", ""))
         labels.append((k, 0 if spam else 1, 0))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    mined = url_filter.mine(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert mined and all(r.confidence >= url_filter.CONFIDENCE and r.support >= url_filter.SUPPORT for r in mined)
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("url", F.lit(1))
+    mined = url_filter.mine(pages.union(pages.limit(50)), labelled)
+    tokens = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", url_filter.tokens_of(F.col("url")).alias("t")).collect()}
+    assert {r.verdict for r in mined} == {"block", "allow"}
+    for r in mined:  # support and confidence by counting
+        having = [k for k in tokens if set(r.tokens) <= tokens[k]]
+        suits = [k for k in having if (k % 3 == 0) == (r.verdict == "block")]
+        assert (r.support, r.confidence) == (len(having), len(suits) / len(having))
+        assert r.support >= url_filter.SUPPORT and r.confidence >= (url_filter.CONFIDENCE if r.verdict == "block" else url_filter.ALLOW_CONFIDENCE)
     for a in mined:
-        assert not any(set(b.tokens) < set(a.tokens) and b.confidence >= a.confidence for b in mined)
+        assert not any(a.verdict == b.verdict and set(b.tokens) < set(a.tokens) and b.confidence >= a.confidence for b in mined)
+    every = set().union(*tokens.values())
+    alone = {t: [k for k in tokens if t in tokens[k]] for t in every}
+    for t, having in alone.items():  # every token that by itself makes a rule is one
+        bad = sum(k % 3 == 0 for k in having)
+        if len(having) >= url_filter.SUPPORT and bad >= url_filter.CONFIDENCE * len(having) and (bad - len(having) / 3) / (len(having) * 2 / 9) ** 0.5 >= url_filter.DEVIATIONS:
+            assert any(r.tokens == (t,) and r.verdict == "block" for r in mined)
     judged = url_filter.judge(pages, mined).select("page_id", "verdict", "matched").collect()
-    tokens = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", url_filter.tokens_of(F.col("url")).alias("t")).collect()}
     for r in judged:  # by trying every rule
-        assert (r["verdict"] == "block") == any(set(m.tokens) <= tokens[r["page_id"]] for m in mined)
-        if r["page_id"] % 3 == 0:
-            assert r["verdict"] == "block"
+        fits = [m for m in mined if set(m.tokens) <= tokens[r["page_id"]]]
+        best = max(fits, key=lambda m: (m.confidence, m.verdict == "block"), default=None)
+        assert r["verdict"] == (best.verdict if best else "allow") and (r["matched"] is None) == (best is None)
+        assert (r["verdict"] == "block") == (r["page_id"] % 3 == 0)
+    noise = spark.createDataFrame([(k, rng.choice([0, 1, 1, 1]), 0) for k in range(600)], "doc_id long, quality int, toxic int")
+    assert url_filter.mine(pages, noise) == []
+    long = spark.createDataFrame([(None, "http://a.b/" + "x/" * 200_000), (1, "http://a.b/c"), (1, "http://a.b/c")], "page_id long, url string")
+    assert [len(r["path"]) for r in url_filter.judge(long, mined).orderBy("page_id").collect()] == [400_001, 2, 2]
     assert url_filter.mine(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == []
     assert url_filter.judge(pages.limit(0), mined).count() == 0
 
@@ -121,7 +139,7 @@ def test_line_dedup_against_brute_force(spark):
         texts.append("\n".join([*own, "short", "short"]))
     texts += AWKWARD
     got = {r["doc_id"]: r for r in dedup_lines(docs(spark, texts, True)).collect()}
-    long = lambda line: len(line.encode()) >= LEAST_BYTES
+    long = lambda line: line.strip() != ""
     distinct, first = [], {}
     for k, t in enumerate(texts):
         for i, line in enumerate((t or "").split("\n")):
@@ -162,8 +180,10 @@ def test_line_dedup_with_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == [(-1, ""), (-1, "and another one that is long enough"), (3, line), (3, line)]
 
 
-def test_line_dedup_finds_twins_in_a_template_family(spark):
-    """Lines of one template (Jaccard 0.72), each with one twin (0.80): their buckets are crowded."""
+@pytest.mark.parametrize("family", [20_000, 0])
+def test_line_dedup_finds_twins_in_a_template_family(spark, monkeypatch, family):
+    """Lines of one template (Jaccard 0.72), each with one twin (0.80): their buckets are crowded. Both ways of comparing them."""
+    monkeypatch.setattr("vantage.llm.line_dedup.FAMILY", family)
     rng = random.Random(12)
     odd = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     head, tail, texts = odd(88), odd(88), []
@@ -176,6 +196,26 @@ def test_line_dedup_finds_twins_in_a_template_family(spark):
     assert len(dropped) >= 0.98 * 500
 
 
+def test_characters_and_shingles():
+    text = "Ünïcode lines: añb " * 3 + "\ud55c\uad6d\uc5b4 " * 4
+    data = np.frombuffer(text.encode(), np.uint8)
+    points, before = characters(data)
+    assert len(points) == before[-1] == len(text) and before[len("Ün".encode())] == 2
+    assert jaccard("ééééééééx", "ééééééééx") == 1 and jaccard("abcdefgé", "abcdefgè") == 0
+    a, b = "one line of text with é in it", "one line of text with è in it"
+    grams = lambda t: {t[k : k + 8] for k in range(len(t) - 7)}
+    assert jaccard(a, b) == len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    assert len(characters(np.frombuffer(b"\x80\xff\xc3", np.uint8))[0]) <= 3  # no UTF-8, no harm
+
+
+def test_line_dedup_with_string_ids_and_long_lines(spark):
+    rng = random.Random(24)
+    line = " ".join(words(rng, 40_000, 3000))
+    df = spark.createDataFrame([("b", line + " more"), ("a", line), ("c", "other\n" + line)], "doc_id string, text string").withColumn("n_lines", F.lit(0)).withColumn("place", F.lit(1))
+    got = {r["doc_id"]: r for r in dedup_lines(df).collect()}
+    assert [got[k]["dropped"] for k in "abc"] == [[], [0], [1]] and got["c"]["place"] == 1
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["Les.\nof its own\n\n \t\nSee the Notes", "Les.\n\n \t\nx", "see the notes\nx\n\nOf, edti oner."]
     got = {r["doc_id"]: r["text"] for r in dedup_lines(docs(spark, texts)).collect()}
@@ -216,28 +256,60 @@ def test_warc_round_trip(spark):
     assert read_records(index, folder).count() == 0
 
 
+def test_warc_with_string_ids_and_many_repeated_payloads(spark, monkeypatch):
+    monkeypatch.setattr("vantage.llm.warc.small", lambda df: False)
+    rows = [(f"p {k:02d}>", "u" * 50_000 if k == 3 else "u", "x" * 100 + "abc"[k % 3]) for k in range(30)] * 2
+    index, folder = archive(spark.createDataFrame(rows, "page_id string, url string, html string"))
+    back = read_records(index, folder).collect()
+    assert len(back) == 60
+    for r in back:
+        first = f"p {int(r['page_id'][2:4]) % 3:02d}>"
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] == first else ("revisit", first))
+        assert len(r["url"]) == (50_000 if r["page_id"] == "p 03>" else 1)
+
+
 # ---------------------------------------------------------------- 4
 
 
-def test_cross_parsing_by_brute_force():
-    text, sample = "banana bandana can band 12 nab", "a banana and a bandana can"
-    model = language.LanguageModel((("x", sample), ("y", "zz yy")))
-    alphabet, tables = model.parsers()
-    plain = lambda t: "".join(c if c.isalpha() else " " for c in t.lower())
-    squeeze = lambda t: re.sub(r" +", " ", plain(t))
-    x, s = squeeze(text), squeeze(sample)
+def brute_phrases(text, sample):
+    """Phrases of a text parsed greedily into the longest stretches that a sample has; a letter that it lacks counts twice."""
+    squeeze = lambda t: re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
+    x, s = squeeze(text).lstrip(), squeeze(sample)
     count, at = 0, 0
     while at < len(x):
         n = 1
         while at + n < len(x) and x[at : at + n + 1] in s:
             n += 1
-        if x[at] not in s:
-            n = 1
-        at += n
-        count += 1
-    stream, bounds, letters = language.symbols([text], alphabet)
-    assert language.phrases(stream, bounds, tables["x"])[0] in (count, count + 1)  # a text that begins with a blank may count one more
-    assert letters[0] == sum(c.isalpha() for c in text)
+        at, count = at + n, count + (1 if x[at] in s else 2)
+    return count
+
+
+def test_cross_parsing_by_brute_force():
+    rng = random.Random(20)
+    samples = {"x": "a banana and a bandana can", "y": "zz yy", "z": " ".join(words(rng, 300))}
+    model = language.LanguageModel.of_samples(samples)
+    long = " ".join(rng.choice([*samples["z"].split(), "banana", "xq", "Ünder"]) for _ in range(2000))
+    texts = ["banana bandana can band 12 nab", "", " 12 a", "qq", "q a q", "zzz", long, long[:512], long[:513], long[7:2000]]
+    for cells in (0, 1 << 30):
+        parsers = model.parsers(cells)
+        stream, bounds, letters = language.symbols(texts, model.alphabet)
+        for lang, parser in zip(sorted(samples), parsers, strict=True):
+            assert language.phrases(stream, bounds, parser).tolist() == [brute_phrases(t, samples[lang]) for t in texts]
+        assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+
+
+def test_languages_of_many_letters_and_ties(spark):
+    rng = random.Random(21)
+    scripts = {"p": [chr(0x4E00 + k) for k in range(3000)], "q": [chr(0xAC00 + k) for k in range(3000)]}
+    make = lambda lang, n: "".join(rng.choice([*scripts[lang], " "]) for _ in range(n))
+    rows = [(lang, make(lang, 4000)) for lang in scripts for _ in range(30)]
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    tests = [(lang, make(lang, 20)) for lang in scripts for _ in range(100)]
+    got = language.identify(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(tests)], "doc_id long, text string"), model).collect()
+    assert all(r["lang_pred"] == tests[r["doc_id"]][0] for r in got)
+    twins = language.LanguageModel.of_samples({"b": "some words", "a": "some words"})
+    tied = language.identify(docs(spark, ["some words", "other"] * 2), twins).collect()
+    assert {(r["lang_pred"], r["score"]) for r in tied} == {("a", 0.5)}
 
 
 def test_language_held_out_accuracy(spark):
@@ -251,8 +323,8 @@ def test_language_held_out_accuracy(spark):
     for r in odd:
         letter = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] == "und") == (not letter) and 0 <= r["score"] <= 1
-    assert language.identify(docs(spark, ["some text"]), language.LanguageModel(())).first()["lang_pred"] == "und"
-    assert language.fit(docs(spark, []).limit(0)).samples == ()
+    assert language.identify(docs(spark, ["some text"]), language.LanguageModel({}, {})).first()["lang_pred"] == "und"
+    assert language.fit(docs(spark, []).limit(0)).automata == {}
 
 
 # ---------------------------------------------------------------- 5
@@ -333,6 +405,51 @@ def test_leak_behind_a_weak_hit(spark):
         assert [(r["doc_id"], r["item_id"], r["overlap"], r["agreeing"]) for r in got] == [(0, 1, 13, 13)]
 
 
+def test_longest_overlap_by_brute_force():
+    rng = np.random.default_rng(16)
+    for _ in range(400):
+        same = rng.random(rng.integers(0, 40)) < rng.choice([0.3, 0.7, 0.9])
+        n = len(same)
+        spans = [(j - i, i) for i in range(n) for j in range(i + 1, n + 1) if same[i] and same[j - 1] and 5 * same[i:j].sum() >= 4 * (j - i)]
+        at, length, agreeing = longest_overlap(same)
+        assert length == max((s for s, _ in spans), default=0)
+        assert not length or ((length, at) in spans and agreeing == same[at : at + length].sum())
+
+
+def brute_leaks(texts, items):
+    """Longest overlap of each text and item, by comparing every diagonal."""
+    cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.translate({k: k + 32 for k in range(65, 91)}))
+    out = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            x, y = cut(text), cut(item)
+            best = 0
+            for diagonal in range(-len(y), len(x)):
+                same = [0 <= k + diagonal < len(x) and x[k + diagonal] == w for k, w in enumerate(y)]
+                for a in range(len(y)):
+                    for b in range(a + best, len(y)):
+                        if same[a] and same[b] and 5 * sum(same[a : b + 1]) >= 4 * (b - a + 1):
+                            best = b - a + 1
+            if best and best >= min(LEAST_WORDS, len(y)):
+                out[d, i] = best
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(17)
+    items = [words(rng, n, 200) for n in (90, 30, 20, 14, 13, 9, 6)]
+    texts = []
+    for item in items * 4:
+        a = rng.randrange(max(1, len(item) - 16))
+        part = item[a : a + rng.randrange(9, 100)]
+        changed = [rng.choice(["zz", w, w, w, w, w]) for w in part]
+        texts.append(" ".join(words(rng, 30, 200) + changed + words(rng, 20, 200) + changed[: rng.randrange(20)]))
+    texts.append(" ".join(["before", *items[0], "after"]))
+    items = [" ".join(i) for i in items]
+    got = {(r["doc_id"], r["item_id"]): r["overlap"] for r in leaks(docs(spark, texts).repartition(5), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == brute_leaks(texts, items) and max(got.values()) == 90
+
+
 def test_masks_hit_every_overlap_that_is_allowed():
     hit = lambda same, mask: any(all(same[s + k] for k, c in enumerate(mask) if c == "1") for s in range(len(same) - len(mask) + 1))
     for n, changed in ((13, 2), (15, 3), (20, 4)):  # the lengths between have no more substitutions
@@ -416,11 +533,13 @@ def test_prefix_tree():
     rng = np.random.default_rng(7)
     base = np.sort(rng.choice(500, 80, replace=False)).astype(np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(50, 80), replace=False), rng.choice(500, 6).astype(np.uint64)])) for _ in range(60)] + [base, base[:1], base[:60]]
-    tree = PrefixTree(sets)
-    for probe in sets:
-        want = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 75 * len(np.union1d(s, probe))]
-        assert sorted(tree.linked(probe)) == want
-    assert PrefixTree([]).linked(base) == []
+    sets += [np.arange(k, dtype=np.uint64) for k in range(1, 1500, 50)] + [np.arange(1400, dtype=np.uint64)]  # one long path
+    got = {(k, p) for k, probes in PrefixTree(sets, (75, 100)).walk(sets) for p in probes.tolist()}
+    want = {(k, p) for k, s in enumerate(sets) for p, probe in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 75 * len(np.union1d(s, probe))}
+    assert got == want
+    assert list(PrefixTree([], (75, 100)).walk([base])) == [] and list(PrefixTree(sets, (75, 100)).walk([])) == []
+    deep = [np.arange(k, dtype=np.uint64) for k in range(1, 3000)]
+    assert sum(len(p) for _, p in PrefixTree(deep, (75, 100)).walk(deep[-1:])) == 2999 - -(-3 * 2999 // 4) + 1
 
 
 # ---------------------------------------------------------------- 8
@@ -449,6 +568,22 @@ def test_bpe_equals_the_library(spark):
     assert encode_documents(docs(spark, []).limit(0), path, pattern).count() == 0
 
 
+def test_piece_table_over_blocks_and_long_texts():
+    import tiktoken
+
+    path, pattern = queries.tokenizer()
+    vocabulary = loaded(path, pattern)
+    library = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rng = random.Random(22)
+    table = PieceTable(vocabulary, 20_000)
+    for _ in range(30):
+        texts = [" ".join(words(rng, rng.randrange(60), 3000)) for _ in range(5)]
+        ids, bounds = table.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
+    long = " ".join(words(rng, 400_000, 3000)) + "é\n" * 1000
+    assert len(long) > 1_500_000 and encode_texts([long], vocabulary)[0].tolist() == library.encode_ordinary(long)
+
+
 def test_bpe_with_a_small_vocabulary():
     """Merges that open lower ranks on either side, against the plain rule of one merge at a time."""
     rng = random.Random(9)
@@ -506,6 +641,21 @@ def test_exact_duplicates(spark, monkeypatch):
 # ---------------------------------------------------------------- 10
 
 
+def test_linking_of_thousands_of_parts(spark):
+    """Weak parts by comparing all pairs, in a text with thousands; repeated rows are each judged."""
+    rng = random.Random(23)
+    make = {"key_id": lambda: "ASIA" + "A" * 16, "key": lambda: "k" * 40, "endpoint": lambda: "https://h/x", "assign": lambda: "secret=abcdefgh"}
+    text = "".join(rng.choice([make[rng.choice(list(make))]() + " ", "w " * rng.randrange(400)]) for _ in range(6000))
+    got = find_secrets(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    found = {k: [m.span() for m in re.finditer(p, text)] for k, p in (("key_id", "ASIA" + "A" * 16), ("key", "(?<![a-z])k{40}"), ("endpoint", "https://h/x"), ("assign", "secret=abcdefgh"))}
+    near = lambda xs, ys: {x for x in xs if any(y[0] <= x[1] + 300 and y[1] >= x[0] - 300 for y in ys)}
+    keys = found["assign"] + found["key"]
+    want = near(found["key_id"], keys) | near(found["key"], found["key_id"]) | (near(found["endpoint"], found["key_id"]) & near(found["endpoint"], keys))
+    assert len(want) > 500 and sum(map(len, found.values())) > 2500
+    for r in got:
+        assert {(x["start"], x["stop"]) for x in r["weak_spans"]} == want
+
+
 def test_secrets(spark):
     key = "AKIA" + "A1" * 8
     secret = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEYx"[:40]
@@ -575,6 +725,29 @@ def test_pipeline_by_stage(spark):
     assert len(final) - len([1 for t in final if t == ""]) <= len(set(final))
 
 
+def test_pipeline_stages_with_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, an empty table, columns with the operators' own names."""
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("text is not null").orderBy("item_id").first()["text"]
+    rng = random.Random(25)
+    long = " ".join(words(rng, 60_000, 3000))
+    rows = [(1, long, None, None, None), (2, None, "en", "s", 0), (3, "", "en", None, 0), (None, "a text without an id", None, "s", 20), (None, None, None, None, None), (4, "before " + item + " after", "en", "s", 9), (None, item + " " + " ".join(words(rng, 200, 3000)), "en", "s", 9), (5, "twice the same row", "en", "s", 18), (5, "twice the same row", "en", "s", 18), (6, "12 34", "en", "s", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    own = ["dropped", "n_lines", "place", "version", "lang_pred", "score", "rate", "component", "sid", "item_id"]
+    odd = spark.createDataFrame(rows, schema).withColumns({c: F.lit("x") for c in own})
+    ids = lambda df: sorted((r["doc_id"] or 0) for r in df.select("doc_id").collect())
+    want = {"language_id": [0, 0, 1, 4, 5, 5], "line_dedup": [0, 0, 0, 1, 2, 3, 4, 5, 5, 6], "ngram_join": [0, 0, 0, 1, 2, 3, 4, 5, 5, 6], "decontamination": [0, 0, 1, 2, 3, 5, 5, 6], "bpe": [0, 0, 0, 1, 2, 3, 4, 5, 5, 6]}
+    for name, stage in p.STAGES:
+        got = stage(spark, odd, DATA)
+        assert ids(got) == want[name], name
+        assert name == "bpe" or got.columns == list(p.COLUMNS)
+        nothing = stage(spark, odd.limit(0), DATA)
+        assert nothing.columns == got.columns and nothing.count() == 0
+    texts = {r["doc_id"]: r["text"] for r in p.line_dedup(spark, odd, DATA).where("doc_id is not null").collect()}
+    assert texts[1] == long and texts[2] is None and texts[3] == "" and texts[5] == "twice the same row"
+
+
 def test_pipeline_keeps_documents_with_short_lines_left(spark):
     import corpus_pipeline as p
 
