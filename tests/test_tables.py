@@ -288,7 +288,7 @@ def test_pool(spark):
 def slow_toy(row, context):
     import time
 
-    time.sleep(0.4)
+    time.sleep(0.6)
     return toy(row, context)
 
 
@@ -298,7 +298,7 @@ def test_pool_works_side_by_side_and_stops_early(spark):
     pool.evaluate(requests[:3], lambda r: None)
     began = time.time()
     report = pool.evaluate(requests[:3], lambda r: r.count())
-    assert [s for _, s, _ in report] == ["evaluated"] * 3 and time.time() - began < 3 * 4 * 0.4
+    assert [s for _, s, _ in report] == ["evaluated"] * 3 and time.time() - began < 3 * 4 * 0.6
     with pool.results(requests) as items:
         first = next(items)
         assert first.error is None and first.results.count() == 4
