@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantage.llm import language, quality, queries, url_filter
-from vantage.llm.bpe import PieceTable, decode, encode_documents, encode_texts, loaded
+from vantage.llm.bpe import decode, encode_documents, encode_texts, loaded
 from vantage.llm.decontaminate import LEAST_WORDS, MASKS, decontaminated, leaks, longest_overlap, short_masks
 from vantage.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
 from vantage.llm.line_dedup import characters, dedup_lines, jaccard, overlaps
@@ -568,19 +568,13 @@ def test_bpe_equals_the_library(spark):
     assert encode_documents(docs(spark, []).limit(0), path, pattern).count() == 0
 
 
-def test_piece_table_over_blocks_and_long_texts():
+def test_bpe_of_a_long_text():
     import tiktoken
 
     path, pattern = queries.tokenizer()
     vocabulary = loaded(path, pattern)
     library = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
-    rng = random.Random(22)
-    table = PieceTable(vocabulary, 20_000)
-    for _ in range(30):
-        texts = [" ".join(words(rng, rng.randrange(60), 3000)) for _ in range(5)]
-        ids, bounds = table.encode(texts)
-        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
-    long = " ".join(words(rng, 400_000, 3000)) + "é\n" * 1000
+    long = " ".join(words(random.Random(22), 400_000, 3000)) + "é\n" * 1000
     assert len(long) > 1_500_000 and encode_texts([long], vocabulary)[0].tolist() == library.encode_ordinary(long)
 
 

@@ -1,9 +1,8 @@
-"""Byte-level BPE over many texts at once.
+"""Byte-level BPE over a block of texts at once.
 
-A task keeps a table of the pieces that it has met and their ids. The pieces of a block of texts that are not in it form one
-array of tokens. An inverted index holds, for each merge that can be made, the positions of its token pair; merges are replayed
-in rank order over all pieces together, and each one touches only the pairs on either side of it. So a task encodes a piece
-once, however often it occurs there.
+The distinct pieces of a block form one array of tokens. An inverted index holds, for each merge that can be
+made, the positions of its token pair; merges are replayed in rank order over all pieces together, and each
+one touches only the pairs on either side of it. Pieces are encoded once however often they occur.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +21,7 @@ from vantage.llm.shared import batches, lean
 
 _NONE = np.int32(-1)
 #: Bytes of text whose pieces are encoded together.
-BLOCK_BYTES = 1_500_000
-#: Bytes of pieces and ids that a task's table holds, about, before it starts anew.
-TABLE_BYTES = 48_000_000
+BLOCK_BYTES = 3_000_000
 
 
 class Vocabulary:
@@ -175,45 +171,22 @@ def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarr
     return token[alive], ends
 
 
-class PieceTable:
-    """Ids of the pieces met so far."""
-
-    def __init__(self, vocabulary: Vocabulary, limit: int = TABLE_BYTES):
-        self.vocabulary, self.limit = vocabulary, limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.bounds, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the bounds of each text among them."""
-        if self.held > self.limit:
-            self.clear()
-        number, known = self.number, len(self.number)
-        split, fetch = self.vocabulary.pattern.findall, number.setdefault
-        of = [np.array([fetch(piece, len(number)) for piece in split(text)], np.int32) for text in texts]
-        counts = np.array([len(x) for x in of], np.int64)
-        occurrence = np.concatenate(of) if of else np.zeros(0, np.int32)
-        del of
-        if len(number) > known:
-            fresh = [p.encode() for p in itertools.islice(number, known, None)]
-            ids, bounds = encode_pieces(fresh, self.vocabulary)
-            self.bounds = np.concatenate((self.bounds, bounds[1:] + self.bounds[-1]))
-            self.ids = np.concatenate((self.ids, ids))
-            self.held += sum(map(len, fresh)) + 150 * len(fresh) + ids.nbytes
-        begin, size = self.bounds[:-1][occurrence], np.diff(self.bounds)[occurrence]
-        total = np.zeros(len(occurrence) + 1, np.int64)
-        np.cumsum(size, out=total[1:])
-        flat = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        ends = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(counts, out=ends[1:])
-        return flat, total[ends]
-
-
 def encode_texts(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the bounds of each text among them."""
-    return PieceTable(vocabulary).encode(texts)
+    number: dict[str, int] = {}
+    split, fetch = vocabulary.pattern.findall, number.setdefault
+    of = [np.array([fetch(piece, len(number)) for piece in split(text)], np.int32) for text in texts]
+    counts = np.array([len(x) for x in of], np.int64)
+    ids, bounds = encode_pieces([p.encode() for p in number], vocabulary)
+    occurrence = np.concatenate(of) if of else np.zeros(0, np.int32)
+    del number, of
+    begin, size = bounds[:-1][occurrence], np.diff(bounds)[occurrence]
+    total = np.zeros(len(occurrence) + 1, np.int64)
+    np.cumsum(size, out=total[1:])
+    flat = ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+    ends = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(counts, out=ends[1:])
+    return flat, total[ends]
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
@@ -230,24 +203,34 @@ def loaded(path: str, pattern: str) -> Vocabulary:
     return _LOADED[path, pattern]
 
 
+def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to BLOCK_BYTES, about: the replay has a cost for each block."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        held.append(part)
+        if sum(x.nbytes for x in held) >= BLOCK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per document: its id, n_tokens, ids (unless keep_ids is false), and digests of ids and decoded bytes.
 
     path names a rank file that every executor can read. Special tokens are not recognised. Null text counts as
     empty and has no ids; repeated rows are each encoded; an empty table gives an empty result; other columns are
-    ignored. A task holds its table and one part of a batch at a time, some
-    megabytes of text or one longer text.
+    ignored. A task holds one part of a batch at a time, some megabytes of text or one longer text.
     """
     lean(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(path, pattern)
-        pieces = PieceTable(vocabulary)
-        for batch in parts:
-            for part in batches(batch, text_col, BLOCK_BYTES):
+        for whole in _blocks(parts):
+            for part in batches(whole, text_col, BLOCK_BYTES):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
-                ids, bounds = pieces.encode(texts)
+                ids, bounds = encode_texts(texts, vocabulary)
                 own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 out = {
                     "doc_id": part.column(id_col),
