@@ -116,22 +116,15 @@ def longest_overlap(same: np.ndarray) -> tuple[int, int, int]:
     return int(places[first[last]]), int(length[last]), last - int(first[last]) + 1
 
 
-def _aligned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each hit: its diagonal, the item's word where the comparison begins, and which words agree from there on."""
-    for part in parts:
-        numbers = [part.column(c).to_numpy() for c in ("doc_at", "doc_from", "item_at", "item_from")]
-        docs, items = part.column("doc_around"), part.column("item_around")
-        low, same = [], []
-        for k, (doc_at, doc_from, item_at, item_from) in enumerate(zip(*(x.tolist() for x in numbers), strict=True)):
-            doc, item = docs[k].values.to_numpy(), items[k].values.to_numpy()
-            back = min(doc_at - doc_from, item_at - item_from)
-            ahead = min(len(doc) - (doc_at - doc_from), len(item) - (item_at - item_from))
-            x, y = doc_at - doc_from, item_at - item_from
-            low.append(item_at - back)
-            same.append((doc[x - back : x + ahead] == item[y - back : y + ahead]).tobytes())
-        out = [part.column(c) for c in ("doc_id", "doc_version", "item_id", "item_version", "item_words")]
-        out += [pa.array((numbers[0] - numbers[2]).astype(np.int32)), pa.array(low, pa.int32()), pa.array(same, pa.binary())]
-        yield pa.record_batch(out, names=["doc_id", "doc_version", "item_id", "item_version", "item_words", "diagonal", "low", "same"])
+def _aligned(part: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """Of each hit: the item's word where the comparison begins, and which words agree from there on."""
+    numbers = [part.column(c).to_pylist() for c in ("doc_at", "doc_from", "item_at", "item_from")]
+    docs, items = part.column("doc_around"), part.column("item_around")
+    for k, (doc_at, doc_from, item_at, item_from) in enumerate(zip(*numbers, strict=True)):
+        doc, item = docs[k].values.to_numpy(), items[k].values.to_numpy()
+        x, y = doc_at - doc_from, item_at - item_from
+        back, ahead = min(x, y), min(len(doc) - x, len(item) - y)
+        yield item_at - back, (doc[x - back : x + ahead] == item[y - back : y + ahead]).tobytes()
 
 
 def _stretches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +152,7 @@ def _stretches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds: list[pa.DataType] = []
     for part in parts:
         kinds = [part.schema.field("doc_id").type, pa.int64(), part.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32()]
-        for *key, n, low, same in zip(*(part.column(c).to_pylist() for c in (*keys, "item_words", "low", "same")), strict=True):
+        for (*key, n), (low, same) in zip(zip(*(part.column(c).to_pylist() for c in (*keys, "item_words")), strict=True), _aligned(part), strict=True):
             if key != now:
                 close()
                 now, words_of = key, n
@@ -191,9 +184,9 @@ def overlaps_found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
     hits = rows.join(F.broadcast(items) if small(items, 50_000) else items, "seed")
     doc_kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     key = ("doc_id", "doc_version", "item_id", "item_version", "diagonal")
-    aligned = hits.select("doc_id", "doc_version", "doc_at", "doc_from", "doc_around", "item_id", "item_version", "item_at", "item_from", "item_around", "item_words")
-    aligned = aligned.mapInArrow(_aligned, f"doc_id {doc_kind}, doc_version long, item_id {item_kind}, item_version long, item_words int, diagonal int, low int, same binary")
-    dealt = aligned.repartition(*key).sortWithinPartitions(*key)
+    # the comparison comes after the exchange: two Python workers in one task would hold twice the memory
+    dealt = hits.withColumn("diagonal", F.col("doc_at") - F.col("item_at")).repartition(*key).sortWithinPartitions(*key)
+    dealt = dealt.select(*key, "doc_at", "doc_from", "doc_around", "item_at", "item_from", "item_around", "item_words")
     found = dealt.mapInArrow(_stretches, f"doc_id {doc_kind}, doc_version long, item_id {item_kind}, word int, overlap int, agreeing int")
     return found
 
