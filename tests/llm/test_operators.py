@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.llm import language, quality, queries, url_filter
+from vantage.llm import language, ngram_join, quality, queries, url_filter
 from vantage.llm.bpe import decode, encode_documents, encode_texts, loaded
 from vantage.llm.decontaminate import LEAST_WORDS, MASKS, decontaminated, leaks, longest_overlap, short_masks
 from vantage.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
@@ -522,6 +522,27 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
+def test_near_duplicates_store_the_sets_that_may_link_alone(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(30):  # a passage in two texts: leading tokens in common, and far from a link
+        passage = words(rng, 12, 10**6)
+        texts += [" ".join(words(rng, 88, 10**6) + passage) for _ in range(2)]
+    copy = words(rng, 100, 10**6)
+    texts += [" ".join(copy), " ".join([*copy[:-1], "other"])]
+    kept = []
+
+    def counted(df, name, own=ngram_join.stored):
+        out = own(df, name)
+        kept.append(out.count() if name == "sets" else 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+    assert 2 <= sum(kept) <= 8
+
+
 def test_near_duplicates_with_odd_ids(spark):
     t = [" ".join(words(random.Random(k), 50)) for k in range(3)]
     df = spark.createDataFrame([(5, t[0]), (5, t[1]), (2, t[0]), (9, t[1]), (None, t[2]), (None, t[2])], "doc_id long, text string")

@@ -30,9 +30,11 @@ N = 5
 #: Two sets link when LINK[1] * intersection >= LINK[0] * union.
 LINK = (75, 100)
 #: Cells of the frequency sketch, and of one of its parts.
-SKETCH_BITS = 20
-_PART_BITS = 14
+SKETCH_BITS = 23
+_PART_BITS = 16
 BLOOM_BITS = 24
+#: Repeated tokens that a task holds before it sends their counts.
+_HELD = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -118,44 +120,53 @@ def members_and_sketch(docs: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarr
     """doc_id, sid, n_shingles of every row (stored), and a class for each cell of a frequency sketch, from one pass.
 
     A task counts a token from its second occurrence there, so that the many tokens that occur once stay out; tasks send
-    their counts by part of the sketch and these add up in a grouped step. The result has 2**SKETCH_BITS bytes whatever the
-    corpus: 0, or the power of two of a count well above the mean. Any classes give right results; good ones put passages
-    that many documents share at the end of the order.
+    the cells they met by part of the sketch and these add up in a grouped step. The result has 2**SKETCH_BITS bytes whatever
+    the corpus: 0, or the power of two of a count well above the mean. Any classes give right results; good ones put passages
+    that many documents share at the end of the order, so that sets with little else in common share no leading token.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
+    def counted(cells: list[np.ndarray]) -> pa.RecordBatch:
+        cell, times = np.unique(np.concatenate([*cells, np.zeros(0, np.uint32)]), return_counts=True)
+        times = np.minimum(times, 0xFFFF).astype("<u2")
+        part, first = np.unique(cell >> np.uint32(_PART_BITS), return_index=True)
+        own = (cell & np.uint32((1 << _PART_BITS) - 1)).astype("<u2")
+        sent = [zlib.compress(x.tobytes() + y.tobytes(), 1) for x, y in zip(np.split(own, first[1:]), np.split(times, first[1:]), strict=True)] if len(part) else []
+        m = len(sent)
+        return pa.record_batch({"doc_id": pa.nulls(m, id_type), "sid": pa.nulls(m, pa.int64()), "n_shingles": pa.nulls(m, pa.int64()), "part": pa.array(part, pa.int32()), "counts": pa.array(sent, pa.binary())})
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        cells: list[np.ndarray] = []
         seen = np.zeros(1 << _SEEN_BITS, bool)
         for batch in parts:
             for part in batches(batch, "text"):
                 grams, ends = shingle_sets(part.column("text"), n)
                 cell = (grams >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)
-                again = grams[seen[cell]]
+                cells.append((grams[seen[cell]] & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.uint32))
                 seen[cell] = True
-                total += np.bincount((again & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
                 m = len(part)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "sid": pa.array(as_long(set_ids(grams, ends))), "n_shingles": pa.array(np.diff(ends), pa.int64()), "part": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary())})
-        sliced = [(k, x) for k, x in enumerate(total.reshape(-1, 1 << _PART_BITS)) if x.any()]
-        m = len(sliced)
-        yield pa.record_batch({"doc_id": pa.nulls(m, id_type), "sid": pa.nulls(m, pa.int64()), "n_shingles": pa.nulls(m, pa.int64()), "part": pa.array([k for k, _ in sliced], pa.int32()), "counts": pa.array([zlib.compress(x.astype("<u4").tobytes(), 1) for _, x in sliced], pa.binary())})
+                if sum(map(len, cells)) > _HELD:
+                    yield counted(cells)
+                    cells = []
+        yield counted(cells)
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(1 << _PART_BITS, np.uint64)
+        total = np.zeros(1 << _PART_BITS, np.int64)
         for x in group.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
-        return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int32()), "counts": pa.array([total.astype("<u8").tobytes()], pa.binary())})
+            cell, times = np.frombuffer(zlib.decompress(x.as_py()), "<u2").reshape(2, -1)
+            total[cell] += times
+        usual = total.mean() + 6 * np.sqrt(total.mean()) + 8
+        classes = np.where(total > usual, np.floor(np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
+        return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int32()), "classes": pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary())})
 
     both = stored(docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, sid long, n_shingles long, part int, counts binary"), "members")
-    parts = both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary")
-    total = np.zeros((1 << SKETCH_BITS - _PART_BITS, 1 << _PART_BITS), np.uint64)
-    for r in parts.collect():  # at most 64 rows
-        total[r["part"]] = np.frombuffer(r["counts"], "<u8")
-    total = total.reshape(-1).astype(np.float64)
-    usual = total.mean() + 6 * np.sqrt(total.mean()) + 8
-    classes = np.where(total > usual, np.floor(np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
-    return both.where("part is null").select("doc_id", "sid", "n_shingles"), classes
+    parts = both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, classes binary")
+    classes = np.zeros((1 << SKETCH_BITS - _PART_BITS, 1 << _PART_BITS), np.uint8)
+    for r in parts.collect():  # at most 128 rows
+        classes[r["part"]] = np.frombuffer(zlib.decompress(r["classes"]), np.uint8)
+    return both.where("part is null").select("doc_id", "sid", "n_shingles"), classes.reshape(-1)
 
 
 def _ordered(grams: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,12 +234,12 @@ def _met(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({c: pa.array([x], pa.int64()) for c, x in zip(("token", "sid", "place", "head", "head_size"), (*held, *head_before), strict=True)})
 
 
-def candidate_sets(leading: DataFrame, docs: DataFrame, classes, n: int = N) -> DataFrame:
-    """sid, tokens (in the global order) of the sets that share a leading token with another, stored.
+def candidate_sets(places: DataFrame, docs: DataFrame, classes, n: int = N) -> DataFrame:
+    """sid, tokens (in the global order) of the sets that have a place where they may meet a partner, stored.
 
     A Bloom filter of fixed size keeps the others in their tasks; a set with copies in several tasks comes from each.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(leading.select("sid").distinct(), "sid", BLOOM_BITS))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(places.select("sid").distinct(), "sid", BLOOM_BITS))
 
     def make(part, grams, ends, ids, seen):
         rows = _fresh(np.where(bloom_has(wanted.value, ids), ids, np.uint64(0)), seen)
@@ -258,8 +269,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     leading = leading_tokens(docs, classes, n).repartition("token").sortWithinPartitions("token", F.desc("weight"), "sid")
     leading = stored(leading.mapInArrow(_met, "token long, sid long, place long, head long, head_size long"), "leading")
-    sets = candidate_sets(leading, docs, classes, n)
-    classes.destroy()
 
     # the set that shares most, of those that are first at a token: what near copies were made from, if it is there
     size = F.shiftright("place", 32)
@@ -271,15 +280,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need = F.ceil(LINK[0] * (F.col("size") + F.col("pivot_size")) / (LINK[0] + LINK[1])) - F.ceil(LINK[0] * F.greatest("size", "pivot_size") / LINK[1]) + 1
     near_enough = first.where(2 * F.col("shared") >= need)
     side = lambda sid, n, member: near_enough.select(F.col("pivot").alias("owner"), F.col(sid).alias("sid"), F.col(sid).alias("comp"), F.col(n).alias("size"), F.lit(member).alias("member"), F.lit(not member).alias("probe"))
-    links = linked(side("sid", "size", True).unionByName(side("pivot", "pivot_size", False).distinct()), sets, LINK)
-    near = components(links)
+    places = stored(side("sid", "size", True).unionByName(side("pivot", "pivot_size", False).distinct()), "first-places")
+    sets = candidate_sets(places, docs, classes, n)
+    near = components(linked(places, sets, LINK))
+    forget(places, sets)
 
     # the partner of a set's partner is its label
     comps, to = near.select(F.col("node").alias("sid"), F.col("component").alias("comp")), first.select("sid", "pivot")
     label = to.join(to.select(F.col("sid").alias("pivot"), F.col("pivot").alias("further")), "pivot", "left").select("sid", F.coalesce("further", "pivot").alias("label"))
     about = stored(comps.join(label, "sid", "full").select("sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("label", "sid").alias("label")), "about")
-    more = linked(places_across(leading, about, LINK), sets, LINK)
-    forget(leading, sets, first, about)
+    places = stored(places_across(leading, about, LINK), "second-places")
+    forget(leading, first, about)
+    sets = candidate_sets(places, docs, classes, n)
+    classes.destroy()
+    more = linked(places, sets, LINK)
+    forget(places, sets)
     if more.isEmpty():
         return _named(members, near)
     wider = components(more)
