@@ -599,6 +599,17 @@ def test_bpe_of_a_long_text():
     assert len(long) > 1_500_000 and encode_texts([long], vocabulary)[0].tolist() == library.encode_ordinary(long)
 
 
+def test_bpe_replay_without_hashing_each_merge(monkeypatch):
+    vocabulary = loaded(*queries.tokenizer())
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, 300)) for _ in range(20)] + ["aaaaaaaa" * 9, ""]
+    calls = []
+    monkeypatch.setattr(np, "unique", lambda *a, own=np.unique, **b: calls.append(1) or own(*a, **b))
+    ids, bounds = encode_texts(texts, vocabulary)
+    assert [decode(ids[a:b], vocabulary).decode() for a, b in zip(bounds, bounds[1:], strict=False)] == texts
+    assert not calls
+
+
 def test_bpe_with_a_small_vocabulary():
     """Merges that open lower ranks on either side, against the plain rule of one merge at a time."""
     rng = random.Random(9)

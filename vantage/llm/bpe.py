@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +80,12 @@ class Vocabulary:
         return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; for the many short arrays of the replay sorting costs less than np.unique's hashing."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces one after another, and where each piece begins and ends among them.
 
@@ -123,7 +131,7 @@ def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarr
         add(some, vocabulary.rank(token[some], right_of(some)))
     while heap:
         r = heapq.heappop(heap)
-        at = np.unique(np.concatenate(index.pop(r)))
+        at = _distinct(np.concatenate(index.pop(r)))
         at = at[token[at] >= 0]
         at = at[vocabulary.rank(token[at], right_of(at)) == r]
         if not len(at):
@@ -147,7 +155,7 @@ def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarr
             for other in (np.where(right < 0, _NONE, token[right]), made):
                 rank = vocabulary.rank(made, np.where(right < 0, _NONE, other))
                 lower |= (rank >= 0) & (rank < r)
-            unsafe = np.unique(own[these[lower]])
+            unsafe = _distinct(own[these[lower]])
             if len(unsafe):
                 leftmost = np.concatenate(([True], own[1:] != own[:-1]))
                 take = np.where(np.isin(own, unsafe), leftmost, take)
@@ -159,7 +167,8 @@ def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarr
         beyond = after[gone]
         after[at] = beyond
         before[beyond[beyond >= 0]] = at[beyond >= 0]
-        touched = np.unique(np.concatenate((at, before[at][before[at] >= 0])))
+        left = before[at]
+        touched = _distinct(np.concatenate((at, left[left >= 0])))
         add(touched, vocabulary.rank(token[touched], right_of(touched)))
         late = late[token[late] >= 0]
         if len(late):
@@ -173,9 +182,9 @@ def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarr
 
 def encode_texts(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the bounds of each text among them."""
-    number: dict[str, int] = {}
-    split, fetch = vocabulary.pattern.findall, number.setdefault
-    of = [np.array([fetch(piece, len(number)) for piece in split(text)], np.int32) for text in texts]
+    number: dict[str, int] = defaultdict(itertools.count().__next__)
+    split, fetch = vocabulary.pattern.findall, number.__getitem__
+    of = [np.fromiter(map(fetch, split(text)), np.int32) for text in texts]
     counts = np.array([len(x) for x in of], np.int64)
     ids, bounds = encode_pieces([p.encode() for p in number], vocabulary)
     occurrence = np.concatenate(of) if of else np.zeros(0, np.int32)
