@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.llm import language, ngram_join, quality, queries, url_filter
+from vantage.llm import language, ngram_join, quality, queries, set_join, url_filter
 from vantage.llm.bpe import decode, encode_documents, encode_texts, loaded
 from vantage.llm.decontaminate import LEAST_WORDS, MASKS, decontaminated, leaks, longest_overlap, short_masks
 from vantage.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
@@ -563,6 +563,34 @@ def test_prefix_tree():
     assert sum(len(p) for _, p in PrefixTree(deep, (75, 100)).walk(deep[-1:])) == 2999 - -(-3 * 2999 // 4) + 1
 
 
+def test_sets_that_share_few_tokens_are_not_walked(monkeypatch):
+    rng = np.random.default_rng(5)
+    link, n = (75, 100), 300
+    sets: list[np.ndarray] = []
+    for k in range(n):
+        size = int(rng.integers(4, 40))
+        base = sets[int(rng.integers(k))][:size] if k % 3 == 2 else np.zeros(0, np.uint64)
+        sets.append(np.unique(np.concatenate((base, rng.integers(0, 3000, 2 if len(base) else size).astype(np.uint64)))))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    take = set_join.prefix_length(sizes, link)
+    lead, at = [x[:k] for x, k in zip(sets, take, strict=True)], [np.arange(k, dtype=np.int32) for k in take]
+    pairs = lambda found: {(int(k), int(j)) for k, js in found for j in js}
+    tree = PrefixTree(sets, link).walk(sets), PrefixTree(lead, link, sizes, at).walk(lead, sizes, at)
+    links, possible = map(pairs, tree)
+    whole = {k: (x, k, len(x), None) for k, x in enumerate(sets)}
+    assert links == {(a, b) for a in range(n) for b in range(n) if 100 * len(shared := np.intersect1d(sets[a], sets[b])) >= 75 * (sizes[a] + sizes[b] - len(shared))}
+    monkeypatch.setattr(set_join, "PrefixTree", None)
+    for held in (2_000, set_join.HELD):  # in slices too
+        monkeypatch.setattr(set_join, "HELD", held)
+        assert pairs(set_join._links(sets, sets, link)) == links
+        assert pairs(set_join._possible(lead, lead, [sizes, sizes], [at, at], link)) == possible
+    assert {tuple(sorted((a, b))) for a, _, b, _ in set_join._met_in(whole, whole, link)} <= links
+    many = [np.arange(k, k + 100, dtype=np.uint64) for k in range(4)]
+    assert set_join._common(many, many) is not None
+    monkeypatch.setattr(set_join, "LISTED", 100)
+    assert set_join._common(many, many) is None
+
+
 # ---------------------------------------------------------------- 8
 
 

@@ -2,7 +2,8 @@
 
 Sets hold 64-bit tokens in one global order, rare ones first. Two sets link when link[1] * intersection >= link[0] * union,
 and then share a token among their leading ones. Where few sets share such a token, their pairs are counted and compared if
-they share enough; where many do, the sets meet in one place, each sent once, and walk a tree of the sets there.
+they share enough; where many do, the sets meet in one place, each sent once. There the tokens that they share are listed where
+they are few for the sets, and else the sets walk a tree of the sets there.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 BLOCK_BYTES = 8 << 20
 #: Sets at a token up to which their pairs are listed (each set is then in as many rows at most); more meet in one place.
 FEW = 24
+#: Shared tokens of a block, for each of its sets, up to which they are listed (beyond it the sets walk a tree), and how many of
+#: them are held at a time.
+LISTED, HELD = 2_000, 1 << 20
 
 
 def prefix_length(size: np.ndarray, link: Link) -> np.ndarray:
@@ -218,6 +222,78 @@ class PrefixTree:
             stack += [(c, overlap, alive) for c in children]
 
 
+def _common(own: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]] | None:
+    """Numbers of both sets, and places in the concatenated own and others, of each token that sets of both share: a slice of own at
+    a time. None where the sets share too many tokens to list them."""
+    a, b = np.concatenate(own), np.concatenate(others)
+    order = np.argsort(b)
+    b = b[order]
+    low = np.searchsorted(b, a)
+    n = np.searchsorted(b, a, "right") - low
+    of_a = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    of_b = np.repeat(np.arange(len(others)), [len(x) for x in others])
+    each = np.bincount(of_a, n, len(own)).astype(np.int64)
+    if each.sum() > LISTED * (len(own) + len(others)) or each.max() > HELD:
+        return None
+    ends = np.cumsum(np.bincount(of_a, minlength=len(own)))
+
+    def slices():
+        first, total = 0, np.cumsum(each)
+        while first < len(own):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + HELD, "right")))
+            x = np.arange(ends[first - 1] if first else 0, ends[last - 1])
+            count = n[x]
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low[x], count)
+            x, y = np.repeat(x, count), order[at]
+            if len(x):
+                yield of_a[x], of_b[y], x, y
+            first = last
+
+    return slices()
+
+
+def _by_own(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number in i (ascending) with its numbers in j."""
+    cuts = np.flatnonzero(np.diff(i, prepend=-1, append=-1)) if len(i) else ()
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        yield int(i[low]), j[low:high]
+
+
+def _links(own: list[np.ndarray], others: list[np.ndarray], link: Link) -> Iterator[tuple[int, np.ndarray]]:
+    """Own sets that others link with, and the numbers of those."""
+    common = _common(own, others)
+    if common is None:
+        yield from PrefixTree(own, link).walk(others)
+        return
+    m, p = (np.array([len(x) for x in y], np.int64) for y in (own, others))
+    for i, j, _, _ in common:
+        key, shared = np.unique(i * len(others) + j, return_counts=True)
+        i, j = np.divmod(key, len(others))
+        good = link[1] * shared >= link[0] * (m[i] + p[j] - shared)
+        yield from _by_own(i[good], j[good])
+
+
+def _possible(own: list[np.ndarray], others: list[np.ndarray], sizes: list[np.ndarray], positions: list[list[np.ndarray]], link: Link) -> Iterator[tuple[int, np.ndarray]]:
+    """Own sets that others may link with (see may_link), by leading tokens, and the numbers of those."""
+    common = _common(own, others)
+    if common is None:
+        yield from PrefixTree(own, link, sizes[0], positions[0]).walk(others, sizes[1], positions[1])
+        return
+    to, at = (np.concatenate(x) for x in positions)
+    for i, j, x, y in common:
+        good = np.flatnonzero(_sizes_fit(sizes[0][i], sizes[1][j], link))
+        if not len(good):
+            continue
+        key = (i * len(others) + j)[good]
+        order = np.argsort(key, kind="stable")
+        key, good = key[order], good[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        i, j = np.divmod(key[starts], len(others))
+        last, own_last = np.maximum.reduceat(at[y[good]], starts), np.maximum.reduceat(to[x[good]], starts)
+        may = may_link(np.diff(starts, append=len(key)), last, own_last, sizes[1][j], sizes[0][i], link)
+        yield from _by_own(i[may], j[may])
+
+
 class _Joined:
     """Which of some numbers have been joined; the smaller side moves."""
 
@@ -264,7 +340,7 @@ def _met_in(probes: dict, members: dict, link: Link) -> Iterator[tuple[int, int,
     own, others = list(few.values()), list(many.values())
     of_b = np.array([x[1] for x in others], np.int64)
     joined = _Joined()
-    for k, found in PrefixTree([x[0] for x in own], link).walk([x[0] for x in others]):
+    for k, found in _links([x[0] for x in own], [x[0] for x in others], link):
         comp = own[k][1]
         comps, first = np.unique(of_b[found], return_index=True)
         for c, at in zip(comps.tolist(), found[first].tolist(), strict=True):
@@ -306,9 +382,9 @@ def _walk_leading(link: Link) -> Batches:
             at_a, at_b = [at[s] for s in a], np.array([at[s] for s in b])
             comp = np.array([x[1] for x in every.values()], np.int64)
             group = np.arange(len(sids))
-            tree = PrefixTree([x[0] for x in own], link, sizes[0], [x[3] for x in own])
+            positions = [[x[3] for x in y] for y in (own, others)]
             pairs: list[tuple[np.ndarray, np.ndarray]] = []
-            for k, found in tree.walk([x[0] for x in others], sizes[1], [x[3] for x in others]):
+            for k, found in _possible([x[0] for x in own], [x[0] for x in others], sizes, positions, link):
                 to = at_b[found]
                 to = to[(comp[to] != comp[at_a[k]]) & (group[to] != group[at_a[k]])]
                 if len(to):
