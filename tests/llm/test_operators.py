@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.llm import language, ngram_join, quality, queries, set_join, url_filter
+from vantage.llm import language, line_dedup, ngram_join, quality, queries, set_join, url_filter
 from vantage.llm.bpe import decode, encode_documents, encode_texts, loaded
 from vantage.llm.decontaminate import LEAST_WORDS, MASKS, decontaminated, leaks, longest_overlap, short_masks
 from vantage.llm.exact_dedup import CountingQuotientFilter, exact_duplicates
@@ -208,6 +208,19 @@ def test_characters_and_shingles():
     assert len(characters(np.frombuffer(b"\x80\xff\xc3", np.uint8))[0]) <= 3  # no UTF-8, no harm
 
 
+def test_ids_met_before_are_not_sorted_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 1 << 64, 40, np.uint64) >> np.uint64(57)) for _ in range(12)]
+    for name in ("union1d", "isin", "sort"):
+        monkeypatch.setattr(np, name, None)
+    seen, met = np.zeros(0, np.uint64), set()
+    for part in parts:
+        new, seen = line_dedup._unmet(part, seen)
+        assert set(part[new].tolist()) == set(part.tolist()) - met
+        met |= set(part.tolist())
+        assert seen.tolist() == sorted(met)
+
+
 def test_line_dedup_with_string_ids_and_long_lines(spark):
     rng = random.Random(24)
     line = " ".join(words(rng, 40_000, 3000))

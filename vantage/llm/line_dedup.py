@@ -74,8 +74,9 @@ def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if before[-1] == len(data):
         return _LOWER[data], before
     at = np.flatnonzero(first)
-    out = _LOWER[data[at]].astype(np.uint64)
-    wide = np.flatnonzero(out > 127)
+    lead = _LOWER[data[at]]
+    wide = np.flatnonzero(lead > 127)
+    out = lead.astype(np.uint64)
     after = np.append(at, len(data))[wide + 1]
     for k in (1, 2, 3):
         more = at[wide] + k < after
@@ -88,14 +89,17 @@ def _shingle_hashes(points: np.ndarray) -> np.ndarray:
     n = len(points) - SHINGLE + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    x = points.astype(np.uint64)
     wide = np.flatnonzero(points > 127)
+    x = points.astype(np.uint64)
     if len(wide):  # a character beyond ASCII takes more than its byte: it is spread over the 64 bits
         x[wide] = mix(x[wide])
     for step in (1, 2, 4):  # of one character to two, of two to four, of four to eight
         bits = np.uint64(8 * step)
         later = x[step:]
-        x = x[:-step] ^ (later << bits | later >> (np.uint64(64) - bits))
+        turned = later << bits
+        turned |= later >> (np.uint64(64) - bits)
+        turned ^= x[:-step]
+        x = turned
     return mix(x)
 
 
@@ -166,6 +170,17 @@ def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return shared, np.bincount(own, minlength=n) - shared
 
 
+def _unmet(ids: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some ids are not in seen, and seen with them; both ascend and hold each id once. Nothing is sorted again."""
+    at = np.searchsorted(seen, ids)
+    new = np.ones(len(ids), bool)
+    inside = at < len(seen)
+    new[inside] = seen[at[inside]] != ids[inside]
+    if len(seen) > 4_000_000:  # memory of what was sent is a saving only
+        return new, ids[new]
+    return new, np.insert(seen, at[new], ids[new])
+
+
 def _banded(docs: DataFrame) -> DataFrame:
     """bucket, line: of every line that has a shingle, each distinct line of a task once."""
 
@@ -179,11 +194,8 @@ def _banded(docs: DataFrame) -> DataFrame:
                 long = (before[end] - before[begin] >= SHINGLE) & worded(data, begin, end)
                 begin, end = begin[long], end[long]
                 ids, first = np.unique(line_ids(data, begin, end), return_index=True)
-                new = ~np.isin(ids, seen, assume_unique=True)
+                new, seen = _unmet(ids, seen)
                 ids, first = ids[new], first[new]
-                seen = np.union1d(seen, ids)
-                if len(seen) > 4_000_000:  # memory of what was sent is a saving only
-                    seen = np.zeros(0, np.uint64)
                 if len(ids):
                     keys = band_keys(points, before[begin[first]], before[end[first]])
                     yield pa.record_batch({"bucket": pa.array(as_long(keys.reshape(-1))), "line": pa.array(as_long(np.repeat(ids, BANDS)))})
@@ -249,11 +261,10 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 long = (end - begin >= SHINGLE) & worded(data, begin, end)
                 begin, end = begin[long], end[long]
                 ids, first = np.unique(line_ids(data, begin, end), return_index=True)
-                good = bloom_has(wanted.value, ids) & ~np.isin(ids, seen, assume_unique=True)
+                good = bloom_has(wanted.value, ids)
                 ids, first = ids[good], first[good]
-                seen = np.union1d(seen, ids)
-                if len(seen) > 4_000_000:
-                    seen = np.zeros(0, np.uint64)
+                new, seen = _unmet(ids, seen)
+                ids, first = ids[new], first[new]
                 if len(ids):
                     whole = data.tobytes()
                     yield pa.record_batch({"line": pa.array(as_long(ids)), "body": pa.array([whole[b:e] for b, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)], pa.binary())})

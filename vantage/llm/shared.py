@@ -142,9 +142,13 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of SplitMix64."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        out = x >> np.uint64(30)  # one array is worked on, not a new one for each step
+        out ^= x
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(27)
+        out *= np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(31)
+    return out
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
