@@ -9,7 +9,7 @@ from vantage.functions import statistics as st
 from vantage.functions.quantile import Ask, quantiles
 from vantage.operators.boxes import Categories
 from vantage.operators.effects import effects_dataframe, restricted_limits, restriction_effects
-from vantage.operators.search import Prim, PrimConfig
+from vantage.operators.search import LocalCounts, Prim, PrimConfig
 from vantage.operators.selection import Balanced, CandidateSelection, HighDensity, select_candidate, select_from
 from pyspark.sql import functions as F
 
@@ -148,3 +148,19 @@ def test_quasi_p_over_all_orders(spark, tmp_path):
         want[g] = round(float(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))), 7)
     got = {r["grp"]: r["p"] for r in QUERIES["quasi_p"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) <= 2e-7 for g in want)
+
+
+def repeated(copies: int):
+    """The mixed golden case with every row repeated, so it has 400 combinations of values."""
+    import pandas as pd
+
+    make, config, _ = GOLDEN["mixed_lenient1"]
+    return pd.concat([make()] * copies, ignore_index=True), config
+
+
+def test_search_in_memory_collects_equal_rows_once(spark):
+    df, config = repeated(7)
+    f = frame(spark, df)
+    counts = LocalCounts.collect(f)
+    assert len(counts.cases) == 400 and counts.totals() == (2800, int(df["case"].sum()))
+    assert [(s.phase, s.statistics.points) for s in Prim(f, config, "local").find_box().trajectory] == [(p, len(rows)) for p, rows, _ in plain_search(df, config)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,24 +59,11 @@ def quantiles(df: DataFrame, asks: list[Ask]) -> list[float]:
                 below[k], inside[k] = counts[f"b{k}"], counts[f"i{k}"]
         if not moved:  # ties, or a bracket as narrow as it gets: counting by value settles it
             break
-    # distinct values in each bracket and how often they occur; one scan, unpivoted by an array
-    held = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.when(value[k].between(F.lit(low[k]), F.lit(high[k])), value[k]).alias("v")) for k in range(len(asks)))))
-    rows = df.select(held.alias("x")).where("x.v is not null").groupBy("x.k", "x.v").count().collect()
-    found: list[list[tuple[float, int]]] = [[] for _ in asks]
-    for r in rows:
-        found[r["k"]].append((r["v"], r["count"]))
+    found = value_counts(df, [F.when(value[k].between(F.lit(low[k]), F.lit(high[k])), value[k]) for k in range(len(asks))])
     ends: list[tuple[float, float]] = []
-    for k, values in enumerate(found):
-        values.sort()
-        at, pair = below[k], []
-        for rank in wanted[k]:
-            at = below[k]
-            for v, c in values:
-                at += c
-                if rank < at:
-                    pair.append(v)
-                    break
-        ends.append((pair[0], pair[1]))
+    for k, (values, counts) in enumerate(found):
+        at = np.searchsorted(below[k] + np.cumsum(counts), wanted[k], "right")
+        ends.append((float(values[at[0]]), float(values[at[1]])))
     # equal ends move one of them to the next distinct value, which may lie outside the bracket
     tied = [k for k, (a, b) in enumerate(ends) if a == b]
     if tied:
@@ -86,6 +74,21 @@ def quantiles(df: DataFrame, asks: list[Ask]) -> list[float]:
     return [midpoint(a, b) for a, b in ends]
 
 
+def value_counts(df: DataFrame, columns: list[Column], rows: Column | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each column its distinct values, ascending and without null, and how often each occurs; one scan, unpivoted by an array.
+
+    rows: how many rows each one stands for. The driver receives every distinct value.
+    """
+    held = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c.cast("double").alias("v")) for k, c in enumerate(columns))))
+    each = df.select(held.alias("x"), (F.lit(1).cast("long") if rows is None else rows).alias("n")).where("x.v is not null")
+    got = each.groupBy("x.k", "x.v").agg(F.sum("n").alias("n")).toArrow()
+    of, values, counts = (got.column(n).to_numpy() for n in ("k", "v", "n"))
+    order = np.lexsort((values, of))
+    of, values, counts = of[order], values[order], counts[order]
+    ends = np.searchsorted(of, np.arange(len(columns) + 1))
+    return [(values[a:b], counts[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _bracket(value: Column, low: float, high: float, wanted: tuple[int, int], below: int, inside: int) -> Column:
     held = F.when(value.between(F.lit(low), F.lit(high)), value)
     first = max(0.0, (wanted[0] - below) / inside - 2 / ACCURACY)

@@ -38,16 +38,23 @@ def quantile(values: np.ndarray, p: float) -> float:
 
 def sorted_quantile(ordered: np.ndarray, p: float) -> float:
     """The quantile of ascending values."""
-    lo, hi = ranks(len(ordered), p)
-    a, b = ordered[lo], ordered[hi]
+    return counted_quantile(ordered, np.ones(len(ordered), np.int64), p)
+
+
+def counted_quantile(ordered: np.ndarray, counts: np.ndarray, p: float) -> float:
+    """The quantile of ascending values of which each occurs so many times; none at all is allowed."""
+    upto = np.cumsum(counts)
+    n = int(upto[-1])
+    a, b = (float(ordered[np.searchsorted(upto, rank, "right")]) for rank in ranks(n, p))
     if a == b:
         if p > 0.5:
-            at = np.searchsorted(ordered, b, "left")
-            a = ordered[at - 1] if at else a
+            at = int(np.searchsorted(ordered, b, "left"))
+            below = upto[at - 1] if at else 0
+            a = float(ordered[np.searchsorted(upto, below, "left")]) if below else a
         else:
-            at = np.searchsorted(ordered, a, "right")
-            b = ordered[at] if at < len(ordered) else b
-    return midpoint(float(a), float(b))
+            upper = upto[np.searchsorted(ordered, a, "right") - 1]
+            b = float(ordered[np.searchsorted(upto, upper, "right")]) if upper < n else b
+    return midpoint(a, b)
 
 
 def midpoint(a: float, b: float) -> float:

@@ -13,6 +13,8 @@ from vantage.errors import DataError
 from vantage.operators.boxes import CATEGORICAL, CONTINUOUS, INTEGER, BoxLimits, Categories, Range
 
 CASE = "case"
+#: Columns of `equal_rows`.
+ROWS, CASES = "_rows", "_cases"
 
 
 @dataclass(frozen=True)
@@ -111,6 +113,7 @@ class ScenarioFrame:
     row_id: str | None = None
     check: bool = True
     _summary: dict | None = field(default=None, repr=False)
+    _distinct: tuple[int, dict[str, int]] | None = field(default=None, repr=False)
 
     def __post_init__(self):
         if not self.features:
@@ -193,6 +196,18 @@ class ScenarioFrame:
             out += [F.collect_set(x).alias(f"set:{f.name}")] if f.kind == CATEGORICAL else [F.min(x).alias(f"min:{f.name}"), F.max(x).alias(f"max:{f.name}")]
         return out
 
+    def equal_rows(self) -> DataFrame:
+        """Each combination of feature values that occurs: ROWS, how many rows have it, and CASES, how many of them are cases."""
+        return self.df.groupBy(*(f"`{f.name}`" for f in self.features)).agg(F.count(F.lit(1)).alias(ROWS), F.count_if(F.col(CASE)).alias(CASES))
+
+    def distinct(self) -> tuple[int, dict[str, int]]:
+        """About how many combinations of feature values there are, and values of each feature, from one aggregation of sketches."""
+        if self._distinct is None:
+            names = [f"`{f.name}`" for f in self.features]
+            whole, *each = self.df.agg(F.approx_count_distinct(F.xxhash64(*names)).alias("n"), *(F.approx_count_distinct(n).alias(f"n{k}") for k, n in enumerate(names))).first()
+            self._distinct = whole, {f.name: n for f, n in zip(self.features, each, strict=True)}
+        return self._distinct
+
     def initial_limits(self) -> BoxLimits:
         return self.summary()["limits"]
 

@@ -2,7 +2,8 @@
 
 The loop runs on the driver over limits and counts. What it asks of the data — quantiles, counts of candidate boxes,
 observed ranges — comes from one of two engines with the same answers: batched Spark aggregations over the frame, or
-NumPy on a frame small enough to be collected once.
+NumPy on a frame of few enough combinations of values to be collected once. Rows of equal values stay together in every box,
+so the engines keep one row for them and how many they are.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 
 from vantage.errors import PrimError
 from vantage.functions import statistics as st
-from vantage.functions.quantile import Ask, quantiles
+from vantage.functions.quantile import Ask, quantiles, value_counts
 from vantage.operators.boxes import CATEGORICAL, CONTINUOUS, INTEGER, BoxLimits, Categories, Range
-from vantage.operators.frame import CASE, Feature, ScenarioFrame
+from vantage.operators.frame import CASE, CASES, ROWS, Feature, ScenarioFrame
 
-#: Rows times columns up to which a frame is collected and searched in memory.
+#: Combinations of feature values times columns up to which a frame is collected and searched in memory.
 LOCAL_CELLS = 20_000_000
+#: Distinct values up to which a numeric feature is counted by value instead of bracketed.
+FEW_VALUES = 10_000
 #: Aggregate expressions of one job.
 BATCH = 120
 
@@ -93,12 +96,17 @@ class SparkCounts:
     """Answers from batched aggregations. Membership is a predicate; no row ids are kept.
 
     Every round scans the frame a few times, so its narrow rows are cached, on disk where memory is short; partitions of a
-    lost executor are computed again.
+    lost executor are computed again. Where rows of equal values make the frame half as long or less and its numeric features
+    have few values, what is cached is the table of their combinations.
     """
 
     def __init__(self, frame: ScenarioFrame):
         self.frame, self.removed = frame, []
-        self.df = frame.df.persist(StorageLevel.MEMORY_AND_DISK)
+        combinations, values = frame.distinct()
+        self.few = {f.name for f in frame.features if f.kind != CATEGORICAL and values[f.name] <= FEW_VALUES}
+        together = 2 * combinations <= frame.row_count() and all(f.kind == CATEGORICAL or f.name in self.few for f in frame.features)
+        self.rows, self.cases = (F.col(ROWS), F.col(CASES)) if together else (None, None)
+        self.df = (frame.equal_rows() if together else frame.df).persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
         self.df.unpersist()
@@ -111,9 +119,6 @@ class SparkCounts:
     def remove(self, limits: BoxLimits) -> None:
         self.removed.append(limits)
 
-    def remaining(self) -> DataFrame:
-        return self._alive(self.df)
-
     def _agg(self, columns: list) -> list:
         out: list = []
         for k in range(0, len(columns), BATCH):
@@ -124,18 +129,51 @@ class SparkCounts:
         columns = []
         for box in boxes:
             inside = box.column()
-            columns += [F.count_if(inside), F.count_if(inside & F.col(CASE))]
-        found = self._agg(columns)
+            if self.rows is None:
+                columns += [F.count_if(inside), F.count_if(inside & F.col(CASE))]
+            else:
+                columns += [F.sum(F.when(inside, x)) for x in (self.rows, self.cases)]
+        found = [x or 0 for x in self._agg(columns)]
         return list(zip(found[::2], found[1::2], strict=True))
 
     def quantiles(self, asks: list[tuple[str, BoxLimits, int, float]]) -> list[float]:
-        return quantiles(self._alive(self.df), [Ask(F.col(f"`{n}`"), box.column(), rows, p) for n, box, rows, p in asks]) if asks else []
+        df, boxes = self._alive(self.df), list(dict.fromkeys(box for _, box, _, _ in asks))
+        if len(boxes) == 1:
+            df = df.where(boxes[0].column())
+        inside = {box: F.lit(True) if len(boxes) == 1 else box.column() for box in boxes}
+        by_value = list(dict.fromkeys((n, box) for n, box, _, _ in asks if n in self.few))
+        counted = dict(zip(by_value, value_counts(df, [F.when(inside[box], F.col(f"`{n}`")) for n, box in by_value], self.rows), strict=True)) if by_value else {}
+        wide = [Ask(F.col(f"`{n}`"), inside[box], rows, p) for n, box, rows, p in asks if n not in self.few]
+        found = iter(quantiles(df, wide) if wide else [])
+        return [st.counted_quantile(*counted[n, box], p) if n in self.few else next(found) for n, box, _, p in asks]
 
     def extremes(self, asks: list[tuple[str, BoxLimits, bool]]) -> list[int | None]:
         """Observed maximum (or minimum) of a feature inside a box."""
         return self._agg([(F.max if top else F.min)(F.when(box.column(), F.col(f"`{n}`"))) for n, box, top in asks]) if asks else []
 
 
+class Ordered:
+    """A numeric column in memory: codes into its ascending distinct values, so that no question sorts it again."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, codes = np.unique(values, return_inverse=True)
+        self.codes = codes.astype(np.int32)
+
+    def __getitem__(self, keep: np.ndarray) -> Ordered:
+        out = Ordered.__new__(Ordered)
+        out.codes, out.values = self.codes[keep], self.values
+        return out
+
+    def mask(self, restriction: Range) -> np.ndarray:
+        first, end = np.searchsorted(self.values, restriction.lower, "left"), np.searchsorted(self.values, restriction.upper, "right")
+        return (self.codes >= first) & (self.codes < end)
+
+    def end(self, top: bool, keep: np.ndarray | None = None) -> float | int | None:
+        """The greatest (or least) value; None where there is none."""
+        codes = self.codes if keep is None else self.codes[keep]
+        return self.values[codes.max() if top else codes.min()].item() if len(codes) else None
+
+
 class Coded:
     """A categorical column in memory: codes into its categories."""
 
@@ -157,23 +195,25 @@ class Coded:
 
 
 class LocalCounts:
-    """The same answers from columns in memory: arrays of numbers, and Coded ones of categories.
+    """The same answers from columns in memory: numbers, ordered, and Coded ones of categories.
 
     The boxes of a round differ from the current one in one restriction, so which rows a restriction holds is kept by feature.
+    rows: how many rows of the frame each row stands for, one if not given; cases: how many of them are cases.
     """
 
     #: Restrictions whose rows are kept.
     KEPT = 48
 
-    def __init__(self, columns: dict[str, np.ndarray | Coded], cases: np.ndarray):
-        self.columns, self.cases = columns, cases
+    def __init__(self, columns: dict[str, np.ndarray | Coded], cases: np.ndarray, rows: np.ndarray | None = None):
+        self.columns = {n: Ordered(x) if isinstance(x, np.ndarray) else x for n, x in columns.items()}
+        self.cases, self.rows = cases, rows
         self._held: dict[tuple, np.ndarray | None] = {}
 
     @classmethod
     def collect(cls, frame: ScenarioFrame) -> LocalCounts:
-        got = frame.df.select(*(f"`{f.name}`" for f in frame.features), CASE).toArrow()
+        got = frame.equal_rows().toArrow()
         columns = {f.name: Coded(got.column(f.name)) if f.kind == CATEGORICAL else got.column(f.name).to_numpy() for f in frame.features}
-        return cls(columns, got.column(CASE).to_numpy())
+        return cls(columns, got.column(CASES).to_numpy(), got.column(ROWS).to_numpy())
 
     def close(self) -> None:
         pass
@@ -183,7 +223,7 @@ class LocalCounts:
         out = []
         for f in features:
             x = self.columns[f.name]
-            out.append((f.name, Categories(x.present()) if f.kind == CATEGORICAL else Range(f.kind, x.min().item(), x.max().item())))
+            out.append((f.name, Categories(x.present()) if f.kind == CATEGORICAL else Range(f.kind, x.end(False), x.end(True))))
         return BoxLimits(tuple(out))
 
     def _rows(self, name: str, restriction) -> np.ndarray | None:
@@ -192,8 +232,7 @@ class LocalCounts:
         if key in self._held:
             self._held[key] = found = self._held.pop(key)  # the latest used stand last
             return found
-        values = self.columns[name]
-        found = values.mask(restriction) if isinstance(values, Coded) else restriction.mask(values)
+        found = self.columns[name].mask(restriction)
         if len(self._held) >= self.KEPT:
             del self._held[next(iter(self._held))]
         self._held[key] = None if found.all() else found
@@ -211,28 +250,36 @@ class LocalCounts:
         keep = ~self._mask(limits)
         self.columns = {n: v[keep] for n, v in self.columns.items()}
         self.cases = self.cases[keep]
+        self.rows = None if self.rows is None else self.rows[keep]
         self._held.clear()
 
+    def totals(self) -> tuple[int, int]:
+        """Rows and cases."""
+        return len(self.cases) if self.rows is None else int(self.rows.sum()), int(self.cases.sum())
+
     def tally(self, boxes: list[BoxLimits]) -> list[tuple[int, int]]:
         out = []
         for box in boxes:
             inside = self._mask(box)
-            out.append((int(np.count_nonzero(inside)), int(np.count_nonzero(inside & self.cases))))
+            points = np.count_nonzero(inside) if self.rows is None else self.rows[inside].sum()
+            out.append((int(points), int(self.cases[inside].sum())))
         return out
 
     def quantiles(self, asks: list[tuple[str, BoxLimits, int, float]]) -> list[float]:
-        out, of, ordered = [], None, None
+        out, of, values, counts = [], None, None, None
         for n, box, _, p in asks:
             if of != (n, box):  # asks about the same values follow each other
-                of, ordered = (n, box), np.sort(self.columns[n][self._mask(box)].astype(np.float64))
-            out.append(st.sorted_quantile(ordered, p))
+                of, inside, x = (n, box), self._mask(box), self.columns[n]
+                values = x.values.astype(np.float64)
+                counts = np.bincount(x.codes[inside], None if self.rows is None else self.rows[inside], len(values)).astype(np.int64)
+            out.append(st.counted_quantile(values, counts, p))
         return out
 
     def extremes(self, asks: list[tuple[str, BoxLimits, bool]]) -> list[int | None]:
         out = []
         for n, box, top in asks:
-            values = self.columns[n][self._mask(box)]
-            out.append(int(values.max() if top else values.min()) if len(values) else None)
+            found = self.columns[n].end(top, self._mask(box))
+            out.append(None if found is None else int(found))
         return out
 
 
@@ -250,14 +297,16 @@ def best_of(candidates: list[Candidate], s: BoxStatistics, initial: BoxLimits, o
 class Prim:
     """Finds boxes one after another; a found box's rows leave the population, the reference limits and masses do not move.
 
-    strategy: "auto" searches in memory up to LOCAL_CELLS cells and by Spark jobs beyond; "local" or "distributed" fix it.
+    strategy: "auto" searches in memory where the combinations of feature values make up to LOCAL_CELLS cells and by Spark jobs
+    beyond; "local" or "distributed" fix it.
     """
 
     def __init__(self, frame: ScenarioFrame, config: PrimConfig | None = None, strategy: str = "auto"):
         self.frame, self.config = frame, config or PrimConfig()
         summary = frame.summary()
         self.initial, self.rows, self.cases = summary["limits"], summary["rows"], summary["cases"]
-        local = strategy == "local" or strategy == "auto" and self.rows * (len(frame.features) + 1) <= LOCAL_CELLS
+        most = LOCAL_CELLS // (len(frame.features) + 2)
+        local = strategy == "local" or strategy == "auto" and (self.rows <= most or frame.distinct()[0] <= most)
         self.counts = LocalCounts.collect(frame) if local else SparkCounts(frame)
         self.left = (self.rows, self.cases)
         self.found: list[BoxLimits] = []
@@ -268,7 +317,7 @@ class Prim:
         """A search over columns in memory, as inside a task: no frame and no session."""
         self = cls.__new__(cls)
         self.frame, self.config, self.counts, self.initial = None, config, counts, initial
-        self.rows, self.cases = len(counts.cases), int(counts.cases.sum())
+        self.rows, self.cases = counts.totals()
         self.left, self.found = (self.rows, self.cases), []
         self.order = [f for kind in (CONTINUOUS, INTEGER, CATEGORICAL) for f in features if f.kind == kind]
         return self

@@ -387,8 +387,8 @@ def _peel_path(spark, sf, strategy: str) -> DataFrame:
 
 @query("prim_peel_path", _unrolled_peels(PATH_STEPS, 0.2, 0.2))
 def prim_peel_path(spark, sf):
-    """Every peel of a search in memory, up to the one that it does not accept."""
-    return _peel_path(spark, sf, "local")
+    """Every peel of a search, up to the one that it does not accept; in memory, since few combinations of values occur."""
+    return _peel_path(spark, sf, "auto")
 
 
 @query("prim_peel_path_distributed", _unrolled_peels(PATH_STEPS, 0.2, 0.2))
