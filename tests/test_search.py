@@ -9,7 +9,7 @@ from vantage.functions import statistics as st
 from vantage.functions.quantile import Ask, quantiles
 from vantage.operators.boxes import Categories
 from vantage.operators.effects import effects_dataframe, restricted_limits, restriction_effects
-from vantage.operators.search import LocalCounts, Prim, PrimConfig
+from vantage.operators.search import LocalCounts, Prim, PrimConfig, SparkCounts
 from vantage.operators.selection import Balanced, CandidateSelection, HighDensity, select_candidate, select_from
 from pyspark.sql import functions as F
 
@@ -164,3 +164,18 @@ def test_search_in_memory_collects_equal_rows_once(spark):
     counts = LocalCounts.collect(f)
     assert len(counts.cases) == 400 and counts.totals() == (2800, int(df["case"].sum()))
     assert [(s.phase, s.statistics.points) for s in Prim(f, config, "local").find_box().trajectory] == [(p, len(rows)) for p, rows, _ in plain_search(df, config)]
+
+
+def test_search_of_few_combinations_is_in_memory(spark, monkeypatch):
+    monkeypatch.setattr("vantage.operators.search.LOCAL_CELLS", 5 * 600)
+    df, config = repeated(7)
+    f = frame(spark, df)
+    auto, jobs = Prim(f, config), Prim(f, config, "distributed")
+    assert isinstance(auto.counts, LocalCounts)
+    a, b = auto.find_box(), jobs.find_box()
+    assert a.trajectory == b.trajectory and len(a.limits_dataframe(spark).collect()) == 3 * len(a.trajectory)
+    jobs.close()
+    monkeypatch.setattr("vantage.operators.search.LOCAL_CELLS", 5 * 200)
+    wide = Prim(f, config)
+    assert isinstance(wide.counts, SparkCounts)
+    wide.close()

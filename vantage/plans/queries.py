@@ -357,6 +357,15 @@ def _unrolled_peels(peels: int = PEELS, alpha: float = 0.05, mass_min: float | N
     return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {k + 1} AS step, n1::BIGINT AS points, k1::BIGINT AS cases_of_interest, feature FROM w{k}{until(k)}" for k in range(peels))
 
 
+def first_box(frame: ScenarioFrame, config: PrimConfig | None = None, strategy: str = "auto") -> PrimBox:
+    """The first box of a search, which then lets go of what it keeps cached."""
+    prim = Prim(frame, config, strategy)
+    try:
+        return prim.find_box()
+    finally:
+        prim.close()
+
+
 @query("prim_first_k_peels", _unrolled_peels())
 def prim_first_k_peels(spark, sf):
     whole = experiments(spark, sf)
@@ -378,11 +387,7 @@ def _peeled(box: PrimBox) -> list[tuple]:
 
 
 def _peel_path(spark, sf, strategy: str) -> DataFrame:
-    prim = Prim(ScenarioFrame(experiments(spark, sf).df, PEEL_FEATURES, check=False), PATH, strategy)
-    try:
-        return rows_of(spark, _peeled(prim.find_box()), _PEELED)
-    finally:
-        prim.close()
+    return rows_of(spark, _peeled(first_box(ScenarioFrame(experiments(spark, sf).df, PEEL_FEATURES, check=False), PATH, strategy)), _PEELED)
 
 
 @query("prim_peel_path", _unrolled_peels(PATH_STEPS, 0.2, 0.2))
@@ -410,7 +415,7 @@ def prim_trajectory(spark, sf):
 
 @query("prim_limits")
 def prim_limits(spark, sf):
-    return Prim(search_frame(spark, sf)).find_box().limits_dataframe(spark)
+    return first_box(search_frame(spark, sf)).limits_dataframe(spark)
 
 
 @query("prim_repeated_boxes")
