@@ -179,3 +179,16 @@ def test_search_of_few_combinations_is_in_memory(spark, monkeypatch):
     wide = Prim(f, config)
     assert isinstance(wide.counts, SparkCounts)
     wide.close()
+
+
+def test_repeated_boxes_leave_nothing_cached(spark, tmp_path, monkeypatch):
+    from vantage.plans.queries import QUERIES
+
+    rows = [(float(k % 50), 900.0 * (k % 60), k % 11 / 100, k % 9 / 100, k % 7, "ANR"[k % 3], "FO"[k % 2]) for k in range(600)]  # no cases: one box
+    spark.createDataFrame(rows, "l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    before = held().size()
+    local = QUERIES["prim_repeated_boxes"](spark, str(tmp_path)).collect()
+    monkeypatch.setattr("vantage.operators.search.LOCAL_CELLS", 1)
+    assert QUERIES["prim_repeated_boxes"](spark, str(tmp_path)).collect() == local
+    assert held().size() == before

@@ -426,6 +426,7 @@ def prim_repeated_boxes(spark, sf):
             break
         s = box.final_step.statistics
         rows.append((k, len(box.trajectory), s.points, s.cases_of_interest, s.coverage, s.density, s.mass))
+    prim.close()
     return rows_of(spark, rows, "box int, steps int, points long, cases_of_interest long, coverage double, density double, mass double")
 
 
