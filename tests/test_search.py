@@ -9,7 +9,7 @@ from vantage.functions import statistics as st
 from vantage.functions.quantile import Ask, quantiles
 from vantage.operators.boxes import Categories
 from vantage.operators.effects import effects_dataframe, restricted_limits, restriction_effects
-from vantage.operators.search import LocalCounts, Prim, PrimConfig, SparkCounts
+from vantage.operators.search import BoxStatistics, BoxStep, LocalCounts, Prim, PrimConfig, SparkCounts
 from vantage.operators.selection import Balanced, CandidateSelection, HighDensity, select_candidate, select_from
 from pyspark.sql import functions as F
 
@@ -192,3 +192,17 @@ def test_repeated_boxes_leave_nothing_cached(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("vantage.operators.search.LOCAL_CELLS", 1)
     assert QUERIES["prim_repeated_boxes"](spark, str(tmp_path)).collect() == local
     assert held().size() == before
+
+
+@pytest.mark.parametrize("few", [0, 5, 10_000])
+def test_peels_by_value_and_by_bracket_are_those_in_memory(spark, monkeypatch, few):
+    monkeypatch.setattr("vantage.operators.search.FEW_VALUES", few)
+    df, config = repeated(2)
+    df["demand"] = df["demand"] % 4 + 0.5
+    f = frame(spark, df)
+    jobs, local = Prim(f, config, "distributed"), Prim(f, config, "local")
+    assert jobs.counts.few == {0: set(), 5: {"demand"}, 10_000: {"capacity", "demand"}}[few]
+    assert (jobs.counts.rows is not None) == (few == 10_000)
+    whole = BoxStep(local.initial, BoxStatistics.of(800, local.cases, 800, local.cases, 0), (), "initial")
+    assert jobs.peels(whole) == local.peels(whole)
+    jobs.close()

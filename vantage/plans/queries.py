@@ -410,7 +410,7 @@ def search_frame(spark, sf) -> ScenarioFrame:
 
 @query("prim_trajectory")
 def prim_trajectory(spark, sf):
-    return Prim(search_frame(spark, sf)).find_box().to_dataframe(spark)
+    return first_box(search_frame(spark, sf)).to_dataframe(spark)
 
 
 @query("prim_limits")
