@@ -206,3 +206,17 @@ def test_peels_by_value_and_by_bracket_are_those_in_memory(spark, monkeypatch, f
     whole = BoxStep(local.initial, BoxStatistics.of(800, local.cases, 800, local.cases, 0), (), "initial")
     assert jobs.peels(whole) == local.peels(whole)
     jobs.close()
+
+
+def test_binomial_tail_of_many_rows():
+    import tracemalloc
+
+    tracemalloc.start()
+    for n, k, p in ((4_000_000, 2_000_100, 0.5), (4_000_000, 700, 0.0002), (216_000_000, 86_400_000, 0.4), (216_000_000, 100, 0.4)):
+        assert st.binomial_greater(k, n, p) + st.binomial_greater(n - k + 1, n, 1 - p) == pytest.approx(1, abs=1e-9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
+    n, k = 2000, 1100
+    exact = sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n
+    assert st.binomial_greater(k, n, 0.5) == pytest.approx(exact, rel=1e-12)

@@ -66,13 +66,55 @@ def integer_quantile(values: np.ndarray, p: float) -> int:
     return math.trunc(quantile(np.asarray(values, np.float64), p))
 
 
-def log_choose(n: int, k: int) -> float:
-    k = min(k, n - k)
-    return float(sum(math.log(n - k + i) - math.log(i) for i in range(1, k + 1)))
+def _stirling_error(n: float) -> float:
+    """log n! less Stirling's formula for it."""
+    if n <= 15:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - math.log(2 * math.pi) / 2
+    m = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / m) / m) / m) / m) / n
+
+
+def _deviance(x: float, m: float) -> float:
+    """x log(x / m) + m - x, also where x is close to m."""
+    if abs(x - m) >= 0.1 * (x + m):
+        return x * math.log(x / m) + m - x
+    v = (x - m) / (x + m)
+    found, term, j = (x - m) * v, 2 * x * v, 0
+    while True:
+        term, j = term * v * v, j + 1
+        more = found + term / (2 * j + 1)
+        if more == found:
+            return found
+        found = more
+
+
+def log_binomial_term(k: int, n: int, p: float) -> float:
+    """log P(X = k) for X binomial, 0 < k <= n and 0 < p < 1, by deviances: differences of large logarithms lose digits."""
+    if k == n:
+        return n * math.log(p)
+    errors = _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k)
+    return errors - _deviance(k, n * p) - _deviance(n - k, n * (1 - p)) + (math.log(n / k) - math.log(2 * math.pi * (n - k))) / 2
+
+
+#: Terms that are made at once, and the logarithm, against the greatest one, from which on terms no longer count.
+TERMS, NEGLIGIBLE = 8192, -60.0
+
+
+def _terms_beside(top: int, end: int, n: int, odds: float) -> float:
+    """Sum of the terms from beside top to end, in units of the term at top, until they no longer count."""
+    total, last, up = 0.0, 0.0, end > top
+    while top != end and last > NEGLIGIBLE:
+        count = min(TERMS, abs(end - top))
+        i = np.arange(top, top + count, dtype=np.float64) if up else np.arange(top, top - count, -1, dtype=np.float64)
+        logs = last + np.cumsum(np.log((n - i) / (i + 1)) + odds if up else np.log(i / (n - i + 1)) - odds)
+        total, last = total + float(np.exp(logs).sum()), float(logs[-1])
+        top += count if up else -count
+    return total
 
 
 def binomial_greater(k: int, n: int, p: float) -> float:
-    """P(X >= k) for X binomial in n trials of probability p; terms are summed as logarithms, each from the one before."""
+    """P(X >= k) for X binomial in n trials of probability p. Terms fall on both sides of the greatest one of the tail; they are
+    summed outwards from it, each from the one before, until they no longer count: some square roots of n of them."""
     if k <= 0:
         return 1.0
     if p <= 0:
@@ -80,13 +122,9 @@ def binomial_greater(k: int, n: int, p: float) -> float:
     if p >= 1:
         return 1.0
     odds = math.log(p) - math.log1p(-p)
-    start = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
-    if n - k <= 200:
-        start = log_choose(n, k) + k * math.log(p) + (n - k) * math.log1p(-p)
-    i = np.arange(k, n, dtype=np.float64)
-    terms = start + np.concatenate(([0.0], np.cumsum(np.log((n - i) / (i + 1)) + odds)))
-    top = terms.max()
-    return float(min(1.0, math.exp(top) * np.exp(terms - top).sum()))
+    top = min(max(k, math.floor((n + 1) * p)), n)
+    total = 1.0 + _terms_beside(top, n, n, odds) + _terms_beside(top, k, n, odds)
+    return min(1.0, math.exp(log_binomial_term(top, n, p)) * total)
 
 
 def harmonic_mean(a: float, b: float) -> float:

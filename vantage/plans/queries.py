@@ -369,7 +369,7 @@ def first_box(frame: ScenarioFrame, config: PrimConfig | None = None, strategy:
 @query("prim_first_k_peels", _unrolled_peels())
 def prim_first_k_peels(spark, sf):
     whole = experiments(spark, sf)
-    box = Prim(ScenarioFrame(whole.df, PEEL_FEATURES, check=False)).find_box()
+    box = first_box(ScenarioFrame(whole.df, PEEL_FEATURES, check=False))
     return rows_of(spark, _peeled(box)[:PEELS], _PEELED)
 
 
